@@ -1,0 +1,44 @@
+"""Joining figures of groups back to their rows without gathering a group in one task."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+# Up to this many groups the figures are broadcast (a few MB); the size is checked when the plan runs.
+MAX_BROADCAST_GROUPS = 50_000
+SALTS = 64
+
+
+def join_group_figures(
+    rows: DataFrame, figures: DataFrame, keys: Sequence[str], many_groups: bool = False
+) -> DataFrame:
+    """Add one row of figures per group to each of the group's rows.
+
+    By default the figures are broadcast, so the rows stay where they are. Should there be more than
+    ``MAX_BROADCAST_GROUPS`` groups the query fails and names the other way: with ``many_groups`` both
+    sides are shuffled, and each group is split into ``SALTS`` parts. The rows then are not left
+    partitioned by group, which lets adaptive execution split a part that is still too large.
+    """
+    keys = list(keys)
+    if many_groups:
+        others = [c for c in rows.columns if c not in keys]
+        part = F.pmod(F.xxhash64(*others), F.lit(SALTS)).cast("int")
+        parts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+        return (
+            rows.withColumn("_part", part)
+            .join(figures.withColumn("_part", parts), [*keys, "_part"])
+            .drop("_part")
+        )
+    counted = figures.limit(MAX_BROADCAST_GROUPS + 1).withColumn(
+        "_groups", F.count(F.lit(1)).over(Window.partitionBy())
+    )
+    checked = counted.withColumn(
+        keys[0],
+        F.when(F.col("_groups") <= MAX_BROADCAST_GROUPS, F.col(keys[0])).otherwise(
+            F.raise_error(F.lit("too many groups to broadcast: pass many_groups=True"))
+        ),
+    ).drop("_groups")
+    return rows.join(F.broadcast(checked), keys)
