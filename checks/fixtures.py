@@ -10,8 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from farelens.fixed_values import WEEKDAY_NAMES
-from farelens.functions import clamp, clamp_load, rounded
-from farelens.operators.economics import season_factor
 from farelens.schema import FLIGHT_SCHEMA
 
 HOLIDAY_MONTH_DAYS = ("01-01", "01-28", "02-01", "04-05", "05-01", "05-02")
@@ -25,10 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _tier_cost_factor(nation: Column) -> Column:
-    return F.when(nation % 3 == 0, 0.6).when(nation % 3 == 1, 0.7).otherwise(0.8)
-
-
 def _joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = table(spark, sf_dir, "nation")
     origin = nation.select(
@@ -54,65 +48,66 @@ def _joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _shift(key: str) -> Column:
-    """-0.1 .. 0.1 in steps of 0.05."""
-    return (F.col(key) % 5 - 2) / F.lit(20.0)
+def _clamped_shift(key: str) -> str:
+    """Load factor moved by -0.1 .. 0.1 in steps of 0.05, within [0.3, 0.95]."""
+    return f"greatest(0.3D, least(0.95D, load_factor + ({key} % 5 - 2) / 20D))"
+
+
+_FLIGHT_COLUMNS = (
+    {
+        "day": "CAST(l_shipdate AS DATE)",
+        "seat_capacity": "10 + 2 * c_nationkey",
+        "distance": "CAST(250 + 90 * c_nationkey AS DOUBLE)",
+    },
+    {
+        "flight_id": "l_orderkey * 10 + l_linenumber",
+        "flight_number": "concat('FL', l_suppkey)",
+        "route_name": "concat(departure_city, '-', arrival_city)",
+        "flight_date": "date_format(day, 'yyyy-MM-dd')",
+        "day_of_week": "weekday(day) + 1",
+        "is_holiday": f"CAST(date_format(day, 'MM-dd') IN {HOLIDAY_MONTH_DAYS} AS INT)",
+        "aircraft_type": "p_type",
+        "load_factor": "greatest(0.4D, least(0.98D, l_quantity / seat_capacity))",
+        "avg_ticket_price": "l_extendedprice / l_quantity",
+        "discount_rate": "1D - l_discount",
+        "subsidy_revenue": "0D",
+        "total_revenue": "l_extendedprice * (1D - l_discount)",
+        "total_cost": "l_quantity * p_retailprice * CASE s_nationkey % 3 WHEN 0 THEN 0.6D "
+        "WHEN 1 THEN 0.7D ELSE 0.8D END",
+        "seasonal_index": "CASE WHEN month(day) IN (12, 1, 2) THEN 0.9D "
+        "WHEN month(day) IN (6, 7, 8) THEN 1.2D WHEN month(day) IN (3, 4, 5) THEN 1.1D "
+        "ELSE 1D END",
+        "price_elasticity": "0.5D + (l_partkey % 11) / 10D",
+        "flight_hours": "rint(distance / 800D * 100D) / 100D",
+        "ask": "seat_capacity * distance / 10000D",
+        "price_upper_bound": "p_retailprice * 1.2D",
+    },
+    {
+        "booked_seats": "CAST(floor(seat_capacity * load_factor) AS INT)",
+        "variable_cost": "0.7D * total_cost",
+        "fixed_cost": "0.2D * total_cost",
+        "maintenance_cost": "0.1D * total_cost",
+        "passenger_revenue": "total_revenue",
+        "profit": "total_revenue - total_cost",
+        "rask": "total_revenue / ask",
+        "competitor_load_factor": _clamped_shift("l_suppkey"),
+        "historical_load_factor": _clamped_shift("l_partkey"),
+        "competitor_price": "rint(avg_ticket_price)",
+        "optimal_price": "avg_ticket_price",
+    },
+    {
+        "marginal_contribution": "total_revenue - variable_cost",
+        "marginal_contribution_rate": "(total_revenue - variable_cost) / total_revenue",
+        "profit_rate": "profit / total_revenue",
+        "price_lower_bound": "variable_cost / (seat_capacity * 0.7D)",
+    },
+)
 
 
 def _with_flight_columns(joined: DataFrame) -> DataFrame:
     """The 36 operational columns, next to the source columns."""
-    day = F.col("l_shipdate").cast("date")
-    steps = [
-        {
-            "flight_id": F.col("l_orderkey") * 10 + F.col("l_linenumber"),
-            "flight_number": F.concat(F.lit("FL"), F.col("l_suppkey")),
-            "route_name": F.concat("departure_city", F.lit("-"), "arrival_city"),
-            "flight_date": F.date_format(day, "yyyy-MM-dd"),
-            "day_of_week": F.weekday(day) + 1,
-            "is_holiday": F.date_format(day, "MM-dd").isin(*HOLIDAY_MONTH_DAYS).cast("int"),
-            "aircraft_type": F.col("p_type"),
-            "seat_capacity": F.lit(10) + 2 * F.col("c_nationkey"),
-            "distance": (F.lit(250) + 90 * F.col("c_nationkey")).cast("double"),
-            "avg_ticket_price": F.col("l_extendedprice") / F.col("l_quantity"),
-            "discount_rate": F.lit(1.0) - F.col("l_discount"),
-            "passenger_revenue": F.col("l_extendedprice") * (F.lit(1.0) - F.col("l_discount")),
-            "subsidy_revenue": F.lit(0.0),
-            "total_revenue": F.col("l_extendedprice") * (F.lit(1.0) - F.col("l_discount")),
-            "total_cost": F.col("l_quantity")
-            * F.col("p_retailprice")
-            * _tier_cost_factor(F.col("s_nationkey")),
-            "seasonal_index": season_factor(F.month(day)),
-            "price_elasticity": F.lit(0.5) + (F.col("l_partkey") % 11) / F.lit(10.0),
-        },
-        {
-            "load_factor": F.greatest(
-                F.lit(0.4), F.least(F.lit(0.98), F.col("l_quantity") / F.col("seat_capacity"))
-            ),
-            "flight_hours": rounded(F.col("distance") / F.lit(800.0)),
-            "variable_cost": F.lit(0.7) * F.col("total_cost"),
-            "fixed_cost": F.lit(0.2) * F.col("total_cost"),
-            "maintenance_cost": F.lit(0.1) * F.col("total_cost"),
-            "ask": F.col("seat_capacity") * F.col("distance") / F.lit(10000.0),
-            "competitor_price": F.rint("avg_ticket_price"),
-        },
-        {
-            "booked_seats": F.floor(F.col("seat_capacity") * F.col("load_factor")).cast("int"),
-            "marginal_contribution": F.col("total_revenue") - F.col("variable_cost"),
-            "profit": F.col("total_revenue") - F.col("total_cost"),
-            "rask": F.col("total_revenue") / F.col("ask"),
-            "competitor_load_factor": clamp_load(F.col("load_factor") + _shift("l_suppkey")),
-            "historical_load_factor": clamp_load(F.col("load_factor") + _shift("l_partkey")),
-            "price_lower_bound": F.col("variable_cost") / (F.col("seat_capacity") * F.lit(0.7)),
-            "price_upper_bound": F.col("p_retailprice") * F.lit(1.2),
-        },
-        {
-            "marginal_contribution_rate": F.col("marginal_contribution") / F.col("total_revenue"),
-            "profit_rate": F.col("profit") / F.col("total_revenue"),
-            "optimal_price": F.col("avg_ticket_price"),
-        },
-    ]
-    for step in steps:
-        joined = joined.withColumns(step)
+    for step in _FLIGHT_COLUMNS:
+        joined = joined.selectExpr("*", *[f"{sql} AS {name}" for name, sql in step.items()])
     return joined
 
 
@@ -148,9 +143,7 @@ def analytic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flight_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flights before pricing: distance, rates, base load and discount, no money yet."""
-    rate = F.col("l_discount") * F.lit(10.0)
-    nation = F.col("s_nationkey") % 3
-    return _with_flight_columns(_joined(spark, sf_dir)).select(
+    return _with_flight_columns(_joined(spark, sf_dir)).selectExpr(
         "flight_id",
         "route_name",
         "flight_date",
@@ -159,21 +152,18 @@ def flight_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
         "aircraft_type",
         "seat_capacity",
         "distance",
-        F.col("p_retailprice").alias("base_price"),
-        (F.lit(0.85) + (F.col("s_nationkey") * 7 + F.col("c_nationkey")) % 10 / F.lit(20.0)).alias(
-            "seasonal_index"
-        ),
-        F.when(nation == 0, "high").when(nation == 1, "medium").otherwise("low").alias(
-            "profitability"
-        ),
-        (F.lit(10.0) + F.lit(8.0) * rate).alias("variable_cost_per_hour"),
-        (F.lit(5.0) + F.lit(60.0) * F.col("l_tax")).alias("fixed_cost_per_flight"),
-        (F.lit(0.5) + F.lit(1.5) * rate).alias("maintenance_per_hour"),
-        (F.lit(0.65) + F.col("l_quantity") / F.lit(200.0)).alias("base_load_factor"),
-        (F.lit(0.7) + F.lit(3.0) * F.col("l_tax")).alias("discount_rate"),
-        rounded(F.lit(40.0) * F.col("l_tax")).alias("subsidy_revenue"),
-        _shift("l_suppkey").alias("competitor_load_shift"),
-        _shift("l_partkey").alias("historical_load_shift"),
+        "p_retailprice AS base_price",
+        "0.85D + (s_nationkey * 7 + c_nationkey) % 10 / 20D AS seasonal_index",
+        "CASE s_nationkey % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END"
+        " AS profitability",
+        "10D + 8D * (l_discount * 10D) AS variable_cost_per_hour",
+        "5D + 60D * l_tax AS fixed_cost_per_flight",
+        "0.5D + 1.5D * (l_discount * 10D) AS maintenance_per_hour",
+        "0.65D + l_quantity / 200D AS base_load_factor",
+        "0.7D + 3D * l_tax AS discount_rate",
+        "rint(40D * l_tax * 100D) / 100D AS subsidy_revenue",
+        "(l_suppkey % 5 - 2) / 20D AS competitor_load_shift",
+        "(l_partkey % 5 - 2) / 20D AS historical_load_shift",
     )
 
 
@@ -228,7 +218,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         "seat_capacity",
         "price_elasticity",
         "seasonal_index",
-        clamp(F.col("load_factor"), 0.4, 0.98).alias("load_factor"),
+        "load_factor",
         "competitor_load_factor",
         "historical_load_factor",
         F.col("competitor_price").cast("int").alias("competitor_price"),

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from farelens.fixed_values import IQR_COLUMNS, IQR_REACH, REQUIRED_COLUMNS
 from farelens.functions import between_bounds
-from farelens.operators.quantiles import exact_quantiles
+from farelens.operators.quantiles import exact_quantiles, quoted
 
 # target column -> column it is copied from when the target is missing
 _ALIASES = {
@@ -60,56 +60,89 @@ def text_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
 
 
-def fill_numeric_median(
-    df: DataFrame, cols: Sequence[str] | None = None, exact: bool = True
-) -> DataFrame:
-    """Fill nulls of numeric columns with the column's median.
+def _medians(df: DataFrame, cols: Sequence[str], exact: bool) -> Column:
+    """Scalar array: medians in the order of ``cols``, null for columns without gaps.
 
-    Filled columns become double, as a median may lie between two integers; month and weekday stay whole.
-    A cheap count finds the columns with gaps first, and only their values enter the median search.
+    A cheap count finds the columns with gaps first; only their values enter the median search.
     """
-    cols = list(numeric_columns(df) if cols is None else cols)
-    if not cols:
-        return df
-    gaps = df.agg(
-        F.struct(*[(F.count_if(F.col(c).isNull()) > 0).alias(c) for c in cols]).alias("gaps")
-    )
+    names = [quoted(c) for c in cols]
+    counts = ", ".join(f"count({c}) < count(1)" for c in names)
+    gaps = df.agg(F.expr(f"array({counts})").alias("gaps"))
     wanted = (
         df.select(*cols)
         .withColumn("_gaps", gaps.scalar())
-        .select(*[F.when(F.col("_gaps")[c], F.col(c)).alias(c) for c in cols])
+        .selectExpr(*[f"IF(_gaps[{i}], {c}, NULL) AS {c}" for i, c in enumerate(names)])
     )
     medians = exact_quantiles(wanted, cols, [0.5], exact=exact)
-    one_row = medians.select(F.struct(*[F.col(c)[0].alias(c) for c in cols]).alias("medians"))
-    filled = {c: F.coalesce(F.col(c).cast("double"), F.col("_medians")[c]) for c in cols}
-    filled.update({c: filled[c].cast("int") for c in _CALENDAR if c in filled})
-    return df.withColumn("_medians", one_row.scalar()).withColumns(filled).drop("_medians")
+    firsts = ", ".join(f"{c}[0]" for c in names)
+    return medians.selectExpr(f"array({firsts}) AS medians").scalar()
 
 
-def fill_categorical_mode(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """Fill nulls of text columns with the most frequent value, the smallest one on ties.
+def _modes(df: DataFrame, cols: Sequence[str]) -> Column:
+    """Scalar array: the most frequent value of each column, the smallest one on ties.
 
     Values are counted with a shuffle on (column, value), so no task holds all values of a column.
     """
-    cols = list(text_columns(df) if cols is None else cols)
-    if not cols:
-        return df
+    numbered = [str(i) for i in range(len(cols))]
     counts = (
-        df.select([F.col(c).cast("string") for c in cols])
-        .unpivot([], cols, "name", "value")
+        df.selectExpr(*[f"{quoted(c)} AS `{i}`" for i, c in zip(numbered, cols)])
+        .unpivot([], numbered, "name", "value")
         .filter(F.col("value").isNotNull())
-        .groupBy("name", "value")
+        .groupBy(F.col("name").cast("int").alias("name"), "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
     # The least (-n, value) pair is the largest count with the smallest value.
-    ranked = F.struct((-F.col("n")).alias("n"), F.col("value").alias("value"))
-    modes = counts.agg(
-        F.struct(
-            *[F.min(F.when(F.col("name") == c, ranked))["value"].alias(c) for c in cols]
-        ).alias("modes")
-    )
-    filled = {c: F.coalesce(F.col(c), F.col("_modes")[c]) for c in cols}
-    return df.withColumn("_modes", modes.scalar()).withColumns(filled).drop("_modes")
+    least = F.min(F.struct((-F.col("n")).alias("n"), "value"))["value"]
+    # One entry per column.
+    found = F.map_from_entries(F.collect_list(F.struct("name", "value")))
+    modes = counts.groupBy("name").agg(least.alias("value")).agg(found.alias("modes"))
+    listed = ", ".join(f"modes[{i}]" for i in numbered)
+    return modes.selectExpr(f"array({listed}) AS modes").scalar()
+
+
+def _numeric_fills(cols: Sequence[str]) -> dict[str, Column]:
+    filled = {c: F.expr(f"coalesce({quoted(c)}, _medians[{i}])") for i, c in enumerate(cols)}
+    filled.update({c: filled[c].cast("int") for c in _CALENDAR if c in filled})
+    return filled
+
+
+def _text_fills(cols: Sequence[str]) -> dict[str, Column]:
+    return {c: F.expr(f"coalesce({quoted(c)}, _modes[{i}])") for i, c in enumerate(cols)}
+
+
+def fill_numeric_median(
+    df: DataFrame, cols: Sequence[str] | None = None, exact: bool = True
+) -> DataFrame:
+    """Fill nulls of numeric columns with the column's median.
+
+    Filled columns become double, as a median may lie between two integers; month and weekday stay whole.
+    """
+    cols = list(numeric_columns(df) if cols is None else cols)
+    if not cols:
+        return df
+    filled = df.withColumn("_medians", _medians(df, cols, exact))
+    return filled.withColumns(_numeric_fills(cols)).drop("_medians")
+
+
+def fill_categorical_mode(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+    """Fill nulls of text columns with the most frequent value, the smallest one on ties."""
+    cols = list(text_columns(df) if cols is None else cols)
+    if not cols:
+        return df
+    return df.withColumn("_modes", _modes(df, cols)).withColumns(_text_fills(cols)).drop("_modes")
+
+
+def fill_missing(df: DataFrame, exact: bool = True) -> DataFrame:
+    """Both fillings in one step: numeric columns by median, text columns by mode."""
+    numeric, texts = numeric_columns(df), text_columns(df)
+    found, fills = {}, {}
+    if numeric:
+        found["_medians"] = _medians(df, numeric, exact)
+        fills.update(_numeric_fills(numeric))
+    if texts:
+        found["_modes"] = _modes(df, texts)
+        fills.update(_text_fills(texts))
+    return df.withColumns(found).withColumns(fills).drop(*found) if found else df
 
 
 def resolve_aliases(df: DataFrame) -> DataFrame:
@@ -129,16 +162,16 @@ def resolve_aliases(df: DataFrame) -> DataFrame:
 
 
 def _iqr_bounds(df: DataFrame, cols: Sequence[str], exact: bool) -> Column:
-    """Scalar struct ``column -> (low, high)`` for the whole table."""
-    quartiles = exact_quantiles(df, cols, [0.25, 0.75], exact=exact)
-    bounds = []
-    for c in cols:
-        first, third = F.col(c)[0], F.col(c)[1]
-        reach = (third - first) * F.lit(IQR_REACH)
-        bounds.append(
-            F.struct((first - reach).alias("low"), (third + reach).alias("high")).alias(c)
-        )
-    return quartiles.select(F.struct(*bounds).alias("bounds")).scalar()
+    """Scalar array of (low, high) for the whole table, in the order of ``cols``."""
+    quartiles = exact_quantiles(df.select(*cols), cols, [0.25, 0.75], exact=exact)
+    bounds = F.transform(
+        F.array(*cols),
+        lambda q: F.struct(
+            (q[0] - (q[1] - q[0]) * IQR_REACH).alias("low"),
+            (q[1] + (q[1] - q[0]) * IQR_REACH).alias("high"),
+        ),
+    )
+    return quartiles.select(bounds.alias("bounds")).scalar()
 
 
 def iqr_outlier_counts(
@@ -147,21 +180,18 @@ def iqr_outlier_counts(
     """Per column: bounds at 1.5 interquartile ranges and the number of values strictly outside."""
     cols = [c for c in cols if c in df.columns]
     marked = df.select(*cols).withColumn("_bounds", _iqr_bounds(df, cols, exact))
-    stats = marked.agg(
-        *[
+    stats = []
+    for i, c in enumerate(cols):
+        low, high = F.col("_bounds")[i]["low"], F.col("_bounds")[i]["high"]
+        stats.append(
             F.struct(
                 F.lit(c).alias("column_name"),
-                F.max(F.col("_bounds")[c]["low"]).alias("lower_bound"),
-                F.max(F.col("_bounds")[c]["high"]).alias("upper_bound"),
-                F.count_if(
-                    (F.col(c) < F.col("_bounds")[c]["low"])
-                    | (F.col(c) > F.col("_bounds")[c]["high"])
-                ).alias("outliers"),
+                F.max(low).alias("lower_bound"),
+                F.max(high).alias("upper_bound"),
+                F.count_if((F.col(c) < low) | (F.col(c) > high)).alias("outliers"),
             ).alias(c)
-            for c in cols
-        ]
-    )
-    return stats.select(F.inline(F.array(*cols)))
+        )
+    return marked.agg(*stats).select(F.inline(F.array(*cols)))
 
 
 def cap_iqr(df: DataFrame, cols: Sequence[str] = IQR_COLUMNS, exact: bool = True) -> DataFrame:
@@ -170,8 +200,8 @@ def cap_iqr(df: DataFrame, cols: Sequence[str] = IQR_COLUMNS, exact: bool = True
     if not cols:
         return df
     capped = {
-        c: between_bounds(F.col(c), F.col("_bounds")[c]["low"], F.col("_bounds")[c]["high"])
-        for c in cols
+        c: between_bounds(F.col(c), F.col("_bounds")[i]["low"], F.col("_bounds")[i]["high"])
+        for i, c in enumerate(cols)
     }
     return df.withColumn("_bounds", _iqr_bounds(df, cols, exact)).withColumns(capped).drop("_bounds")
 
@@ -209,6 +239,5 @@ def preprocess(df: DataFrame, exact: bool = True) -> DataFrame:
     the wide rows are read once. Read the input from a columnar file so that pruning pays.
     """
     dated = add_calendar(resolve_date(df))
-    filled = fill_categorical_mode(fill_numeric_median(dated, exact=exact))
-    capped = cap_iqr(resolve_aliases(filled), exact=exact)
+    capped = cap_iqr(resolve_aliases(fill_missing(dated, exact)), exact=exact)
     return require_columns(ensure_route_name(capped))

@@ -40,7 +40,7 @@ def price_elasticity(
     )
     middle = rows.groupBy(key).agg(
         F.count(F.lit(1)).alias("size"),
-        band_edges(F.col("price_order"), [0.5], accuracy).alias("edges"),
+        F.expr(band_edges("price_order", [0.5], accuracy)).alias("edges"),
     )
     zoned = join_group_figures(rows, middle, [key], many_groups).withColumn(
         "zone", band_zone(F.col("price_order"), F.col("edges"), F.col("size"), 1, accuracy)

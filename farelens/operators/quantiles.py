@@ -25,13 +25,18 @@ from farelens.operators.spread import join_group_figures
 ACCURACY = 10_000
 
 
-def band_edges(value: Column, probs: Sequence[float], accuracy: int = ACCURACY) -> Column:
-    """Aggregate: array of (low, high) value pairs around each quantile in ``probs``."""
+def quoted(name: str) -> str:
+    """Column name for use in a SQL expression."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def band_edges(value: str, probs: Sequence[float], accuracy: int = ACCURACY) -> str:
+    """SQL aggregate: array of (low, high) value pairs around each quantile in ``probs``."""
     margin = 4.0 / accuracy
-    wanted = []
+    marks = []
     for p in sorted(probs):
-        wanted += [max(0.0, p - margin), min(1.0, p + margin)]
-    return F.percentile_approx(value, wanted, accuracy)
+        marks += [f"{max(0.0, p - margin)}D", f"{min(1.0, p + margin)}D"]
+    return f"percentile_approx({value}, array({', '.join(marks)}), {accuracy})"
 
 
 def band_zone(
@@ -64,25 +69,21 @@ def exact_quantiles(
     sketch's own answer in a single pass. ``many_groups``: see ``join_group_figures``.
     """
     columns, probs, keys = list(columns), sorted(probs), list(keys)
-    values = {c: F.col(c).cast("double") for c in columns}
+    # Wide tables: SQL fragments are far quicker to build than column objects.
+    values = [f"CAST({quoted(c)} AS DOUBLE)" for c in columns]
     if not exact:
-        sketches = [F.percentile_approx(values[c], probs, accuracy).alias(c) for c in columns]
-        return df.groupBy(*keys).agg(*sketches)
-
-    edges = df.groupBy(*keys).agg(
-        F.array(
-            *[
-                F.struct(
-                    band_edges(values[c], probs, accuracy).alias("edges"),
-                    F.count(values[c]).alias("size"),
-                )
-                for c in columns
-            ]
-        ).alias("_bands")
-    )
+        sketches = [F.percentile_approx(F.expr(v), probs, accuracy) for v in values]
+        return df.groupBy(*keys).agg(*[q.alias(c) for q, c in zip(sketches, columns)])
+
+    bands = [
+        f"struct({band_edges(v, probs, accuracy)} AS edges, count({v}) AS size)" for v in values
+    ]
+    edges = df.groupBy(*keys).agg(F.expr(f"array({', '.join(bands)})").alias("_bands"))
     # One (measure, value) record per column, where the measure is the column's position.
     numbered = [str(i) for i in range(len(columns))]
-    narrow = df.select(*keys, *[values[c].alias(i) for i, c in zip(numbered, columns)])
+    narrow = df.selectExpr(
+        *[quoted(k) for k in keys], *[f"{v} AS `{i}`" for i, v in zip(numbered, values)]
+    )
     if keys:
         joined = join_group_figures(narrow, edges, keys, many_groups)
         records = joined.unpivot([*keys, "_bands"], numbered, "measure", "value")
@@ -116,33 +117,34 @@ def exact_quantiles(
         "upto", F.sum("weight").over(order.rowsBetween(Window.unboundedPreceding, 0))
     )
 
-    picks = []
-    for at, c in enumerate(columns):
-        picks.append(F.max(F.when(F.col("measure") == at, F.col("size"))).alias(f"_n_{c}"))
-        for i, p in enumerate(probs):
-            place = (F.col("size") - 1) * F.lit(p)
-            for name, rank in (("lo", F.floor(place) + 1), ("hi", F.ceil(place) + 1)):
-                hit = (
-                    (F.col("measure") == at)
-                    & (F.col("upto") >= rank)
-                    & (F.col("upto") - F.col("weight") < rank)
-                )
-                picks.append(F.max(F.when(hit, F.col("value"))).alias(f"_{name}_{i}_{c}"))
-    picked = running.groupBy(*keys).agg(*picks)
-
-    answers = []
-    for c in columns:
-        found = F.lit(True)
-        parts = []
-        for i, p in enumerate(probs):
-            low, high = F.col(f"_lo_{i}_{c}"), F.col(f"_hi_{i}_{c}")
-            place = (F.col(f"_n_{c}") - 1) * F.lit(p)
-            found = found & low.isNotNull() & high.isNotNull()
-            parts.append(low + (high - low) * (place - F.floor(place)))
-        answers.append(
-            F.when(F.col(f"_n_{c}").isNull(), F.lit(None))
-            .when(found, F.array(*parts))
-            .otherwise(F.raise_error(F.lit(f"quantile band of {c} missed its rank")))
-            .alias(c)
+    # Per group and measure: the values at the two ranks around each wanted place.
+    size, picks, places = F.col("size"), [], []
+    first, last = F.col("upto") - F.col("weight") + 1, F.col("upto")
+    for i, p in enumerate(probs):
+        place = (size - 1) * F.lit(p)
+        places.append(place - F.floor(place))
+        for name, rank in (("low", F.floor(place) + 1), ("high", F.ceil(place) + 1)):
+            hit = F.when(rank.between(first, last), F.col("value"))
+            picks.append(F.max(hit).alias(f"{name}_{i}"))
+    picked = running.groupBy(*keys, "measure", "size").agg(*picks)
+
+    parts = [
+        F.col(f"low_{i}") + (F.col(f"high_{i}") - F.col(f"low_{i}")) * share
+        for i, share in enumerate(places)
+    ]
+    answer = F.array(*parts)
+    missed = F.exists(answer, lambda v: v.isNull())
+    checked = F.when(
+        missed, F.raise_error(F.lit("a quantile band missed its rank"))
+    ).otherwise(answer)
+    found = picked.select(*keys, "measure", checked.alias("answer"))
+    # At most one entry per column and group.
+    by_measure = F.map_from_entries(F.collect_list(F.struct("measure", "answer")))
+    return (
+        found.groupBy(*keys)
+        .agg(by_measure.alias("_answers"))
+        .selectExpr(
+            *[quoted(k) for k in keys],
+            *[f"_answers[{at}] AS {quoted(c)}" for at, c in enumerate(columns)],
         )
-    return picked.select(*keys, *answers)
+    )
