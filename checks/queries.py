@@ -529,8 +529,8 @@ def quote_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plain = fx.flights(spark, sf_dir)
-    return report.report_rows(stats.route_stats(plain), rules.pricing_recommendations(plain))
+    route_figures = cut_lineage(stats.route_stats(fx.flights(spark, sf_dir)))
+    return report.report_rows(route_figures, rules.recommend(route_figures))
 
 
 # --- prompts and responses ----------------------------------------------------------------------

@@ -60,32 +60,36 @@ def text_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
 
 
-def _medians(df: DataFrame, cols: Sequence[str], exact: bool) -> Column:
-    """Scalar array: medians in the order of ``cols``, null for columns without gaps.
+def _gappy(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """The columns, emptied where they have no gaps.
 
-    A cheap count finds the columns with gaps first; only their values enter the median search.
+    A cheap count finds the gaps first, so that medians and modes are only searched where one is needed.
     """
     names = [quoted(c) for c in cols]
     counts = ", ".join(f"count({c}) < count(1)" for c in names)
     gaps = df.agg(F.expr(f"array({counts})").alias("gaps"))
-    wanted = (
+    return (
         df.select(*cols)
         .withColumn("_gaps", gaps.scalar())
         .selectExpr(*[f"IF(_gaps[{i}], {c}, NULL) AS {c}" for i, c in enumerate(names)])
     )
-    medians = exact_quantiles(wanted, cols, [0.5], exact=exact)
-    firsts = ", ".join(f"{c}[0]" for c in names)
+
+
+def _medians(gappy: DataFrame, cols: Sequence[str], exact: bool) -> Column:
+    """Scalar array: medians in the order of ``cols``."""
+    medians = exact_quantiles(gappy, cols, [0.5], exact=exact)
+    firsts = ", ".join(f"{quoted(c)}[0]" for c in cols)
     return medians.selectExpr(f"array({firsts}) AS medians").scalar()
 
 
-def _modes(df: DataFrame, cols: Sequence[str]) -> Column:
+def _modes(gappy: DataFrame, cols: Sequence[str]) -> Column:
     """Scalar array: the most frequent value of each column, the smallest one on ties.
 
     Values are counted with a shuffle on (column, value), so no task holds all values of a column.
     """
     numbered = [str(i) for i in range(len(cols))]
     counts = (
-        df.selectExpr(*[f"{quoted(c)} AS `{i}`" for i, c in zip(numbered, cols)])
+        gappy.selectExpr(*[f"{quoted(c)} AS `{i}`" for i, c in zip(numbered, cols)])
         .unpivot([], numbered, "name", "value")
         .filter(F.col("value").isNotNull())
         .groupBy(F.col("name").cast("int").alias("name"), "value")
@@ -120,7 +124,7 @@ def fill_numeric_median(
     cols = list(numeric_columns(df) if cols is None else cols)
     if not cols:
         return df
-    filled = df.withColumn("_medians", _medians(df, cols, exact))
+    filled = df.withColumn("_medians", _medians(_gappy(df, cols), cols, exact))
     return filled.withColumns(_numeric_fills(cols)).drop("_medians")
 
 
@@ -129,20 +133,23 @@ def fill_categorical_mode(df: DataFrame, cols: Sequence[str] | None = None) -> D
     cols = list(text_columns(df) if cols is None else cols)
     if not cols:
         return df
-    return df.withColumn("_modes", _modes(df, cols)).withColumns(_text_fills(cols)).drop("_modes")
+    filled = df.withColumn("_modes", _modes(_gappy(df, cols), cols))
+    return filled.withColumns(_text_fills(cols)).drop("_modes")
 
 
 def fill_missing(df: DataFrame, exact: bool = True) -> DataFrame:
     """Both fillings in one step: numeric columns by median, text columns by mode."""
     numeric, texts = numeric_columns(df), text_columns(df)
-    found, fills = {}, {}
+    if not numeric and not texts:
+        return df
+    gappy, found, fills = _gappy(df, [*numeric, *texts]), {}, {}
     if numeric:
-        found["_medians"] = _medians(df, numeric, exact)
+        found["_medians"] = _medians(gappy, numeric, exact)
         fills.update(_numeric_fills(numeric))
     if texts:
-        found["_modes"] = _modes(df, texts)
+        found["_modes"] = _modes(gappy, texts)
         fills.update(_text_fills(texts))
-    return df.withColumns(found).withColumns(fills).drop(*found) if found else df
+    return df.withColumns(found).withColumns(fills).drop(*found)
 
 
 def resolve_aliases(df: DataFrame) -> DataFrame:

@@ -13,42 +13,36 @@ from farelens.operators.spread import join_group_figures
 _NO_PRICE = float("inf")
 
 
-def price_elasticity(
-    df: DataFrame,
-    min_rows: int = MIN_ELASTICITY_ROWS,
-    accuracy: int = ACCURACY,
-    key: str = "route_name",
-    many_groups: bool = False,
+def _halves(
+    df: DataFrame, supplied: bool, accuracy: int, key: str, many_groups: bool
 ) -> DataFrame:
-    """Elasticity between the cheaper and the dearer half of each route's flights.
-
-    Flights are ordered by price, then seats; the cheaper half is the first floor(n/2) of them. The
-    result is the relative change of mean seats over the relative change of mean price. It is null for
-    routes under ``min_rows`` flights, and where a divisor is zero.
+    """Elasticity and size of each route, with the mean supplied elasticity if wanted.
 
     No route is sorted as a whole. A price sketch locates the middle of each route; flights clearly below
     or above it are summed up on the map side, and only the band around the middle is ordered, as a
-    histogram of (price, seats). One route may therefore hold any share of the table. ``many_groups``: see
-    ``join_group_figures``.
+    histogram of (price, seats). One route may therefore hold any share of the table.
     """
+    given = F.col("price_elasticity") if supplied else F.lit(None)
     rows = df.filter(F.col(key).isNotNull()).select(
         key,
         F.col("ticket_price").cast("double").alias("price"),
         F.col("sold_seats").cast("double").alias("seats"),
         # Flights without a price sort last.
         F.coalesce(F.col("ticket_price").cast("double"), F.lit(_NO_PRICE)).alias("price_order"),
+        given.cast("double").alias("given"),
     )
     middle = rows.groupBy(key).agg(
         F.count(F.lit(1)).alias("size"),
         F.expr(band_edges("price_order", [0.5], accuracy)).alias("edges"),
+        F.avg("given").alias("supplied"),
     )
-    zoned = join_group_figures(rows, middle, [key], many_groups).withColumn(
+    zoned = join_group_figures(rows.drop("given"), middle, [key], many_groups).withColumn(
         "zone", band_zone(F.col("price_order"), F.col("edges"), F.col("size"), 1, accuracy)
     )
     in_band = F.col("zone") == 1
+    route = [key, "size", "supplied"]
     histogram = zoned.groupBy(
-        key,
-        "size",
+        *route,
         "zone",
         F.when(in_band, F.col("price_order")).alias("band_price"),
         F.when(in_band, F.col("seats")).alias("band_seats"),
@@ -60,7 +54,7 @@ def price_elasticity(
         F.count("seats").alias("seats_n"),
     )
 
-    order = Window.partitionBy(key, "size").orderBy("zone", "band_price", "band_seats")
+    order = Window.partitionBy(*route).orderBy("zone", "band_price", "band_seats")
     upto = F.sum("weight").over(order.rowsBetween(Window.unboundedPreceding, 0))
     half = F.floor(F.col("size") / 2)
     before = F.col("upto") - F.col("weight")
@@ -82,7 +76,7 @@ def price_elasticity(
         )
 
     low, high = F.col("low_share"), F.lit(1.0) - F.col("low_share")
-    halves = cut.groupBy(key, "size").agg(
+    halves = cut.groupBy(*route).agg(
         mean_of("price", low).alias("low_price"),
         mean_of("price", high).alias("high_price"),
         mean_of("seats", low).alias("low_seats"),
@@ -90,11 +84,26 @@ def price_elasticity(
     )
     price_change = ratio(F.col("high_price") - F.col("low_price"), F.col("low_price"))
     seats_change = ratio(F.col("high_seats") - F.col("low_seats"), F.col("low_seats"))
-    return halves.select(
+    return halves.select(*route, ratio(seats_change, price_change).alias("computed"))
+
+
+def price_elasticity(
+    df: DataFrame,
+    min_rows: int = MIN_ELASTICITY_ROWS,
+    accuracy: int = ACCURACY,
+    key: str = "route_name",
+    many_groups: bool = False,
+) -> DataFrame:
+    """Elasticity between the cheaper and the dearer half of each route's flights.
+
+    Flights are ordered by price, then seats; the cheaper half is the first floor(n/2) of them. The
+    result is the relative change of mean seats over the relative change of mean price. It is null for
+    routes under ``min_rows`` flights, and where a divisor is zero. ``many_groups``: see
+    ``join_group_figures``.
+    """
+    return _halves(df, False, accuracy, key, many_groups).select(
         key,
-        F.when(F.col("size") >= min_rows, ratio(seats_change, price_change)).alias(
-            "price_elasticity"
-        ),
+        F.when(F.col("size") >= min_rows, F.col("computed")).alias("price_elasticity"),
         F.col("size").alias("sample_count"),
     )
 
@@ -127,16 +136,12 @@ def elasticity_or_supplied(
         return routes.groupBy(key).agg(
             value.alias("price_elasticity"), F.count(F.lit(1)).alias("sample_count")
         )
-    computed = price_elasticity(df, min_rows, accuracy, key, many_groups)
-    if not has_supplied:
-        return computed
-    supplied = supplied_elasticity(df, key).withColumnRenamed("price_elasticity", "supplied")
-    return computed.join(supplied, key).select(
+    return _halves(df, has_supplied, accuracy, key, many_groups).select(
         key,
-        F.when(F.col("sample_count") >= min_rows, F.col("price_elasticity"))
+        F.when(F.col("size") >= min_rows, F.col("computed"))
         .otherwise(F.col("supplied"))
         .alias("price_elasticity"),
-        "sample_count",
+        F.col("size").alias("sample_count"),
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from farelens import fixed_values as fixed
+from farelens.operators.stats import route_stats
 
 
 def _rule(load: Column, profit: Column, part: int) -> Column:
@@ -25,24 +26,18 @@ def _rule(load: Column, profit: Column, part: int) -> Column:
     )
 
 
-def pricing_recommendations(df: DataFrame) -> DataFrame:
-    """Strategy, adjustment, new price and reason per route, best mean profit rate first.
-
-    Works on raw margins: capped ones never have a negative mean.
-    """
-    means = (
-        df.filter(F.col("route_name").isNotNull())
-        .groupBy("route_name")
-        .agg(
-            F.avg("load_factor").alias("avg_load_factor"),
-            F.avg("avg_ticket_price").alias("avg_price"),
-            F.avg("profit_rate").alias("avg_profit_rate"),
-            F.avg("marginal_contribution_rate").alias("avg_marginal_rate"),
-        )
-    )
+def recommend(stats: DataFrame) -> DataFrame:
+    """Recommendations from route statistics that exist already."""
     load, profit = F.col("avg_load_factor"), F.col("avg_profit_rate")
     return (
-        means.withColumn("strategy", _rule(load, profit, 0))
+        stats.select(
+            "route_name",
+            F.col("load_factor").alias("avg_load_factor"),
+            F.col("avg_ticket_price").alias("avg_price"),
+            F.col("profit_rate").alias("avg_profit_rate"),
+            F.col("marginal_contribution_rate").alias("avg_marginal_rate"),
+        )
+        .withColumn("strategy", _rule(load, profit, 0))
         .withColumn("price_adjustment", _rule(load, profit, 1))
         .withColumn(
             "recommended_price",
@@ -51,3 +46,11 @@ def pricing_recommendations(df: DataFrame) -> DataFrame:
         .withColumn("reason", _rule(load, profit, 2))
         .orderBy(F.desc("avg_profit_rate"), "route_name")
     )
+
+
+def pricing_recommendations(df: DataFrame) -> DataFrame:
+    """Strategy, adjustment, new price and reason per route, best mean profit rate first.
+
+    Works on raw margins: capped ones never have a negative mean.
+    """
+    return recommend(route_stats(df))

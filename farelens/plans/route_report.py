@@ -9,12 +9,12 @@ from farelens.sources import cut_lineage, write_csv
 
 
 def route_report(flights: DataFrame, k: int = 5) -> dict[str, DataFrame]:
-    """All tables of the report, lazy but for the two route-level ones that others build on.
+    """All tables of the report, lazy but for the route statistics that others build on.
 
     Works on raw rows, as recommendations need margins that are not capped.
     """
     route_stats = cut_lineage(stats.route_stats(flights))
-    recommendations = cut_lineage(rules.pricing_recommendations(flights))
+    recommendations = rules.recommend(route_stats)
     analytic = flights.withColumnsRenamed({"profit_rate": "profit_margin"})
     return {
         "overview": stats.overview(flights),
