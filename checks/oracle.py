@@ -513,6 +513,12 @@ UNION ALL SELECT 'aircraft_type', count(*) FROM gaps WHERE aircraft_type IS NULL
         "fill_categorical_mode": flights_sql(
             "SELECT flight_id, aircraft_type, route_name FROM filled", _GAPS, filled
         ),
+        "fill_missing": flights_sql(
+            f"""SELECT flight_id, {mean("avg_ticket_price")} AS avg_ticket_price, aircraft_type,
+  booked_seats::DOUBLE AS booked_seats, route_name FROM filled""",
+            _GAPS,
+            filled,
+        ),
         "resolve_aliases": flights_sql(
             "SELECT flight_id, profit_margin, profit_rate, ticket_price, sold_seats FROM flights"
         ),
@@ -541,7 +547,7 @@ FROM flights"""
             f"""SELECT flight_id, route_name, aircraft_type, flight_date AS date, month,
   (day_of_week - 1)::INTEGER AS day_of_week,
   {", ".join(f"{mean(_capped(c))} AS {c}" for c in fixed.IQR_COLUMNS)},
-  {mean("avg_ticket_price")} AS avg_ticket_price, sold_seats::DOUBLE AS sold_seats
+  {mean("avg_ticket_price")} AS avg_ticket_price, sold_seats
 FROM filled, bounds""",
             _GAPS,
             filled,

@@ -51,6 +51,11 @@ def missing_counts(df: DataFrame) -> DataFrame:
     return counts.unpivot([], df.columns, "column_name", "missing").filter(F.col("missing") > 0)
 
 
+def columns_with_gaps(df: DataFrame) -> list[str]:
+    """Names of the columns that hold nulls; runs one count over the table."""
+    return [row["column_name"] for row in missing_counts(df).collect()]
+
+
 def numeric_columns(df: DataFrame) -> list[str]:
     """Numeric columns; booleans and dates are not numbers here."""
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
@@ -120,34 +125,49 @@ def fill_numeric_median(
     """Fill nulls of numeric columns with the column's median.
 
     Filled columns become double, as a median may lie between two integers; month and weekday stay whole.
+    Without ``cols`` all numeric columns are filled, and those with gaps are found first.
     """
-    cols = list(numeric_columns(df) if cols is None else cols)
-    if not cols:
+    named = numeric_columns(df) if cols is None else list(cols)
+    if not named:
         return df
-    filled = df.withColumn("_medians", _medians(_gappy(df, cols), cols, exact))
-    return filled.withColumns(_numeric_fills(cols)).drop("_medians")
+    search = _gappy(df, named) if cols is None else df.select(*named)
+    filled = df.withColumn("_medians", _medians(search, named, exact))
+    return filled.withColumns(_numeric_fills(named)).drop("_medians")
 
 
 def fill_categorical_mode(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """Fill nulls of text columns with the most frequent value, the smallest one on ties."""
-    cols = list(text_columns(df) if cols is None else cols)
-    if not cols:
+    """Fill nulls of text columns with the most frequent value, the smallest one on ties.
+
+    Without ``cols`` all text columns are filled, and those with gaps are found first.
+    """
+    named = text_columns(df) if cols is None else list(cols)
+    if not named:
         return df
-    filled = df.withColumn("_modes", _modes(_gappy(df, cols), cols))
-    return filled.withColumns(_text_fills(cols)).drop("_modes")
+    search = _gappy(df, named) if cols is None else df.select(*named)
+    filled = df.withColumn("_modes", _modes(search, named))
+    return filled.withColumns(_text_fills(named)).drop("_modes")
+
 
+def fill_missing(
+    df: DataFrame, cols: Sequence[str] | None = None, exact: bool = True
+) -> DataFrame:
+    """Both fillings in one step: numeric columns by median, text columns by mode.
 
-def fill_missing(df: DataFrame, exact: bool = True) -> DataFrame:
-    """Both fillings in one step: numeric columns by median, text columns by mode."""
-    numeric, texts = numeric_columns(df), text_columns(df)
+    Other kinds of columns in ``cols`` are left alone.
+    """
+    numeric, texts = (
+        [c for c in names if cols is None or c in cols]
+        for names in (numeric_columns(df), text_columns(df))
+    )
     if not numeric and not texts:
         return df
-    gappy, found, fills = _gappy(df, [*numeric, *texts]), {}, {}
+    both = [*numeric, *texts]
+    search, found, fills = _gappy(df, both) if cols is None else df.select(*both), {}, {}
     if numeric:
-        found["_medians"] = _medians(gappy, numeric, exact)
+        found["_medians"] = _medians(search, numeric, exact)
         fills.update(_numeric_fills(numeric))
     if texts:
-        found["_modes"] = _modes(gappy, texts)
+        found["_modes"] = _modes(search, texts)
         fills.update(_text_fills(texts))
     return df.withColumns(found).withColumns(fills).drop(*found)
 
@@ -239,12 +259,21 @@ def require_columns(df: DataFrame, names: Sequence[str] = REQUIRED_COLUMNS) -> D
     return df
 
 
-def preprocess(df: DataFrame, exact: bool = True) -> DataFrame:
+def with_calendar(df: DataFrame) -> DataFrame:
+    """Date, month and weekday: the columns that cleaning adds before it fills gaps."""
+    return add_calendar(resolve_date(df))
+
+
+def preprocess(
+    df: DataFrame, fill: Sequence[str] | None = None, exact: bool = True
+) -> DataFrame:
     """The whole cleaning sequence, as one lazy plan.
 
-    Medians and bounds are one-row subqueries over pruned scans of the input: nothing is collected, and
-    the wide rows are read once. Read the input from a columnar file so that pruning pays.
+    Medians, modes and bounds are one-row subqueries over pruned scans of the input: nothing is collected,
+    and the wide rows are read once. Read the input from a columnar file so that pruning pays. Name the
+    columns to fill where they are known, e.g. from ``columns_with_gaps(with_calendar(df))``: the plan
+    then skips the search for gaps and keeps the types of all other columns.
     """
-    dated = add_calendar(resolve_date(df))
-    capped = cap_iqr(resolve_aliases(fill_missing(dated, exact)), exact=exact)
+    filled = fill_missing(with_calendar(df), fill, exact)
+    capped = cap_iqr(resolve_aliases(filled), exact=exact)
     return require_columns(ensure_route_name(capped))

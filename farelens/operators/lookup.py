@@ -60,16 +60,23 @@ def middle_routes(stats: DataFrame, best: DataFrame, worst: DataFrame) -> DataFr
     return stats.join(taken, "route_name", "left_anti")
 
 
+def route_flight_pairs(df: DataFrame) -> DataFrame:
+    """Distinct (route, flight number) pairs, one per row."""
+    return (
+        df.filter(F.col("route_name").isNotNull() & F.col("flight_number").isNotNull())
+        .select("route_name", "flight_number")
+        .distinct()
+    )
+
+
 def route_flight_numbers(df: DataFrame) -> DataFrame:
     """Flight numbers in use per route, as a sorted list.
 
     Pairs are made distinct first, so a list is as long as the route's timetable, not its history.
+    ``route_flight_pairs`` holds the same as rows.
     """
-    pairs = (
-        df.filter(F.col("route_name").isNotNull() & F.col("flight_number").isNotNull())
-        .select("route_name", "flight_number")
-        .distinct()
-    )
-    return pairs.groupBy("route_name").agg(
-        F.array_sort(F.collect_list("flight_number")).alias("flight_numbers")
+    return (
+        route_flight_pairs(df)
+        .groupBy("route_name")
+        .agg(F.array_sort(F.collect_list("flight_number")).alias("flight_numbers"))
     )

@@ -19,10 +19,11 @@ def pricing_summary(
 ) -> dict[str, DataFrame]:
     """Clean, profile, summarise and write one prompt per question.
 
-    The profiles are the only table that is materialized: a row per route, read by the rankings, the
-    selection and the summary.
+    Columns with gaps are counted first, one figure per column. The profiles are the only table that is
+    materialized: a row per route, read by the rankings, the selection and the summary.
     """
-    cleaned = clean.resolve_aliases(clean.preprocess(flights))
+    gaps = clean.columns_with_gaps(clean.with_calendar(flights))
+    cleaned = clean.resolve_aliases(clean.preprocess(flights, gaps))
     profiles = cut_lineage(profile.route_profile(cleaned))
     simple = summary.simplify(cleaned, profiles, max_routes, keep_all)
     if queries is None:

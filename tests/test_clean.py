@@ -52,6 +52,7 @@ def test_fill_missing(spark):
     )
     for filled in (
         clean.fill_missing(df),
+        clean.fill_missing(df, clean.columns_with_gaps(df)),
         clean.fill_categorical_mode(clean.fill_numeric_median(df)),
     ):
         got = rows_of(filled.orderBy(F.col("i")))
