@@ -247,7 +247,8 @@ def _profile(source: str) -> tuple[str, ...]:
 )""",
         f"""profiles AS (
   SELECT route_name, {mean("price", 2)} AS avg_price, {mean("load", 2)} AS avg_load_factor,
-    {mean("margin", 2)} AS avg_profit_margin, {mean("e", 2)} AS price_elasticity,
+    {mean("margin", 2)} AS avg_profit_margin,
+    {mean("CASE WHEN elasticities.n >= 10 THEN e ELSE supplied END", 2)} AS price_elasticity,
     means.n AS sample_count
   FROM means JOIN elasticities ON route_name = k
 )""",

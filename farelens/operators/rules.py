@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from farelens import fixed_values as fixed
-from farelens.operators.stats import route_stats
+from farelens.operators.stats import STAT_MEANS, route_stats
 
 
 def _rule(load: Column, profit: Column, part: int) -> Column:
@@ -53,4 +53,4 @@ def pricing_recommendations(df: DataFrame) -> DataFrame:
 
     Works on raw margins: capped ones never have a negative mean.
     """
-    return recommend(route_stats(df))
+    return recommend(route_stats(df, STAT_MEANS))

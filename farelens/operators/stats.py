@@ -16,7 +16,7 @@ from farelens.functions import ratio, weekday_label
 from farelens.operators.quantiles import exact_quantiles
 from farelens.operators.spread import join_group_figures
 
-_STAT_MEANS = ("load_factor", "avg_ticket_price", "profit_rate", "marginal_contribution_rate")
+STAT_MEANS = ("load_factor", "avg_ticket_price", "profit_rate", "marginal_contribution_rate")
 
 
 def _by_route(df: DataFrame, *more: str):
@@ -37,7 +37,7 @@ def overview(df: DataFrame) -> DataFrame:
 
 def overall_means(df: DataFrame) -> DataFrame:
     """Means of load factor, price, profit rate and marginal contribution rate."""
-    return df.agg(*[F.avg(c).alias(c) for c in _STAT_MEANS])
+    return df.agg(*[F.avg(c).alias(c) for c in STAT_MEANS])
 
 
 def route_stats(df: DataFrame, measures: Sequence[str] | None = None) -> DataFrame:
@@ -45,7 +45,7 @@ def route_stats(df: DataFrame, measures: Sequence[str] | None = None) -> DataFra
 
     ``measures`` names columns for the short form, which holds only their means.
     """
-    means = [F.avg(c).alias(c) for c in (measures or _STAT_MEANS)]
+    means = [F.avg(c).alias(c) for c in (measures or STAT_MEANS)]
     if measures:
         return _by_route(df).agg(*means).orderBy("route_name")
     return (
