@@ -24,14 +24,23 @@ def _by_route(df: DataFrame, *more: str):
 
 
 def overview(df: DataFrame) -> DataFrame:
-    """Rows, columns, distinct routes and flight numbers, first and last flight date."""
-    return df.agg(
-        F.count(F.lit(1)).alias("n_rows"),
+    """Rows, columns, distinct routes and flight numbers, first and last flight date.
+
+    Rows are collapsed to (route, flight number) pairs first: two distinct counts side by side would
+    triple every row.
+    """
+    pairs = df.groupBy("route_name", "flight_number").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min("flight_date").alias("first_date"),
+        F.max("flight_date").alias("last_date"),
+    )
+    return pairs.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"),
         F.lit(len(df.columns)).cast("long").alias("n_columns"),
         F.count_distinct("route_name").alias("n_routes"),
         F.count_distinct("flight_number").alias("n_flight_numbers"),
-        F.min("flight_date").alias("first_date"),
-        F.max("flight_date").alias("last_date"),
+        F.min("first_date").alias("first_date"),
+        F.max("last_date").alias("last_date"),
     )
 
 
