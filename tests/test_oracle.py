@@ -5,17 +5,19 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__
+from checks import queries
 from checks.compare import compare
+from checks.oracle import oracle_sql
 from tests.conftest import SF_DIR
 
 
-@pytest.mark.parametrize("name", sorted(__spark_entry__.queries()))
+@pytest.mark.parametrize("name", sorted(queries.queries()))
 def test_matches_sql(spark, name):
     assert compare(spark, SF_DIR, name) == ""
 
 
 def test_every_query_has_sql():
-    assert set(__spark_entry__.queries()) == set(__spark_entry__.oracle_sql())
+    assert set(queries.queries()) == set(oracle_sql())
 
 
 def test_entry(spark):
