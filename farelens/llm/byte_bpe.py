@@ -49,19 +49,35 @@ def packed_ids(text: str, enc: tiktoken.Encoding) -> bytes:
     return b"".join(np.asarray(enc.encode_ordinary(piece), "<u4").tobytes() for piece in safe_pieces(text))
 
 
+def _encoded(docs: DataFrame, path: str, pattern: str, decoded: bool) -> DataFrame:
+    def run(batches):
+        enc = encoding(path, pattern)
+        for pdf in batches:
+            out = {"doc_id": pdf["doc_id"], "ids": [packed_ids(text or "", enc) for text in pdf["text"]]}
+            if decoded:
+                out["decoded"] = [_raw_bytes(ids, enc) for ids in out["ids"]]
+            yield pd.DataFrame(out)
+
+    schema = "doc_id long, ids binary" + ", decoded binary" * decoded
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, schema)
+
+
+def _raw_bytes(packed: bytes, enc: tiktoken.Encoding) -> bytes:
+    return enc.decode_bytes(np.frombuffer(packed, "<u4").tolist())
+
+
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id and ``ids`` of every whole text, the ids packed as little-endian unsigned 32-bit integers.
 
     No special tokens: their strings are ordinary text. Null and empty texts give no ids. Other columns of ``docs`` are not read;
     repeated rows are encoded each. ``path`` must be readable by the executors.
     """
+    return _encoded(docs, path, pattern, False)
 
-    def run(batches):
-        enc = encoding(path, pattern)
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": [packed_ids(text or "", enc) for text in pdf["text"]]})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, ids binary")
+def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """``encode`` with a column ``decoded``: the raw bytes that the ids stand for, in one pass of one Python worker."""
+    return _encoded(docs, path, pattern, True)
 
 
 def decode(ids: Column, path: str, pattern: str) -> Column:
@@ -70,6 +86,6 @@ def decode(ids: Column, path: str, pattern: str) -> Column:
     @F.pandas_udf("binary")
     def run(packed: pd.Series) -> pd.Series:
         enc = encoding(path, pattern)
-        return packed.map(lambda x: None if x is None else enc.decode_bytes(np.frombuffer(x, "<u4").tolist()))
+        return packed.map(lambda x: None if x is None else _raw_bytes(x, enc))
 
     return run(ids)

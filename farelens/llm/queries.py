@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from farelens.llm import byte_bpe, exact_dedup, line_dedup, mixing, ngram_join, token_counts
+from farelens.llm import byte_bpe, exact_dedup, line_dedup, mixing, ngram_join, token_counts, toxicity, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.Mixture(_table(spark, sf_dir, "documents")).taken()
 
@@ -39,21 +43,25 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(_table(spark, sf_dir, "documents"), width=4, threshold=85)
 
 
+def op8_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(_table(spark, sf_dir, "embeddings"), 0.9)
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    ids = byte_bpe.encode(_table(spark, sf_dir, "documents"), path, pattern)
-    return ids.select(
+    return byte_bpe.round_trip(_table(spark, sf_dir, "documents"), path, pattern).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(byte_bpe.decode(F.col("ids"), path, pattern), 256).alias("decoded_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One query for each operator, over its whole table."""
     every = (
-        op1_exact_dedup, op2_token_counts, op5_source_mixing, op6_line_dedup, op7_ngram_jaccard_join, op9_byte_bpe,
+        op1_exact_dedup, op2_token_counts, op4_toxicity, op5_source_mixing, op6_line_dedup, op7_ngram_jaccard_join,
+        op8_vector_near_dedup, op9_byte_bpe,
     )
     return {query.__name__: query for query in every}
 
