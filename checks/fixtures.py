@@ -6,6 +6,9 @@ read whole tables and stay lazy.
 
 from __future__ import annotations
 
+import functools
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +17,8 @@ from farelens.schema import FLIGHT_SCHEMA
 
 HOLIDAY_MONTH_DAYS = ("01-01", "01-28", "02-01", "04-05", "05-01", "05-02")
 HOLIDAY_YEARS = range(1995, 2002)
+#: Added to ids so that a double cannot hold them; a multiple of ten, so lines stay readable from ids.
+BIG_ID = 9_007_199_254_740_990
 
 # A stable order for previews: whatever still ties is alike in every column shown.
 PREVIEW_ORDER = ("date", "route_name", "flight_number", "flight_id", "total_revenue", "total_cost")
@@ -23,6 +28,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@functools.cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="farelens-checks-")
+
+
+def work_folder(spark: SparkSession) -> str:
+    """Folder for written tables: the one the session names; a temporary one only for a local session that names none."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return folder or _local_folder()
+
+
 def _joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = table(spark, sf_dir, "nation")
     origin = nation.select(
@@ -118,12 +136,19 @@ def flights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flights_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flights that miss the price on line 3 of an order and the aircraft on line 5."""
+    """Flights that miss the price on line 3 of an order, the aircraft on line 5, the seats on line 2 and the route on line 6.
+
+    On line 4 the elasticity is not a number. Ids lie above 2 ** 53.
+    """
     line = F.col("flight_id") % 10
     return flights(spark, sf_dir).withColumns(
         {
+            "flight_id": F.col("flight_id") + F.lit(BIG_ID),
             "avg_ticket_price": F.when(line != 3, F.col("avg_ticket_price")),
             "aircraft_type": F.when(line != 5, F.col("aircraft_type")),
+            "booked_seats": F.when(line != 2, F.col("booked_seats")),
+            "route_name": F.when(line != 6, F.col("route_name")),
+            "price_elasticity": F.when(line == 4, F.lit(float("nan"))).otherwise(F.col("price_elasticity")),
         }
     )
 

@@ -103,8 +103,12 @@ def flights_sql(body: str, *more: str) -> str:
 
 _GAPS = """gaps AS (
   SELECT * REPLACE (
+    flight_id + 9007199254740990 AS flight_id,
     CASE WHEN flight_id % 10 <> 3 THEN avg_ticket_price END AS avg_ticket_price,
-    CASE WHEN flight_id % 10 <> 5 THEN aircraft_type END AS aircraft_type)
+    CASE WHEN flight_id % 10 <> 5 THEN aircraft_type END AS aircraft_type,
+    CASE WHEN flight_id % 10 <> 2 THEN booked_seats END AS booked_seats,
+    CASE WHEN flight_id % 10 <> 6 THEN route_name END AS route_name,
+    CASE WHEN flight_id % 10 <> 4 THEN price_elasticity END AS price_elasticity)
   FROM flights
 )"""
 
@@ -469,12 +473,17 @@ _MARGINS = f"""profiles AS (
 )"""
 
 
-def oracle_sql() -> dict[str, str]:
+def _every() -> dict[str, str]:
     gap_bounds = _bounds("filled", "ticket_price")
     filled = f"""filled AS (
   SELECT * REPLACE (coalesce(avg_ticket_price, (SELECT median(avg_ticket_price) FROM gaps))
       AS avg_ticket_price,
     coalesce(avg_ticket_price, (SELECT median(avg_ticket_price) FROM gaps)) AS ticket_price,
+    coalesce(booked_seats::DOUBLE, (SELECT median(booked_seats) FROM gaps)) AS booked_seats,
+    coalesce(booked_seats::DOUBLE, (SELECT median(booked_seats) FROM gaps)) AS sold_seats,
+    coalesce(price_elasticity, (SELECT median(price_elasticity) FROM gaps)) AS price_elasticity,
+    coalesce(route_name, (SELECT route_name FROM gaps WHERE route_name IS NOT NULL
+      GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)) AS route_name,
     coalesce(aircraft_type, (SELECT aircraft_type FROM gaps WHERE aircraft_type IS NOT NULL
       GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)) AS aircraft_type)
   FROM gaps
@@ -502,7 +511,10 @@ def oracle_sql() -> dict[str, str]:
         "missing_counts": flights_sql(
             """SELECT 'avg_ticket_price' AS column_name, count(*) AS missing FROM gaps
 WHERE avg_ticket_price IS NULL
-UNION ALL SELECT 'aircraft_type', count(*) FROM gaps WHERE aircraft_type IS NULL""",
+UNION ALL SELECT 'aircraft_type', count(*) FROM gaps WHERE aircraft_type IS NULL
+UNION ALL SELECT 'booked_seats', count(*) FROM gaps WHERE booked_seats IS NULL
+UNION ALL SELECT 'route_name', count(*) FROM gaps WHERE route_name IS NULL
+UNION ALL SELECT 'price_elasticity', count(*) FROM gaps WHERE price_elasticity IS NULL""",
             _GAPS,
         ),
         "fill_numeric_median": flights_sql(
@@ -516,7 +528,7 @@ UNION ALL SELECT 'aircraft_type', count(*) FROM gaps WHERE aircraft_type IS NULL
         ),
         "fill_missing": flights_sql(
             f"""SELECT flight_id, {mean("avg_ticket_price")} AS avg_ticket_price, aircraft_type,
-  booked_seats::DOUBLE AS booked_seats, route_name FROM filled""",
+  booked_seats, route_name FROM filled""",
             _GAPS,
             filled,
         ),
@@ -548,7 +560,7 @@ FROM flights"""
             f"""SELECT flight_id, route_name, aircraft_type, flight_date AS date, month,
   (day_of_week - 1)::INTEGER AS day_of_week,
   {", ".join(f"{mean(_capped(c))} AS {c}" for c in fixed.IQR_COLUMNS)},
-  {mean("avg_ticket_price")} AS avg_ticket_price, sold_seats
+  {mean("avg_ticket_price")} AS avg_ticket_price, sold_seats, price_elasticity
 FROM filled, bounds""",
             _GAPS,
             filled,
@@ -874,10 +886,51 @@ SELECT conv_id, turn, question[:50] || '...' AS query_preview,
   CASE WHEN length(answer) > 100 THEN answer[:100] || '...' ELSE answer END AS answer_preview
 FROM (SELECT *, {_ANSWER} AS answer FROM exchanges)""",
         "results_table": f"""WITH {_EXCHANGES}
-SELECT query, reasoning, answer
-FROM (SELECT split_part(question, ' ', 1) AS query, {_REASONING} AS reasoning, {_ANSWER} AS answer,
-        row_number() OVER (PARTITION BY split_part(question, ' ', 1)
-                           ORDER BY conv_id DESC, turn DESC) AS latest
+SELECT query, CASE WHEN empty THEN NULL ELSE reasoning END AS reasoning,
+  CASE WHEN empty THEN {text(fixed.NO_CHOICES_SHORT)} ELSE answer END AS answer
+FROM (SELECT question AS query, {_REASONING} AS reasoning, {_ANSWER} AS answer, (conv_id + turn) % 3 = 0 AS empty,
+        row_number() OVER (PARTITION BY question ORDER BY conv_id DESC, turn DESC) AS latest
       FROM exchanges)
 WHERE latest = 1""",
+        "pricing_summary_flow": flights_sql(
+            "SELECT profiles.*, seasonal_index FROM profiles JOIN season_text USING (route_name)",
+            _GAPS,
+            filled,
+            gap_bounds,
+            "capped AS (SELECT * REPLACE ("
+            + ", ".join(f"{_capped(c)} AS {c}" for c in fixed.IQR_COLUMNS)
+            + ") FROM filled, bounds)",
+            *_profile("capped"),
+            _SEASON_TEXT,
+        ),
+        "route_summary_rows": flights_sql(
+            f"""SELECT 'overall' AS section, NULL AS route_name, to_json({{
+  'avg_price': {mean("avg(ticket_price)", 2)}, 'avg_load_factor': {mean("avg(load_factor)", 2)},
+  'avg_profit_margin': {mean("avg(profit_margin)", 2)}, 'total_routes': count(DISTINCT route_name),
+  'total_samples': count(*), 'date_start': min(flight_date), 'date_end': max(flight_date)}})::VARCHAR AS summary_json
+FROM flights
+UNION ALL SELECT 'route', route_name, to_json(profile)::VARCHAR FROM entries""",
+            *_summary_parts(20),
+        ),
+        "load_price_bins": flights_sql(
+            """SELECT route_name, floor(load_factor * 100 / 5)::BIGINT AS load_pct_bin,
+  floor(ticket_price / 100)::BIGINT AS price_bin, count(*) AS flights
+FROM flights GROUP BY ALL"""
+        ),
+        "load_margin_bins": flights_sql(
+            """SELECT route_name, floor(load_factor / 0.05::DOUBLE)::BIGINT AS load_factor_bin,
+  floor(marginal_contribution_rate / 0.05::DOUBLE)::BIGINT AS marginal_contribution_rate_bin, count(*) AS flights
+FROM flights GROUP BY ALL"""
+        ),
+        "route_flight_pairs": flights_sql("SELECT DISTINCT route_name, flight_number FROM flights"),
+        "flight_number_lookup": flights_sql(
+            """SELECT flight_id, total_revenue, numbers, first_number
+FROM flights JOIN (
+  SELECT route_name, count(DISTINCT flight_number) AS numbers, min(flight_number) AS first_number FROM flights GROUP BY 1) USING (route_name)"""
+        ),
     }
+
+
+def oracle_sql() -> dict[str, str]:
+    every = _every()
+    return every | {"route_report_flow": every["report_rows"]}

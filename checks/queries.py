@@ -27,6 +27,7 @@ from farelens.operators import (
     stats,
     summary,
 )
+from farelens.plans import pricing_summary, route_report
 from farelens.sources import (
     cut_lineage,
     new_folder,
@@ -57,10 +58,10 @@ def _map_text(entries: Column) -> Column:
 
 def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flights to CSV and back, then their route statistics to CSV and back."""
-    flights_path = new_folder(spark, "flights-csv")
+    flights_path = new_folder(fx.work_folder(spark), "flights-csv")
     write_csv(fx.flights(spark, sf_dir), flights_path)
     route_stats = stats.route_stats(read_flights(spark, flights_path))
-    stats_path = new_folder(spark, "route-stats-csv")
+    stats_path = new_folder(fx.work_folder(spark), "route-stats-csv")
     write_csv(route_stats, stats_path)
     schema = route_stats.schema
     back = read_flights(spark, stats_path, schema)
@@ -69,7 +70,7 @@ def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Route profiles, cut because rankings and selections read them several times."""
-    return cut_lineage(profile.route_profile(fx.analytic(spark, sf_dir)))
+    return cut_lineage(profile.route_profile(fx.analytic(spark, sf_dir)), fx.work_folder(spark))
 
 
 def _sample_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +100,7 @@ def summary_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def summary_elasticity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = new_folder(spark, "summary-json")
+    path = new_folder(fx.work_folder(spark), "summary-json")
     write_summary(_summary(spark, sf_dir), path)
     return read_summary_elasticity(spark, path)
 
@@ -133,14 +134,13 @@ def fill_numeric_median(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fill_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every column filled in one lazy plan, gaps found on the way."""
+    """Every column with gaps filled, gaps found on the way; all others keep values and types."""
     filled = clean.fill_missing(
         fx.flights_with_gaps(spark, sf_dir).select(
             "flight_id", "avg_ticket_price", "aircraft_type", "booked_seats", "route_name"
         )
     )
-    exact_id = filled.withColumn("flight_id", F.col("flight_id").cast("long"))
-    return rounded_columns(exact_id, "avg_ticket_price")
+    return rounded_columns(filled, "avg_ticket_price")
 
 
 def fill_categorical_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,10 +181,8 @@ def split_route(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def preprocess(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gappy = fx.flights_with_gaps(spark, sf_dir)
-    fill = clean.columns_with_gaps(clean.with_calendar(gappy))
-    cleaned = clean.preprocess(gappy, fill).select(
-        F.col("flight_id").cast("long").alias("flight_id"),
+    cleaned = clean.preprocess(fx.flights_with_gaps(spark, sf_dir)).select(
+        "flight_id",
         "route_name",
         "aircraft_type",
         F.date_format("date", "yyyy-MM-dd").alias("date"),
@@ -195,6 +193,7 @@ def preprocess(spark: SparkSession, sf_dir: str) -> DataFrame:
         "load_factor",
         "profit_margin",
         "sold_seats",
+        "price_elasticity",
     )
     return rounded_columns(
         cleaned, "ticket_price", "avg_ticket_price", "load_factor", "profit_margin"
@@ -368,7 +367,7 @@ def route_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clean_route_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Profiles of the cleaned table, where prices and margins are capped."""
-    cleaned = clean.cap_iqr(fx.analytic(spark, sf_dir))
+    cleaned = cut_lineage(clean.cap_iqr(fx.analytic(spark, sf_dir)), fx.work_folder(spark))
     profiles = profile.route_profile(cleaned)
     return profiles.withColumn("seasonal_index", _map_text(F.col("seasonal_index")))
 
@@ -475,7 +474,8 @@ def middle_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     means = cut_lineage(
         fx.analytic(spark, sf_dir)
         .groupBy("route_name")
-        .agg(rounded_mean(F.avg("profit_margin")).alias("avg_profit_margin"))
+        .agg(rounded_mean(F.avg("profit_margin")).alias("avg_profit_margin")),
+        fx.work_folder(spark),
     )
     ranked = rank.best_worst(means)
     best, worst = (ranked.filter(F.col("section") == name) for name in ("best", "worst"))
@@ -542,7 +542,7 @@ def quote_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    route_figures = cut_lineage(stats.route_stats(fx.flights(spark, sf_dir)))
+    route_figures = cut_lineage(stats.route_stats(fx.flights(spark, sf_dir)), fx.work_folder(spark))
     return report.report_rows(route_figures, rules.recommend(route_figures))
 
 
@@ -595,14 +595,54 @@ def answer_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def results_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keyed by the first word of the question, so that keys repeat."""
-    parsed = responses.parse_responses(fx.responses(spark, sf_dir))
-    keyed = parsed.withColumn("query", F.split_part("query", F.lit(" "), F.lit(1))).withColumn(
-        "seq", F.struct("conv_id", "turn")
-    )
+    """Every question asked twice; for a third of them the second response is empty."""
+    asked = fx.responses(spark, sf_dir).withColumn("round", F.explode(F.array(F.lit(1), F.lit(2))))
+    empty = (F.col("round") == 2) & ((F.col("conv_id") + F.col("turn")) % 3 == 0)
+    again = asked.withColumn("response_json", F.when(empty, F.lit('{"choices":[]}')).otherwise(F.col("response_json")))
+    parsed = responses.parse_responses(again)
+    keyed = parsed.withColumn("seq", F.struct("conv_id", "turn", "round"))
     return responses.results_table(keyed).select("query", "reasoning", "answer")
 
 
+# --- whole flows --------------------------------------------------------------------------------
+
+
+def pricing_summary_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw flights with gaps, cleaned, then profiled."""
+    tables = pricing_summary(fx.flights_with_gaps(spark, sf_dir), fx.PREVIEW_ORDER, fx.work_folder(spark))
+    return tables["profiles"].withColumn("seasonal_index", _map_text(F.col("seasonal_index")))
+
+
+def route_summary_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summary of all routes, a row for each."""
+    return summary.summary_rows(fx.analytic(spark, sf_dir), _profile(spark, sf_dir))
+
+
+def route_report_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return route_report(fx.flights(spark, sf_dir), fx.work_folder(spark))["report_rows"]
+
+
+def load_price_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.load_price_bins(fx.analytic(spark, sf_dir))
+
+
+def load_margin_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.load_margin_bins(fx.flights(spark, sf_dir))
+
+
+def route_flight_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.route_flight_pairs(fx.flights(spark, sf_dir))
+
+
+def flight_number_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every flight with the flight numbers of its route."""
+    flights = fx.flights(spark, sf_dir)
+    looked = lookup.with_flight_numbers(flights.select("flight_id", "total_revenue", "route_name"), lookup.route_flight_numbers(flights))
+    return looked.select(
+        "flight_id", "total_revenue", F.size("flight_numbers").cast("long").alias("numbers"), F.col("flight_numbers")[0].alias("first_number")
+    )
+
+
 REGISTERED: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     csv_roundtrip,
     summary_json,
@@ -672,6 +712,13 @@ REGISTERED: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     parse_responses_alt,
     answer_preview,
     results_table,
+    pricing_summary_flow,
+    route_summary_rows,
+    route_report_flow,
+    load_price_bins,
+    load_margin_bins,
+    route_flight_pairs,
+    flight_number_lookup,
 )
 
 

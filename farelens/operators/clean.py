@@ -13,7 +13,8 @@ from pyspark.sql import types as T
 
 from farelens.fixed_values import IQR_COLUMNS, IQR_REACH, REQUIRED_COLUMNS
 from farelens.functions import between_bounds
-from farelens.operators.quantiles import exact_quantiles, quoted
+from farelens.operators.quantiles import exact_quantiles, interpolated, quantile_ranks, quoted, ranked_values
+from farelens.sources.flights import nan_to_null
 
 # target column -> column it is copied from when the target is missing
 _ALIASES = {
@@ -45,14 +46,20 @@ def add_calendar(df: DataFrame) -> DataFrame:
     return df.withColumns({"month": F.month("date"), "day_of_week": F.weekday("date")})
 
 
+def _is_missing(field: T.StructField) -> Column:
+    """Null, or in a floating column not a number."""
+    col = F.col(quoted(field.name))
+    return col.isNull() | F.isnan(col) if isinstance(field.dataType, (T.DoubleType, T.FloatType)) else col.isNull()
+
+
 def missing_counts(df: DataFrame) -> DataFrame:
-    """Columns that hold nulls, with their number of nulls."""
-    counts = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns])
+    """Columns that hold nulls or NaN, with the number of these."""
+    counts = df.agg(*[F.count_if(_is_missing(f)).alias(f.name) for f in df.schema.fields])
     return counts.unpivot([], df.columns, "column_name", "missing").filter(F.col("missing") > 0)
 
 
 def columns_with_gaps(df: DataFrame) -> list[str]:
-    """Names of the columns that hold nulls; runs one count over the table."""
+    """Names of the columns that hold nulls or NaN; runs one count over the table, whose result is one figure per column."""
     return [row["column_name"] for row in missing_counts(df).collect()]
 
 
@@ -65,36 +72,14 @@ def text_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
 
 
-def _gappy(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """The columns, emptied where they have no gaps.
-
-    A cheap count finds the gaps first, so that medians and modes are only searched where one is needed.
-    """
-    names = [quoted(c) for c in cols]
-    counts = ", ".join(f"count({c}) < count(1)" for c in names)
-    gaps = df.agg(F.expr(f"array({counts})").alias("gaps"))
-    return (
-        df.select(*cols)
-        .withColumn("_gaps", gaps.scalar())
-        .selectExpr(*[f"IF(_gaps[{i}], {c}, NULL) AS {c}" for i, c in enumerate(names)])
-    )
-
-
-def _medians(gappy: DataFrame, cols: Sequence[str], exact: bool) -> Column:
-    """Scalar array: medians in the order of ``cols``."""
-    medians = exact_quantiles(gappy, cols, [0.5], exact=exact)
-    firsts = ", ".join(f"{quoted(c)}[0]" for c in cols)
-    return medians.selectExpr(f"array({firsts}) AS medians").scalar()
-
-
-def _modes(gappy: DataFrame, cols: Sequence[str]) -> Column:
+def _modes(df: DataFrame, cols: Sequence[str]) -> Column:
     """Scalar array: the most frequent value of each column, the smallest one on ties.
 
     Values are counted with a shuffle on (column, value), so no task holds all values of a column.
     """
     numbered = [str(i) for i in range(len(cols))]
     counts = (
-        gappy.selectExpr(*[f"{quoted(c)} AS `{i}`" for i, c in zip(numbered, cols)])
+        df.selectExpr(*[f"{quoted(c)} AS `{i}`" for i, c in zip(numbered, cols)])
         .unpivot([], numbered, "name", "value")
         .filter(F.col("value").isNotNull())
         .groupBy(F.col("name").cast("int").alias("name"), "value")
@@ -109,83 +94,147 @@ def _modes(gappy: DataFrame, cols: Sequence[str]) -> Column:
     return modes.selectExpr(f"array({listed}) AS modes").scalar()
 
 
-def _numeric_fills(cols: Sequence[str]) -> dict[str, Column]:
-    filled = {c: F.expr(f"coalesce({quoted(c)}, _medians[{i}])") for i, c in enumerate(cols)}
-    filled.update({c: filled[c].cast("int") for c in _CALENDAR if c in filled})
-    return filled
+def _filled_type(kind: T.DataType) -> str:
+    """Type of a numeric column after filling: a median may end in one half, and a LONG does not fit a double."""
+    return "decimal(20,1)" if isinstance(kind, T.LongType) else kind.simpleString() if isinstance(kind, T.DecimalType) else "double"
 
 
-def _text_fills(cols: Sequence[str]) -> dict[str, Column]:
-    return {c: F.expr(f"coalesce({quoted(c)}, _modes[{i}])") for i, c in enumerate(cols)}
+def _filled(df: DataFrame, name: str, value: Column) -> Column:
+    kind = "int" if name in _CALENDAR else _filled_type(df.schema[name].dataType)
+    return F.coalesce(F.col(quoted(name)).cast(kind), value.cast(kind))
 
 
-def fill_numeric_median(
-    df: DataFrame, cols: Sequence[str] | None = None, exact: bool = True
-) -> DataFrame:
-    """Fill nulls of numeric columns with the column's median.
+def _in_filled(values: Column, place: Column, size: Column, nulls: Column, median: Column) -> Column:
+    """Value at a place (from 0 on) of a sorted column whose nulls became the median, from the ranks of the column itself.
 
-    Filled columns become double, as a median may lie between two integers; month and weekday stay whole.
-    Without ``cols`` all numeric columns are filled, and those with gaps are found first.
+    The copies of the median stand after the values up to the middle.
     """
-    named = numeric_columns(df) if cols is None else list(cols)
-    if not named:
-        return df
-    search = _gappy(df, named) if cols is None else df.select(*named)
-    filled = df.withColumn("_medians", _medians(search, named, exact))
-    return filled.withColumns(_numeric_fills(named)).drop("_medians")
+    before = F.floor((size - 1) / 2) + 1
+    return F.when(place < before, values[place + 1]).when(place < before + nulls, median).otherwise(values[place - nulls + 1])
 
 
-def fill_categorical_mode(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """Fill nulls of text columns with the most frequent value, the smallest one on ties.
+def _original_ranks(place: Column, size: Column, nulls: Column) -> Column:
+    """Rank to look up for a place of the filled column; the middle for a copy of the median."""
+    before = F.floor((size - 1) / 2) + 1
+    return F.when(place < before, place + 1).when(place < before + nulls, before).otherwise(place - nulls + 1).cast("long")
 
-    Without ``cols`` all text columns are filled, and those with gaps are found first.
-    """
-    named = text_columns(df) if cols is None else list(cols)
-    if not named:
-        return df
-    search = _gappy(df, named) if cols is None else df.select(*named)
-    filled = df.withColumn("_modes", _modes(search, named))
-    return filled.withColumns(_text_fills(named)).drop("_modes")
 
+_QUARTILES = (0.25, 0.75)
 
-def fill_missing(
-    df: DataFrame, cols: Sequence[str] | None = None, exact: bool = True
-) -> DataFrame:
-    """Both fillings in one step: numeric columns by median, text columns by mode.
 
-    Other kinds of columns in ``cols`` are left alone.
+def _column_figures(df: DataFrame, gaps: Sequence[str], capped: Sequence[str]) -> Column:
+    """Scalar map from column name to (median, low, high): bounds are those of the column after its gaps are filled.
+
+    Filling adds copies of the median, so quartiles of the filled column are ranks of the column itself: one search for all.
     """
-    numeric, texts = (
-        [c for c in names if cols is None or c in cols]
-        for names in (numeric_columns(df), text_columns(df))
+    names = list(dict.fromkeys([*gaps, *capped]))
+    numbered = [str(i) for i in range(len(names))]
+    narrow = df.selectExpr(*[f"CAST({quoted(c)} AS DOUBLE) AS `{i}`" for i, c in zip(numbered, names)])
+    records = narrow.unpivot([], numbered, "measure", "value").withColumn("measure", F.col("measure").cast("int"))
+    holds = F.array(*[F.lit(c in gaps) for c in names]) if names else F.array()
+    filled_nulls = lambda nulls: F.when(holds[F.col("measure")], nulls).otherwise(0)
+
+    def places(size: Column, nulls: Column) -> list[tuple[Column, Column, Column]]:
+        return [(low - 1, high - 1, share) for low, high, share in quantile_ranks(_QUARTILES, size + filled_nulls(nulls))]
+
+    def ranks(size: Column, nulls: Column) -> Column:
+        middle = quantile_ranks([0.5], size)[0]
+        wanted = [middle[0], middle[1]]
+        for low, high, _ in places(size, nulls):
+            wanted += [_original_ranks(p, size, filled_nulls(nulls)) for p in (low, high)]
+        return F.array(*wanted)
+
+    found = ranked_values(records, ["measure"], ranks)
+    by_rank = F.map_from_entries(F.collect_list(F.struct("rank", "value")))
+    columns = found.groupBy("measure", "size", "nulls").agg(by_rank.alias("values"))
+    size, nulls, values = F.col("size"), F.col("nulls"), F.col("values")
+    columns = columns.withColumn("median", interpolated(values, quantile_ranks([0.5], size)[0]))
+    quarters = []
+    for low, high, share in places(size, nulls):
+        below, above = (_in_filled(values, p, size, filled_nulls(nulls), F.col("median")) for p in (low, high))
+        quarters.append(below + (above - below) * share)
+    reach = (quarters[1] - quarters[0]) * IQR_REACH
+    figures = columns.select(
+        F.element_at(F.array(*map(F.lit, names)), F.col("measure") + 1).alias("name"),
+        F.struct("median", (quarters[0] - reach).alias("low"), (quarters[1] + reach).alias("high")).alias("figures"),
     )
-    if not numeric and not texts:
-        return df
-    both = [*numeric, *texts]
-    search, found, fills = _gappy(df, both) if cols is None else df.select(*both), {}, {}
-    if numeric:
-        found["_medians"] = _medians(search, numeric, exact)
-        fills.update(_numeric_fills(numeric))
+    # One entry per column.
+    return figures.agg(F.map_from_entries(F.collect_list(F.struct("name", "figures"))).alias("figures")).scalar()
+
+
+def _sketched_figures(df: DataFrame, gaps: Sequence[str], capped: Sequence[str]) -> Column:
+    """The same from sketches, in one pass; quartiles are those before filling."""
+    names = list(dict.fromkeys([*gaps, *capped]))
+    quantiles = exact_quantiles(df, names, [0.25, 0.5, 0.75], exact=False)
+    entries = []
+    for c in names:
+        q = F.col(quoted(c))
+        reach = (q[2] - q[0]) * IQR_REACH
+        figures = F.struct(q[1].alias("median"), (q[0] - reach).alias("low"), (q[2] + reach).alias("high"))
+        entries += [F.lit(c), figures]
+    return quantiles.select(F.create_map(*entries).alias("figures")).scalar()
+
+
+def _fill_and_cap(df: DataFrame, gaps: Sequence[str], capped: Sequence[str], exact: bool) -> DataFrame:
+    """Fill the columns in ``gaps``, move the columns in ``capped`` into their bounds, leave all others alone."""
+    numeric = [c for c in numeric_columns(df) if c in gaps]
+    texts = [c for c in text_columns(df) if c in gaps]
+    capped = [c for c in capped if c in df.columns]
+    found, changed = {}, {}
+    if numeric or capped:
+        found["_figures"] = (_column_figures if exact else _sketched_figures)(df, numeric, capped)
     if texts:
-        found["_modes"] = _modes(search, texts)
-        fills.update(_text_fills(texts))
-    return df.withColumns(found).withColumns(fills).drop(*found)
+        found["_modes"] = _modes(df, texts)
+    for c in dict.fromkeys([*numeric, *capped]):
+        figures = F.col("_figures")[c]
+        value = _filled(df, c, figures["median"]) if c in numeric else F.col(quoted(c))
+        changed[c] = between_bounds(value, figures["low"], figures["high"]) if c in capped else value
+    changed.update({c: F.coalesce(F.col(quoted(c)), F.col("_modes")[i]) for i, c in enumerate(texts)})
+    return df.withColumns(found).withColumns(changed).drop(*found) if found else df
 
 
-def resolve_aliases(df: DataFrame) -> DataFrame:
-    """Copy operational columns to their analytic names where those are missing.
+def fill_numeric_median(df: DataFrame, cols: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
+    """Fill nulls and NaN of numeric columns with the column's median.
 
-    The source columns stay. A table that names its route ``route`` gets ``route_name`` as well.
+    Only columns with gaps change. As a median may lie between two integers, a filled LONG becomes DECIMAL(20,1) and other
+    integers double; month and weekday stay whole. Without ``cols`` the gaps are counted first, which runs one pass.
     """
+    wanted = numeric_columns(df)
+    gaps = columns_with_gaps(df.select(*map(quoted, wanted))) if cols is None else [c for c in wanted if c in cols]
+    return _fill_and_cap(nan_to_null(df), gaps, (), exact)
+
+
+def fill_categorical_mode(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+    """Fill nulls of text columns with the most frequent value, the smallest one on ties.
+
+    Without ``cols`` the columns with gaps are found first, which runs one pass.
+    """
+    wanted = text_columns(df)
+    gaps = columns_with_gaps(df.select(*map(quoted, wanted))) if cols is None else [c for c in wanted if c in cols]
+    return _fill_and_cap(df, gaps, (), True)
+
+
+def fill_missing(df: DataFrame, cols: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
+    """Both fillings in one step: numeric columns by median, text columns by mode. Other kinds of columns are left alone."""
+    return _fill_and_cap(nan_to_null(df), columns_with_gaps(df) if cols is None else cols, (), exact)
+
+
+def _copied(df: DataFrame) -> dict[str, str]:
+    """Analytic names that are missing, with the operational column each is copied from."""
     have = set(df.columns)
-    copies = {
-        target: F.col(source)
-        for target, source in _ALIASES.items()
-        if target not in have and source in have
-    }
-    if "route_name" not in have and "route" in have:
-        copies["route_name"] = F.col("route")
-    return df.withColumns(copies) if copies else df
+    return {target: source for target, source in _ALIASES.items() if target not in have and source in have}
+
+
+def resolve_aliases(df: DataFrame) -> DataFrame:
+    """Copy operational columns to their analytic names where those are missing; the source columns stay.
+
+    A table without ``route_name`` gets it from its two cities, else from ``route``.
+    """
+    copies = _copied(df)
+    named = ensure_route_name(df.withColumns({target: F.col(source) for target, source in copies.items()}) if copies else df)
+    if "route_name" not in named.columns and "route" in named.columns:
+        named = named.withColumn("route_name", F.col("route"))
+    return named
 
 
 def _iqr_bounds(df: DataFrame, cols: Sequence[str], exact: bool) -> Column:
@@ -264,16 +313,17 @@ def with_calendar(df: DataFrame) -> DataFrame:
     return add_calendar(resolve_date(df))
 
 
-def preprocess(
-    df: DataFrame, fill: Sequence[str] | None = None, exact: bool = True
-) -> DataFrame:
-    """The whole cleaning sequence, as one lazy plan.
+def preprocess(df: DataFrame, fill: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
+    """The whole cleaning sequence: dates, filling, aliases, bounds, route name.
 
-    Medians, modes and bounds are one-row subqueries over pruned scans of the input: nothing is collected,
-    and the wide rows are read once. Read the input from a columnar file so that pruning pays. Name the
-    columns to fill where they are known, e.g. from ``columns_with_gaps(with_calendar(df))``: the plan
-    then skips the search for gaps and keeps the types of all other columns.
+    Without ``fill``, the columns to fill, gaps are counted in one pass while the plan is built. The plan then passes over its
+    input twice for medians and bounds together, over the text columns with gaps once for their modes, and once for the result. Read
+    the input from a columnar file, so that the first passes read few columns.
     """
-    filled = fill_missing(with_calendar(df), fill, exact)
-    capped = cap_iqr(resolve_aliases(filled), exact=exact)
-    return require_columns(ensure_route_name(capped))
+    dated = with_calendar(nan_to_null(df))
+    gaps = list(columns_with_gaps(dated) if fill is None else fill)
+    copies = _copied(dated)
+    # A copy has the gaps of its source, so that both are filled and bounded in one search.
+    gaps += [target for target, source in copies.items() if source in gaps]
+    copied = dated.withColumns({target: F.col(source) for target, source in copies.items()}) if copies else dated
+    return require_columns(resolve_aliases(_fill_and_cap(copied, gaps, IQR_COLUMNS, exact)))

@@ -7,20 +7,17 @@ from pyspark.sql import functions as F
 
 from farelens.fixed_values import MIN_ELASTICITY_ROWS
 from farelens.functions import ratio
-from farelens.operators.quantiles import ACCURACY, band_edges, band_zone
-from farelens.operators.spread import join_group_figures
+from farelens.operators.quantiles import ranked_values
 
 _NO_PRICE = float("inf")
 
 
-def _halves(
-    df: DataFrame, supplied: bool, accuracy: int, key: str, many_groups: bool
-) -> DataFrame:
+def _halves(df: DataFrame, supplied: bool, key: str) -> DataFrame:
     """Elasticity and size of each route, with the mean supplied elasticity if wanted.
 
-    No route is sorted as a whole. A price sketch locates the middle of each route; flights clearly below
-    or above it are summed up on the map side, and only the band around the middle is ordered, as a
-    histogram of (price, seats). One route may therefore hold any share of the table.
+    No route is sorted as a whole. The price in the middle of each route is found by counting (``ranked_values``); flights below
+    and above it are summed up on the map side, and only those at just this price are ordered, by their seats, as a histogram. One
+    route may therefore hold any share of the table: at most one row for each number of seats comes together.
     """
     given = F.col("price_elasticity") if supplied else F.lit(None)
     rows = df.filter(F.col(key).isNotNull()).select(
@@ -28,47 +25,36 @@ def _halves(
         F.col("ticket_price").cast("double").alias("price"),
         F.col("sold_seats").cast("double").alias("seats"),
         # Flights without a price sort last.
-        F.coalesce(F.col("ticket_price").cast("double"), F.lit(_NO_PRICE)).alias("price_order"),
+        F.coalesce(F.col("ticket_price").cast("double"), F.lit(_NO_PRICE)).alias("value"),
         given.cast("double").alias("given"),
     )
-    middle = rows.groupBy(key).agg(
-        F.count(F.lit(1)).alias("size"),
-        F.expr(band_edges("price_order", [0.5], accuracy)).alias("edges"),
-        F.avg("given").alias("supplied"),
-    )
-    zoned = join_group_figures(rows.drop("given"), middle, [key], many_groups).withColumn(
-        "zone", band_zone(F.col("price_order"), F.col("edges"), F.col("size"), 1, accuracy)
-    )
-    in_band = F.col("zone") == 1
-    route = [key, "size", "supplied"]
-    histogram = zoned.groupBy(
-        *route,
-        "zone",
-        F.when(in_band, F.col("price_order")).alias("band_price"),
-        F.when(in_band, F.col("seats")).alias("band_seats"),
-    ).agg(
-        F.count(F.lit(1)).alias("weight"),
-        F.sum("price").alias("price_sum"),
-        F.count("price").alias("price_n"),
-        F.sum("seats").alias("seats_sum"),
-        F.count("seats").alias("seats_n"),
+    middle = ranked_values(
+        rows.select(key, "value"), [key], lambda size, nulls: F.array(F.greatest(F.floor(size / 2), F.lit(1)).cast("long"))
+    ).select(key, "size", F.col("value").alias("middle"))
+    at_middle = F.col("value") == F.col("middle")
+    zone = F.when(at_middle, 1).when(F.col("value") < F.col("middle"), 0).otherwise(2)
+    route = [key, "size"]
+    histogram = (
+        rows.join(middle, key)
+        .groupBy(*route, zone.alias("zone"), F.when(at_middle, F.col("seats")).alias("middle_seats"))
+        .agg(
+            F.count(F.lit(1)).alias("weight"),
+            F.sum("price").alias("price_sum"),
+            F.count("price").alias("price_n"),
+            F.sum("seats").alias("seats_sum"),
+            F.count("seats").alias("seats_n"),
+            F.sum("given").alias("given_sum"),
+            F.count("given").alias("given_n"),
+        )
     )
 
-    order = Window.partitionBy(*route).orderBy("zone", "band_price", "band_seats")
+    order = Window.partitionBy(*route).orderBy("zone", "middle_seats")
     upto = F.sum("weight").over(order.rowsBetween(Window.unboundedPreceding, 0))
     half = F.floor(F.col("size") / 2)
     before = F.col("upto") - F.col("weight")
     # Within one histogram entry all rows are alike, so a share of its sums is exact.
     low_share = F.greatest(F.lit(0), F.least(half - before, F.col("weight"))) / F.col("weight")
-    outside_half = ((F.col("zone") == 0) & (F.col("upto") > half)) | (
-        (F.col("zone") == 2) & (before < half)
-    )
-    cut = histogram.withColumn("upto", upto).withColumn(
-        "low_share",
-        F.when(outside_half, F.raise_error(F.lit("price band missed the middle"))).otherwise(
-            low_share
-        ),
-    )
+    cut = histogram.withColumn("upto", upto).withColumn("low_share", low_share)
 
     def mean_of(measure: str, share: Column) -> Column:
         return ratio(
@@ -81,27 +67,25 @@ def _halves(
         mean_of("price", high).alias("high_price"),
         mean_of("seats", low).alias("low_seats"),
         mean_of("seats", high).alias("high_seats"),
+        ratio(F.sum("given_sum"), F.sum("given_n")).alias("supplied"),
     )
     price_change = ratio(F.col("high_price") - F.col("low_price"), F.col("low_price"))
     seats_change = ratio(F.col("high_seats") - F.col("low_seats"), F.col("low_seats"))
-    return halves.select(*route, ratio(seats_change, price_change).alias("computed"))
+    return halves.select(*route, "supplied", ratio(seats_change, price_change).alias("computed"))
 
 
 def price_elasticity(
     df: DataFrame,
     min_rows: int = MIN_ELASTICITY_ROWS,
-    accuracy: int = ACCURACY,
     key: str = "route_name",
-    many_groups: bool = False,
 ) -> DataFrame:
     """Elasticity between the cheaper and the dearer half of each route's flights.
 
     Flights are ordered by price, then seats; the cheaper half is the first floor(n/2) of them. The
     result is the relative change of mean seats over the relative change of mean price. It is null for
-    routes under ``min_rows`` flights, and where a divisor is zero. ``many_groups``: see
-    ``join_group_figures``.
+    routes under ``min_rows`` flights, and where a divisor is zero.
     """
-    return _halves(df, False, accuracy, key, many_groups).select(
+    return _halves(df, False, key).select(
         key,
         F.when(F.col("size") >= min_rows, F.col("computed")).alias("price_elasticity"),
         F.col("size").alias("sample_count"),
@@ -120,9 +104,7 @@ def supplied_elasticity(df: DataFrame, key: str = "route_name") -> DataFrame:
 def elasticity_or_supplied(
     df: DataFrame,
     min_rows: int = MIN_ELASTICITY_ROWS,
-    accuracy: int = ACCURACY,
     key: str = "route_name",
-    many_groups: bool = False,
 ) -> DataFrame:
     """Computed elasticity, or the mean of the supplied one where it does not apply.
 
@@ -136,7 +118,7 @@ def elasticity_or_supplied(
         return routes.groupBy(key).agg(
             value.alias("price_elasticity"), F.count(F.lit(1)).alias("sample_count")
         )
-    return _halves(df, has_supplied, accuracy, key, many_groups).select(
+    return _halves(df, has_supplied, key).select(
         key,
         F.when(F.col("size") >= min_rows, F.col("computed"))
         .otherwise(F.col("supplied"))

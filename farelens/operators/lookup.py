@@ -80,3 +80,8 @@ def route_flight_numbers(df: DataFrame) -> DataFrame:
         .groupBy("route_name")
         .agg(F.array_sort(F.collect_list("flight_number")).alias("flight_numbers"))
     )
+
+
+def with_flight_numbers(df: DataFrame, lists: DataFrame) -> DataFrame:
+    """Column ``flight_numbers`` of each row's route, null for a route without; ``lists``: (route_name, flight_numbers)."""
+    return df.join(lists.select("route_name", "flight_numbers"), "route_name", "left")

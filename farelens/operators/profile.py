@@ -27,9 +27,7 @@ def seasonal_map(profile: DataFrame) -> DataFrame:
     return profile.withColumn("seasonal_index", F.map_from_entries(entries))
 
 
-def route_profile(
-    df: DataFrame, min_rows: int = MIN_ELASTICITY_ROWS, many_groups: bool = False
-) -> DataFrame:
+def route_profile(df: DataFrame, min_rows: int = MIN_ELASTICITY_ROWS) -> DataFrame:
     """Price, load and margin means, elasticity, season map and row count per route, rounded to 2.
 
     The means and the season come from one aggregation to (route, month), rolled up per route. Tables
@@ -86,7 +84,7 @@ def route_profile(
         value = rounded_mean(F.col("season_raw")) if has_season else F.lit(1.0)
         shaped = rolled.withColumn("seasonal_index", F.create_map(F.lit("avg"), value))
     shaped = shaped.withColumns(means)
-    elasticity = elasticity_or_supplied(df, min_rows, many_groups=many_groups).select(
+    elasticity = elasticity_or_supplied(df, min_rows).select(
         "route_name", "price_elasticity"
     )
     return shaped.join(elasticity, "route_name", "left").select(

@@ -1,28 +1,27 @@
 """Exact quantiles without holding a whole group in one task.
 
-The built-in exact percentile keeps every distinct value of a group in one reducer. Here a quantile is
-found in two passes instead:
+The built-in exact percentile keeps every distinct value of a group in one reducer. Here a rank is narrowed down by counting:
 
-1. a mergeable sketch gives, per group, a narrow band of values that is certain to hold the wanted
-   ranks (``percentile_approx`` keeps its rank error within ``n / accuracy``);
-2. one aggregation counts the rows below the band as a single record per task and keeps only the
-   values inside it as a histogram, so the shuffle carries about ``8 / accuracy`` of the rows.
+1. one aggregation counts each group's values by coarse cell (sign, power of two, 8 more bits), in part before the shuffle;
+   running counts name the cell that holds a wanted rank;
+2. a second aggregation looks at the values of these cells only and counts them by the 44 bits that are left, cut into two
+   halves of 22; running counts over the first half, then over the second, end at a single value.
 
-Running counts over that histogram give the exact value at each rank. The outcome does not depend on the
-sketch: should a band ever miss its rank, the query fails rather than return a wrong value.
+Cells and halves keep the order of the values and depend on nothing but the value, so no rank can be missed, and equal values
+never make a group larger. A running count goes over at most 2**20 cells of a group, or 2**22 halves of a cell.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from farelens.operators.spread import join_group_figures
-
-# Sketch resolution. Groups with fewer rows than this are kept as a full histogram.
+# Resolution of the one-pass approximation.
 ACCURACY = 10_000
+_BITS, _HALF = 8, 22
+_NOT_A_NUMBER, _ENDLESS = 1 << 30, (1 << 30) - 1
 
 
 def quoted(name: str) -> str:
@@ -30,27 +29,103 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def band_edges(value: str, probs: Sequence[float], accuracy: int = ACCURACY) -> str:
-    """SQL aggregate: array of (low, high) value pairs around each quantile in ``probs``."""
-    margin = 4.0 / accuracy
-    marks = []
-    for p in sorted(probs):
-        marks += [f"{max(0.0, p - margin)}D", f"{min(1.0, p + margin)}D"]
-    return f"percentile_approx({value}, array({', '.join(marks)}), {accuracy})"
+def with_cells(rows: DataFrame, value: str = "value") -> DataFrame:
+    """Add the whole numbers ``a``, ``b``, ``c``: ordered as the value is, together equal to it. Null gives null; NaN is largest."""
+    v = quoted(value)
+    size = f"abs({v})"
+    # The logarithm may be off by one next to a power of two; comparing with the powers themselves is exact.
+    return (
+        rows.withColumn(
+            "_rough", F.expr(f"CASE WHEN {v} = 0 OR isnan({v}) OR {size} = double('Infinity') THEN 0 ELSE floor(log2({size})) END")
+        )
+        .withColumn("_power", F.expr(f"_rough + int({size} >= pow(2D, _rough + 1)) - int({size} < pow(2D, _rough))"))
+        .withColumn("_rest", F.expr(f"({size} / pow(2D, _power) - 1) * {1 << _BITS}"))
+        .withColumn("_first", F.expr(f"(_rest - floor(_rest)) * {1 << _HALF}D"))
+        .withColumns(
+            {
+                "a": F.expr(
+                    f"int(CASE WHEN isnan({v}) THEN {_NOT_A_NUMBER} WHEN {size} = double('Infinity') THEN signum({v}) * {_ENDLESS} "
+                    f"WHEN {v} = 0 THEN 0 WHEN {v} IS NULL THEN NULL "
+                    f"ELSE signum({v}) * ((_power + 1100) * {1 << _BITS} + floor(_rest) + 1) END)"
+                ),
+                "b": F.expr(f"int(CASE WHEN abs({v}) > 0 AND {size} < double('Infinity') THEN signum({v}) * floor(_first) ELSE 0 END)"),
+                "c": F.expr(
+                    f"int(CASE WHEN abs({v}) > 0 AND {size} < double('Infinity') "
+                    f"THEN signum({v}) * (_first - floor(_first)) * {1 << _HALF}D ELSE 0 END)"
+                ),
+            }
+        )
+        .drop("_rough", "_power", "_rest", "_first")
+    )
 
 
-def band_zone(
-    value: Column, edges: Column, size: Column, bands: int, accuracy: int = ACCURACY
-) -> Column:
-    """Number the stretches of the value axis: odd ones lie inside a band, even ones outside.
+def first_cells(
+    rows: DataFrame, keys: Sequence[str], ranks: Callable[[Column, Column], Column]
+) -> DataFrame:
+    """For each wanted rank of a group: cell ``a``, ``rank``, and ``inner``, the rank within the cell.
 
-    Zones grow with the value. A group smaller than ``accuracy`` lies wholly in zone 1.
+    ``ranks`` gives the array of wanted ranks, from 1 on, for a group's number of values and of nulls, which come along as ``size``
+    and ``nulls``.
     """
-    zone = F.when(size < accuracy, F.lit(1))
-    for i in range(bands):
-        zone = zone.when(value < edges[2 * i], F.lit(2 * i))
-        zone = zone.when(value <= edges[2 * i + 1], F.lit(2 * i + 1))
-    return zone.otherwise(F.lit(2 * bands))
+    cells = rows.groupBy(*keys, "a").agg(F.count(F.lit(1)).alias("k"))
+    whole = Window.partitionBy(*keys)
+    is_value = F.col("a").isNotNull()
+    order = whole.orderBy(F.col("a").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    known = F.when(is_value, F.col("k")).otherwise(0)
+    counted = cells.select(
+        "*",
+        F.sum(known).over(whole).alias("size"),
+        F.sum(F.col("k") - known).over(whole).alias("nulls"),
+        F.sum(known).over(order).alias("_upto"),
+    )
+    own = F.filter(
+        F.array_distinct(ranks(F.col("size"), F.col("nulls"))),
+        lambda r: (r <= F.col("_upto")) & (r > F.col("_upto") - F.col("k")),
+    )
+    found = counted.filter(is_value).withColumn("rank", F.explode(own))
+    inner = F.col("rank") - F.col("_upto") + F.col("k")
+    return found.select(*keys, "size", "nulls", "a", "rank", inner.alias("inner"))
+
+
+def ranked_values(rows: DataFrame, keys: Sequence[str], ranks: Callable[[Column, Column], Column]) -> DataFrame:
+    """(keys, size, nulls, rank, value) for each wanted rank of the column ``value`` in each group; see ``first_cells``."""
+    keys = list(keys)
+    celled = with_cells(rows)
+    picks = first_cells(celled, keys, ranks)
+    opened = celled.join(picks.select(*keys, "a").distinct(), [*keys, "a"])
+    counts = opened.groupBy(*keys, "a", "b", "c").agg(F.count(F.lit(1)).alias("k"), F.max("value").alias("value"))
+    # The largest value comes along so that both uses of ``counts`` need the same columns: Spark then shuffles them once.
+    halves = counts.groupBy(*keys, "a", "b").agg(F.sum("k").alias("k"), F.max("value").alias("most"))
+    wanted = picks.select(*keys, "a", "size", "nulls", "rank", F.col("inner").alias("at"))
+    upto = F.sum("k").over(Window.partitionBy(*keys, "a").orderBy("b").rowsBetween(Window.unboundedPreceding, 0))
+    first = (
+        halves.withColumn("upto", upto)
+        .join(wanted, [*keys, "a"])
+        .filter((F.col("at") <= F.col("upto")) & (F.col("at") > F.col("upto") - F.col("k")))
+        .select(*keys, "a", "b", "most", "size", "nulls", "rank", (F.col("at") - F.col("upto") + F.col("k")).alias("at"))
+    )
+    upto = F.sum("k").over(Window.partitionBy(*keys, "a", "b").orderBy("c").rowsBetween(Window.unboundedPreceding, 0))
+    return (
+        counts.withColumn("upto", upto)
+        .join(first, [*keys, "a", "b"])
+        .filter((F.col("at") <= F.col("upto")) & (F.col("at") > F.col("upto") - F.col("k")) & (F.col("value") <= F.col("most")))
+        .select(*keys, "size", "nulls", "rank", "value")
+    )
+
+
+def quantile_ranks(probs: Sequence[float], size: Column) -> list[tuple[Column, Column, Column]]:
+    """(lower rank, upper rank, share of the way between) of each quantile among ``size`` values, interpolated linearly."""
+    out = []
+    for p in probs:
+        place = (size - 1) * F.lit(p)
+        out.append(((F.floor(place) + 1).cast("long"), (F.ceil(place) + 1).cast("long"), place - F.floor(place)))
+    return out
+
+
+def interpolated(values: Column, ranks: tuple[Column, Column, Column]) -> Column:
+    """Quantile from a map of rank to value."""
+    low, high, share = ranks
+    return values[low] + (values[high] - values[low]) * share
 
 
 def exact_quantiles(
@@ -60,13 +135,11 @@ def exact_quantiles(
     keys: Sequence[str] = (),
     exact: bool = True,
     accuracy: int = ACCURACY,
-    many_groups: bool = False,
 ) -> DataFrame:
     """Quantiles of each column, linearly interpolated, nulls left out.
 
-    Returns one row per group of ``keys`` (one row in all without keys); every column in ``columns``
-    becomes an array in the order of ``probs``, null where it has no values. ``exact=False`` returns the
-    sketch's own answer in a single pass. ``many_groups``: see ``join_group_figures``.
+    Returns one row per group of ``keys`` (one row in all without keys); every column in ``columns`` becomes an array in the
+    order of ``probs``, null where it has no values. ``exact=False`` returns a sketch's answer in a single pass.
     """
     columns, probs, keys = list(columns), sorted(probs), list(keys)
     # Wide tables: SQL fragments are far quicker to build than column objects.
@@ -75,76 +148,25 @@ def exact_quantiles(
         sketches = [F.percentile_approx(F.expr(v), probs, accuracy) for v in values]
         return df.groupBy(*keys).agg(*[q.alias(c) for q, c in zip(sketches, columns)])
 
-    bands = [
-        f"struct({band_edges(v, probs, accuracy)} AS edges, count({v}) AS size)" for v in values
-    ]
-    edges = df.groupBy(*keys).agg(F.expr(f"array({', '.join(bands)})").alias("_bands"))
     # One (measure, value) record per column, where the measure is the column's position.
     numbered = [str(i) for i in range(len(columns))]
-    narrow = df.selectExpr(
-        *[quoted(k) for k in keys], *[f"{v} AS `{i}`" for i, v in zip(numbered, values)]
-    )
-    if keys:
-        joined = join_group_figures(narrow, edges, keys, many_groups)
-        records = joined.unpivot([*keys, "_bands"], numbered, "measure", "value")
-    else:
-        records = narrow.unpivot([], numbered, "measure", "value").withColumn(
-            "_bands", edges.scalar()
-        )
-    band = F.col("_bands")[F.col("measure").cast("int")]
-    zoned = records.filter(F.col("value").isNotNull()).select(
-        *keys,
-        F.col("measure").cast("int").alias("measure"),
-        "value",
-        band["size"].alias("size"),
-        band_zone(F.col("value"), band["edges"], band["size"], len(probs), accuracy).alias("zone"),
-    )
-    histogram = (
-        # Rows above the last band are never counted.
-        zoned.filter(F.col("zone") < 2 * len(probs))
-        .groupBy(
-            *keys,
-            "measure",
-            "size",
-            "zone",
-            F.when(F.col("zone") % 2 == 1, F.col("value")).alias("value"),
-        )
-        .agg(F.count(F.lit(1)).alias("weight"))
-    )
-
-    order = Window.partitionBy(*keys, "measure", "size").orderBy("zone", "value")
-    running = histogram.withColumn(
-        "upto", F.sum("weight").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    )
-
-    # Per group and measure: the values at the two ranks around each wanted place.
-    size, picks, places = F.col("size"), [], []
-    first, last = F.col("upto") - F.col("weight") + 1, F.col("upto")
-    for i, p in enumerate(probs):
-        place = (size - 1) * F.lit(p)
-        places.append(place - F.floor(place))
-        for name, rank in (("low", F.floor(place) + 1), ("high", F.ceil(place) + 1)):
-            hit = F.when(rank.between(first, last), F.col("value"))
-            picks.append(F.max(hit).alias(f"{name}_{i}"))
-    picked = running.groupBy(*keys, "measure", "size").agg(*picks)
-
-    parts = [
-        F.col(f"low_{i}") + (F.col(f"high_{i}") - F.col(f"low_{i}")) * share
-        for i, share in enumerate(places)
-    ]
-    answer = F.array(*parts)
-    missed = F.exists(answer, lambda v: v.isNull())
-    checked = F.when(
-        missed, F.raise_error(F.lit("a quantile band missed its rank"))
-    ).otherwise(answer)
-    found = picked.select(*keys, "measure", checked.alias("answer"))
+    narrow = df.selectExpr(*[quoted(k) for k in keys], *[f"{v} AS `{i}`" for i, v in zip(numbered, values)])
+    records = narrow.unpivot(keys, numbered, "measure", "value").withColumn("measure", F.col("measure").cast("int"))
+
+    def ranks(size: Column, nulls: Column) -> Column:
+        del nulls
+        return F.array(*[r for low, high, _ in quantile_ranks(probs, size) for r in (low, high)])
+
+    found = ranked_values(records, [*keys, "measure"], ranks)
+    # Twice as many entries as there are quantiles, at most.
+    by_rank = F.map_from_entries(F.collect_list(F.struct("rank", "value")))
+    groups = found.groupBy(*keys, "measure", "size").agg(by_rank.alias("values"))
+    answer = F.array(*[interpolated(F.col("values"), r) for r in quantile_ranks(probs, F.col("size"))])
+    answers = groups.select(*keys, "measure", answer.alias("answer"))
     # At most one entry per column and group.
     by_measure = F.map_from_entries(F.collect_list(F.struct("measure", "answer")))
-    return (
-        found.groupBy(*keys)
-        .agg(by_measure.alias("_answers"))
-        .selectExpr(
-            *[quoted(k) for k in keys],
-            *[f"_answers[{at}] AS {quoted(c)}" for at, c in enumerate(columns)],
-        )
+    listed = answers.groupBy(*keys).agg(by_measure.alias("_answers"))
+    return listed.selectExpr(
+        *[quoted(k) for k in keys], *[f"_answers[{at}] AS {quoted(c)}" for at, c in enumerate(columns)]
     )
+

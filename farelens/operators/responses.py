@@ -14,12 +14,17 @@ REASONING_FIELD = "reasoning_field"
 TAGGED_TEXT = "tagged_text"
 
 _MESSAGE = "$.choices[0].message"
+_TOKENS = "$.usage.completion_tokens_details.reasoning_tokens"
 
 
-def _has_key(json: Column, key: str, path: str = "$") -> Column:
-    """True when the object at ``path`` has the key, even with a null value."""
-    target = json if path == "$" else F.get_json_object(json, path)
-    return F.coalesce(F.array_contains(F.json_object_keys(target), key), F.lit(False))
+def _at(path: str, kind: str = "variant") -> Column:
+    """Field of the parsed response ``_json``; null where there is none or it is of another kind."""
+    return F.try_variant_get("_json", path, kind)
+
+
+def _has(path: str) -> Column:
+    """True when the field is there, even with a null value."""
+    return _at(path).isNotNull()
 
 
 def _after(text: Column, position: Column) -> Column:
@@ -36,15 +41,16 @@ def parse_responses(df: DataFrame, mode: str = REASONING_FIELD) -> DataFrame:
     if mode not in (REASONING_FIELD, TAGGED_TEXT):
         raise ValueError(f"unknown response form: {mode}")
     by_field = mode == REASONING_FIELD
-    json = F.col("response_json")
-
-    has_field = _has_key(json, "reasoning_content", _MESSAGE) if by_field else F.lit(False)
-    fields = df.withColumns(
+    # Parsed once; a text that is no JSON has no fields.
+    parsed = df.withColumn("_json", F.try_parse_json("response_json"))
+    has_field = _has(f"{_MESSAGE}.reasoning_content") if by_field else F.lit(False)
+    first = _at("$.choices[0]")
+    fields = parsed.withColumns(
         {
-            "_error": _has_key(json, "error"),
-            "_choices": F.get_json_object(json, "$.choices[0]").isNotNull(),
-            "_has_content": _has_key(json, "content", _MESSAGE),
-            "_content": F.get_json_object(json, f"{_MESSAGE}.content"),
+            "_error": _has("$.error"),
+            "_choices": first.isNotNull() & ~F.coalesce(F.is_variant_null(first), F.lit(True)),
+            "_has_content": _has(f"{_MESSAGE}.content"),
+            "_content": _at(f"{_MESSAGE}.content", "string"),
             "_has_field": has_field,
         }
     )
@@ -62,7 +68,7 @@ def parse_responses(df: DataFrame, mode: str = REASONING_FIELD) -> DataFrame:
 
     reasoning = F.when(tagged, strip_text(think))
     if by_field:
-        given = F.get_json_object(json, f"{_MESSAGE}.reasoning_content")
+        given = _at(f"{_MESSAGE}.reasoning_content", "string")
         reasoning = F.when(F.col("_has_field"), given).otherwise(reasoning)
     else:
         word_at = F.locate(fixed.REASONING_WORD, content)
@@ -78,9 +84,7 @@ def parse_responses(df: DataFrame, mode: str = REASONING_FIELD) -> DataFrame:
     usable = ~F.col("_error") & F.col("_choices")
     answer = F.when(
         F.col("_error"),
-        F.concat(
-            F.lit(fixed.ERROR_PREFIX), F.coalesce(F.get_json_object(json, "$.error"), F.lit("None"))
-        ),
+        F.concat(F.lit(fixed.ERROR_PREFIX), F.coalesce(_at("$.error", "string"), F.lit("None"))),
     ).when(
         ~F.col("_choices"), F.lit(fixed.NO_CHOICES_SHORT if by_field else fixed.NO_CHOICES_LONG)
     )
@@ -92,15 +96,14 @@ def parse_responses(df: DataFrame, mode: str = REASONING_FIELD) -> DataFrame:
         {
             "reasoning": F.when(usable, reasoning),
             "answer": answer,
-            "reasoning_tokens": reasoning_tokens(json),
+            "reasoning_tokens": _at(_TOKENS, "long"),
         }
-    ).drop("_error", "_choices", "_has_content", "_content", "_has_field")
+    ).drop("_json", "_error", "_choices", "_has_content", "_content", "_has_field")
 
 
 def reasoning_tokens(json: Column) -> Column:
-    """Number of reasoning tokens that the response reports, null without."""
-    path = "$.usage.completion_tokens_details.reasoning_tokens"
-    return F.get_json_object(json, path).cast("long")
+    """Number of reasoning tokens that the response text reports, null without."""
+    return F.try_variant_get(F.try_parse_json(json), _TOKENS, "long")
 
 
 def answer_preview(df: DataFrame) -> DataFrame:

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from farelens.fixed_values import IQR_REACH
 from farelens.functions import ratio, weekday_label
 from farelens.operators.quantiles import exact_quantiles
-from farelens.operators.spread import join_group_figures
 
 STAT_MEANS = ("load_factor", "avg_ticket_price", "profit_rate", "marginal_contribution_rate")
 
@@ -224,7 +223,6 @@ def price_box_stats(
     df: DataFrame,
     price: str = "avg_ticket_price",
     exact: bool = True,
-    many_groups: bool = False,
 ) -> DataFrame:
     """Box-plot figures of price per route: quartiles, whiskers and the number of outliers.
 
@@ -233,9 +231,7 @@ def price_box_stats(
     priced = df.filter(F.col("route_name").isNotNull() & F.col(price).isNotNull()).select(
         "route_name", F.col(price).alias("price")
     )
-    quartiles = exact_quantiles(
-        priced, ["price"], [0.25, 0.5, 0.75], ["route_name"], exact, many_groups=many_groups
-    )
+    quartiles = exact_quantiles(priced, ["price"], [0.25, 0.5, 0.75], ["route_name"], exact)
     boxes = quartiles.select(
         "route_name",
         F.col("price")[0].alias("q1"),
@@ -246,7 +242,7 @@ def price_box_stats(
     above = F.col("price") >= F.col("q1") - reach
     below = F.col("price") <= F.col("q3") + reach
     return (
-        join_group_figures(priced, boxes, ["route_name"], many_groups)
+        priced.join(boxes, "route_name")
         .groupBy("route_name", "q1", "median", "q3")
         .agg(
             F.min(F.when(above, F.col("price"))).alias("whisker_low"),
@@ -272,3 +268,23 @@ def scatter_points(df: DataFrame, price: str = "ticket_price") -> DataFrame:
 def margin_scatter(df: DataFrame) -> DataFrame:
     """Load factor against marginal contribution rate, one point per flight."""
     return df.select("route_name", "load_factor", "marginal_contribution_rate")
+
+
+def scatter_bins(df: DataFrame, x: str, y: str, x_step: float, y_step: float) -> DataFrame:
+    """Chart table of any size of input: flights per route and bin of ``x`` and ``y``, a bin named by its lower edges.
+
+    Flights without one of the two figures take no part.
+    """
+    placed = df.filter(F.col("route_name").isNotNull() & F.col(x).isNotNull() & F.col(y).isNotNull())
+    bins = [F.floor(F.col(c) / F.lit(step)).alias(f"{c}_bin") for c, step in ((x, x_step), (y, y_step))]
+    return placed.groupBy("route_name", *bins).agg(F.count(F.lit(1)).alias("flights"))
+
+
+def load_price_bins(df: DataFrame, price: str = "ticket_price", price_step: float = 100.0) -> DataFrame:
+    """Load in percent against price, counted in bins of 5 percent and ``price_step``."""
+    return scatter_bins(scatter_points(df, price), "load_pct", "price", 5.0, price_step)
+
+
+def load_margin_bins(df: DataFrame) -> DataFrame:
+    """Load factor against marginal contribution rate, counted in bins of 0.05."""
+    return scatter_bins(margin_scatter(df), "load_factor", "marginal_contribution_rate", 0.05, 0.05)

@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 from farelens.operators.profile import overall_stats
 from farelens.operators.rank import best_worst, preview, select_routes
 
-# A summary is one row that names every route. Its size is checked; larger networks use
-# ``route_summary_rows``, which stays distributed.
-MAX_SUMMARY_ROUTES = 100_000
 SAMPLE_ROWS = 10
 
 _PROFILE = (
@@ -38,20 +35,12 @@ def _ranked(profile: DataFrame, section: str, k: int) -> Column:
     )
 
 
-def _profile_map(profile: DataFrame, max_routes: int) -> Column:
-    """Scalar map of route -> profile, in route order; fails beyond ``max_routes`` routes."""
+def _profile_map(profile: DataFrame) -> Column:
+    """Scalar map of route -> profile, in route order."""
     # Maps cannot be sorted, so the season travels as entries until the routes are in order.
     season = F.map_entries("seasonal_index").alias("seasonal_index")
     value = F.struct(*[season if c == "seasonal_index" else F.col(c) for c in _PROFILE])
-    listed = (
-        profile.limit(max_routes + 1)
-        .agg(F.array_sort(F.collect_list(F.struct("route_name", value.alias("profile")))).alias("r"))
-        .select(
-            F.when(F.size("r") <= max_routes, F.col("r"))
-            .otherwise(F.raise_error(F.lit(f"summary of more than {max_routes} routes")))
-            .alias("r")
-        )
-    )
+    listed = profile.agg(F.array_sort(F.collect_list(F.struct("route_name", value.alias("profile")))).alias("r"))
 
     def entry(item: Column) -> Column:
         fields = [
@@ -65,7 +54,7 @@ def _profile_map(profile: DataFrame, max_routes: int) -> Column:
     return listed.select(F.map_from_entries(F.transform("r", entry)).alias("m")).scalar()
 
 
-def _summary(df: DataFrame, ranked: DataFrame, listed: DataFrame, k: int, limit: int) -> DataFrame:
+def _summary(df: DataFrame, ranked: DataFrame, listed: DataFrame, k: int) -> DataFrame:
     overall = overall_stats(df).select(
         F.struct(
             "avg_price",
@@ -82,7 +71,7 @@ def _summary(df: DataFrame, ranked: DataFrame, listed: DataFrame, k: int, limit:
         {
             "best_performing_routes": _ranked(ranked, "best", k),
             "worst_performing_routes": _ranked(ranked, "worst", k),
-            "route_stats": _profile_map(listed, limit),
+            "route_stats": _profile_map(listed),
         }
     )
 
@@ -92,17 +81,16 @@ def data_summary(
     profile: DataFrame,
     sample_order: Sequence[str],
     k: int = 3,
-    max_routes: int = MAX_SUMMARY_ROUTES,
 ) -> DataFrame:
     """One nested row: overall figures, best and worst routes, all profiles, first sample rows.
 
-    ``df`` is the cleaned table and ``profile`` its route profiles, as a written or cut table: several
-    branches read it. Only route-level rows are brought together, never flights.
+    ``df`` is the cleaned table and ``profile`` its route profiles, as a written table: several branches read it. The row names
+    every route, as one JSON document has to; ``summary_rows`` has the same in a row for each route, for networks of any size.
     """
     sample = preview(df, SAMPLE_ROWS, sample_order)
     key = F.struct(*sample_order)
     rows = sample.select(key.alias("_key"), F.struct(*df.columns).alias("_row"))
-    return _summary(df, profile, profile, k, max_routes).withColumn(
+    return _summary(df, profile, profile, k).withColumn(
         "sample_data", _listed(rows, F.col("_row"), "_key")
     )
 
@@ -115,9 +103,9 @@ def simplify(
     k: int = 3,
     seed: int = 42,
 ) -> DataFrame:
-    """Summary without sample rows, with all profiles or those of at most ``max_routes`` routes."""
+    """Summary without sample rows, with all profiles (``keep_all``) or those of at most ``max_routes`` routes."""
     listed = profile if keep_all else select_routes(profile, max_routes, k, seed)
-    return _summary(df, profile, listed, k, MAX_SUMMARY_ROUTES if keep_all else max_routes)
+    return _summary(df, profile, listed, k)
 
 
 def to_summary_json(summary: DataFrame, pretty: bool = False) -> DataFrame:
@@ -137,3 +125,12 @@ def route_summary_rows(profile: DataFrame) -> DataFrame:
     return profile.select(
         "route_name", F.to_json(fields, {"ignoreNullFields": "false"}).alias("profile_json")
     )
+
+
+def summary_rows(df: DataFrame, profile: DataFrame) -> DataFrame:
+    """Summary of all routes in rows (section, route_name, summary_json): one overall row, and one for each route."""
+    overall = overall_stats(df)
+    text = F.to_json(F.struct(*overall.columns), {"ignoreNullFields": "false"})
+    first = overall.select(F.lit("overall").alias("section"), F.lit(None).cast("string").alias("route_name"), text.alias("summary_json"))
+    routes = route_summary_rows(profile).select(F.lit("route").alias("section"), "route_name", F.col("profile_json").alias("summary_json"))
+    return first.unionByName(routes)

@@ -13,24 +13,25 @@ from farelens.sources import cut_lineage
 def pricing_summary(
     flights: DataFrame,
     sample_order: Sequence[str],
+    folder: str,
     queries: DataFrame | None = None,
     max_routes: int = 5,
     keep_all: bool = False,
 ) -> dict[str, DataFrame]:
     """Clean, profile, summarise and write one prompt per question.
 
-    Columns with gaps are counted first, one figure per column. The profiles are the only table that is
-    materialized: a row per route, read by the rankings, the selection and the summary.
+    The cleaned flights and their profiles are written below ``folder``, which all executors must share; everything else reads
+    these two tables.
     """
-    gaps = clean.columns_with_gaps(clean.with_calendar(flights))
-    cleaned = clean.resolve_aliases(clean.preprocess(flights, gaps))
-    profiles = cut_lineage(profile.route_profile(cleaned))
+    cleaned = cut_lineage(clean.preprocess(flights), folder)
+    profiles = cut_lineage(profile.route_profile(cleaned), folder)
     simple = summary.simplify(cleaned, profiles, max_routes, keep_all)
     if queries is None:
         queries = prompts.default_queries(flights.sparkSession)
     return {
         "cleaned": cleaned,
         "profiles": profiles,
+        "summary_rows": summary.summary_rows(cleaned, profiles),
         "summary": summary.data_summary(cleaned, profiles, sample_order),
         "prompts": prompts.analysis_prompts(summary.to_summary_json(simple), queries),
     }

@@ -8,12 +8,13 @@ from farelens.operators import rank, report, rules, stats
 from farelens.sources import cut_lineage, write_csv
 
 
-def route_report(flights: DataFrame, k: int = 5) -> dict[str, DataFrame]:
+def route_report(flights: DataFrame, folder: str, k: int = 5) -> dict[str, DataFrame]:
     """All tables of the report, lazy but for the route statistics that others build on.
 
-    Works on raw rows, as recommendations need margins that are not capped.
+    Works on raw rows, as recommendations need margins that are not capped. ``folder``, shared by all executors, takes the
+    route statistics.
     """
-    route_stats = cut_lineage(stats.route_stats(flights))
+    route_stats = cut_lineage(stats.route_stats(flights), folder)
     recommendations = rules.recommend(route_stats)
     analytic = flights.withColumnsRenamed({"profit_rate": "profit_margin"})
     return {
@@ -25,8 +26,8 @@ def route_report(flights: DataFrame, k: int = 5) -> dict[str, DataFrame]:
         "recommendations": recommendations,
         "report_rows": report.report_rows(route_stats, recommendations),
         "profit_by_route": stats.profit_by_route(analytic, ascending=True),
-        "load_price_points": stats.scatter_points(flights, "avg_ticket_price"),
-        "load_margin_points": stats.margin_scatter(flights),
+        "load_price_bins": stats.load_price_bins(flights, "avg_ticket_price"),
+        "load_margin_bins": stats.load_margin_bins(flights),
         "price_box_stats": stats.price_box_stats(flights),
         "weekday_load": stats.weekday_load(flights),
     }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,21 +27,35 @@ def read_flights(
     """Read a flight CSV with a header row; a leading byte order mark is accepted.
 
     The operational schema is the default. Pass another schema for another spelling, or ``"infer"`` to
-    let Spark sample the types, which costs one more pass over the files.
+    let Spark find the types, which costs one more pass over the files; a column with a broken number then stays text. With a
+    schema, a value that is neither of its column's type nor one of the missing tokens fails the query.
     """
     reader = spark.read.option("header", True).option("encoding", "UTF-8")
     if schema == "infer":
-        reader = reader.option("inferSchema", True)
+        df = reader.option("inferSchema", True).csv(path)
     else:
+        wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema or FLIGHT_SCHEMA
+        # Read as text first: a number that cannot be read must not become a gap without a word.
+        texts = T.StructType([T.StructField(f.name, T.StringType()) for f in wanted.fields])
         # The header must name the schema's columns in its order; a wrong file fails here.
-        reader = reader.schema(schema or FLIGHT_SCHEMA).option("enforceSchema", False)
-    df = nan_to_null(reader.csv(path))
+        raw = reader.schema(texts).option("enforceSchema", False).csv(path)
+        df = raw.select(*[_typed(f).alias(f.name) for f in wanted.fields])
     texts = {
         field.name: F.when(~F.col(field.name).isin(*CSV_MISSING), F.col(field.name))
         for field in df.schema.fields
         if isinstance(field.dataType, T.StringType)
     }
-    return df.withColumns(texts) if texts else df
+    return nan_to_null(df.withColumns(texts) if texts else df)
+
+
+def _typed(field: T.StructField) -> Column:
+    """A text column in its type: missing tokens are null, and what cannot be read fails, named with its column."""
+    text = F.trim(F.col(field.name))
+    if isinstance(field.dataType, T.StringType):
+        return F.col(field.name)
+    known = F.when((text != "") & ~text.isin(*CSV_MISSING), text)
+    broken = F.raise_error(F.concat(F.lit(f"column {field.name} cannot hold: "), text))
+    return F.when(known.isNotNull(), F.coalesce(known.try_cast(field.dataType), broken.cast(field.dataType)))
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -1,37 +1,24 @@
-"""The folder that all executors share, for written tables and checkpoints."""
+"""Tables written to a folder that all executors share."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
-_SETTING = "spark.checkpoint.dir"
 
+def new_folder(folder: str, name: str) -> str:
+    """Path of a fresh folder below ``folder``; nothing is created yet."""
+    if not folder:
+        raise ValueError("name a folder that all executors share")
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
-def shared_folder(spark: SparkSession) -> str:
-    """Folder named by the cluster; a temporary one only where none is named (local tests)."""
-    folder = spark.conf.get(_SETTING, None)
-    if folder:
-        return folder
-    context = spark.sparkContext
-    current = context.getCheckpointDir()
-    if current is None:
-        current = tempfile.mkdtemp(prefix="farelens-")
-        context.setCheckpointDir(current)
-    return current
 
+def cut_lineage(df: DataFrame, folder: str) -> DataFrame:
+    """Write a small table that several branches read, so that its inputs are scanned once, and read it back.
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    """Path of a fresh folder below the shared one; nothing is created yet."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write a small table that several branches read, so that its inputs are scanned once.
-
-    Meant for route-level tables. The checkpoint lies in the shared folder and survives lost executors.
+    Meant for route-level tables. ``folder`` is one that all executors share; the files stay until it is cleared.
     """
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = new_folder(folder, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

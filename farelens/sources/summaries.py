@@ -19,9 +19,12 @@ def write_summary(df: DataFrame, path: str) -> None:
     )
 
 
-def read_summary_elasticity(spark: SparkSession, path: str) -> DataFrame:
-    """Routes and their elasticity from a stored summary; routes without a figure are skipped."""
-    summary = spark.read.schema(SUMMARY_SCHEMA).option("multiLine", True).json(path)
+def read_summary_elasticity(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Routes and their elasticity from stored summaries, one a line; routes without a figure are skipped.
+
+    ``multi_line``: each file is one indented document instead.
+    """
+    summary = spark.read.schema(SUMMARY_SCHEMA).option("multiLine", multi_line).json(path)
     return (
         summary.select(F.explode("route_stats").alias("route_name", "profile"))
         .select("route_name", F.col("profile.price_elasticity").alias("price_elasticity"))

@@ -125,3 +125,48 @@ def test_preprocess_of_a_table_without_dates(spark):
         ("r", 20.0, 0.7, 0.2),
         ("r", 30.0, 0.6, 0.3),
     ]
+
+
+def test_only_columns_with_gaps_change(spark):
+    big = 9007199254740993
+    df = spark.createDataFrame(
+        [(big, 1, None), (big + 2, None, 3.0), (big + 4, 4, 5.0)], "flight_id LONG, seats INT, price DOUBLE"
+    )
+    filled = clean.fill_missing(df)
+    assert dict(filled.dtypes) == {"flight_id": "bigint", "seats": "double", "price": "double"}
+    assert sorted(map(tuple, filled.collect())) == [(big, 1.0, 4.0), (big + 2, 2.5, 3.0), (big + 4, 4.0, 5.0)]
+    gaps = df.union(spark.createDataFrame([(None, 1, 1.0)], df.schema))
+    ids = {r["flight_id"] for r in clean.fill_missing(gaps).collect()}
+    assert {int(i) for i in ids} >= {big, big + 2, big + 4}
+
+
+def test_nan_is_a_gap(spark):
+    rows = [("r", float(p), 0.5, 0.1) for p in range(1, 11)] + [("r", float("nan"), 0.5, 0.1)]
+    df = spark.createDataFrame(rows, "route_name STRING, ticket_price DOUBLE, load_factor DOUBLE, profit_margin DOUBLE")
+    assert [tuple(r) for r in clean.missing_counts(df).collect()] == [("ticket_price", 1)]
+    prices = sorted(r["ticket_price"] for r in clean.preprocess(df).collect())
+    assert prices == sorted([*map(float, range(1, 11)), 5.5])
+
+
+def test_cities_name_the_route_before_another_column_does(spark):
+    df = spark.createDataFrame(
+        [("x", "A", "B", 1.0, 0.5, 0.1)],
+        "route STRING, departure_city STRING, arrival_city STRING, ticket_price DOUBLE, load_factor DOUBLE, profit_margin DOUBLE",
+    )
+    assert clean.preprocess(df).first()["route_name"] == "A-B"
+    assert clean.preprocess(df.drop("arrival_city")).first()["route_name"] == "x"
+
+
+@pytest.mark.parametrize("nulls", [0, 1, 2, 5, 30])
+@pytest.mark.parametrize("n", [1, 2, 3, 8, 21])
+def test_bounds_after_filling_come_from_one_search(spark, n, nulls):
+    values = [float((7 * k * k) % 23) for k in range(n)]
+    df = spark.createDataFrame(
+        [("r", v, 0.5, 0.1) for v in [*values, *[None] * nulls]],
+        "route_name STRING, ticket_price DOUBLE, load_factor DOUBLE, profit_margin DOUBLE",
+    )
+    filled = np.array([*values, *[np.median(values)] * nulls])
+    q1, q3 = np.quantile(filled, [0.25, 0.75])
+    wanted = np.clip(filled, q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1))
+    got = sorted(r["ticket_price"] for r in clean.preprocess(df).collect())
+    assert got == pytest.approx(sorted(wanted.tolist()))

@@ -1,4 +1,4 @@
-"""Exact quantiles and elasticity against brute force, with bands that really narrow the data."""
+"""Exact quantiles and elasticity against brute force."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from farelens.operators import elasticity, quantiles, spread
+from farelens.operators import elasticity, quantiles
 
 PROBS = [0.25, 0.5, 0.75]
 SHAPES = {
@@ -27,21 +27,17 @@ def test_global_quantiles(spark, shape, size):
     rng = random.Random(size)
     values = [SHAPES[shape](rng) for _ in range(size)]
     df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v DOUBLE").repartition(5)
-    # A coarse sketch: from 100 values on, only bands are kept.
-    got = quantiles.exact_quantiles(df, ["v"], PROBS, accuracy=100).first()["v"]
+    got = quantiles.exact_quantiles(df, ["v"], PROBS).first()["v"]
     assert got == pytest.approx(np.quantile(values, PROBS).tolist(), rel=1e-12)
 
 
-@pytest.mark.parametrize("many_groups", [False, True])
-def test_quantiles_of_a_hot_group(spark, many_groups):
+def test_quantiles_of_a_hot_group(spark):
     rng = random.Random(3)
     groups = {"hot": 4000, "small": 7, "single": 1, "middle": 600}
     values = {g: [rng.random() * 100 for _ in range(n)] for g, n in groups.items()}
     rows = [(g, v, v * 2) for g, vs in values.items() for v in vs]
     df = spark.createDataFrame(rows, "g STRING, v DOUBLE, w DOUBLE").repartition(4)
-    got = quantiles.exact_quantiles(
-        df, ["v", "w"], PROBS, ["g"], accuracy=200, many_groups=many_groups
-    ).collect()
+    got = quantiles.exact_quantiles(df, ["v", "w"], PROBS, ["g"]).collect()
     assert {r["g"] for r in got} == set(groups)
     for r in got:
         wanted = np.quantile(values[r["g"]], PROBS)
@@ -60,12 +56,38 @@ def test_approximate_switch(spark):
     assert quantiles.exact_quantiles(df, ["v"], [0.5], exact=False).first()["v"] == [500.0]
 
 
-def test_bands_keep_few_rows(spark):
-    """At full resolution the histogram shuffle carries a sliver of a large group."""
-    df = spark.range(100_000).select((F.xxhash64("id") % 1_000_003).cast("double").alias("v"))
-    edges = df.agg(F.expr(quantiles.band_edges("v", [0.5])).alias("e")).first()["e"]
-    inside = df.filter(F.col("v").between(edges[0], edges[1])).count()
-    assert 0 < inside < 400
+def test_cells_keep_the_order_of_values(spark):
+    rng = random.Random(9)
+    values = [rng.choice([-1, 1]) * rng.random() * 10.0 ** rng.randrange(-300, 300) for _ in range(2000)]
+    values += [0.0, -0.0, 1.0, 2.0, 0.5, 1.0 + 2**-52, 1.0 - 2**-53, 5e-324, -5e-324, 1.7e308, float("inf"), float("-inf")]
+    values += [2.0**k for k in range(-1074, 1024, 37)] + [np.nextafter(2.0**k, 0) for k in range(-1000, 1024, 37)]
+    df = spark.createDataFrame([(float(v),) for v in values], "value DOUBLE")
+    rows = quantiles.with_cells(df).collect()
+    cells = sorted((r["a"], r["b"], r["c"], r["value"]) for r in rows)
+    assert [r[3] for r in cells] == sorted(r["value"] for r in rows)
+    assert len({r[:3] for r in cells}) == len(set(values))
+
+
+@pytest.mark.parametrize("shape", ["spread", "constant"])
+def test_few_rows_reach_the_last_step_of_a_hot_group(spark, shape):
+    """Of a large group, distinct or equal, one coarse cell is opened: rows that share the first bits of the middle."""
+    value = (F.xxhash64("id") % 1_000_003).cast("double") + 2_000_000.0 if shape == "spread" else F.lit(3.5)
+    rows = quantiles.with_cells(spark.range(100_000).select(value.alias("value")))
+    picks = quantiles.first_cells(rows, [], lambda size, nulls: F.array((size / 2).cast("long")))
+    opened = rows.join(picks.select("a"), "a").groupBy("a", "b", "c").count()
+    assert picks.count() == 1
+    assert opened.count() < 3000
+    assert opened.groupBy("a", "b").count().agg(F.max("count")).first()[0] < 50
+
+
+def test_many_groups_and_a_hot_one(spark):
+    """120,000 groups of one row and one of 50,000 need no switch."""
+    hot = spark.range(50_000).select(F.lit(-1).cast("long").alias("g"), F.col("id").cast("double").alias("v"))
+    df = spark.range(120_000).select(F.col("id").alias("g"), F.col("id").cast("double").alias("v")).union(hot)
+    got = quantiles.exact_quantiles(df, ["v"], [0.5], ["g"])
+    assert got.count() == 120_001
+    assert got.filter("g = -1").first()["v"] == [24_999.5]
+    assert got.filter("g >= 0 and v[0] <> g").isEmpty()
 
 
 def brute_elasticity(rows, min_rows=10):
@@ -81,8 +103,7 @@ def brute_elasticity(rows, min_rows=10):
     return ((hs - ls) / ls) / ((hp - lp) / lp)
 
 
-@pytest.mark.parametrize("many_groups", [False, True])
-def test_elasticity_by_halves(spark, many_groups):
+def test_elasticity_by_halves(spark):
     rng = random.Random(11)
     routes = {
         "nine": [(float(i), 100 - i) for i in range(9)],
@@ -100,7 +121,7 @@ def test_elasticity_by_halves(spark, many_groups):
     ).repartition(6)
     got = {
         r["route_name"]: r
-        for r in elasticity.price_elasticity(df, accuracy=500, many_groups=many_groups).collect()
+        for r in elasticity.price_elasticity(df).collect()
     }
     assert set(got) == set(routes)
     for route, flights in routes.items():
@@ -140,12 +161,3 @@ def test_supplied_elasticity_for_small_groups(spark):
     ] == pytest.approx(9.0)
     neither = elasticity.elasticity_or_supplied(df.drop("sold_seats", "price_elasticity"))
     assert all(r["price_elasticity"] is None for r in neither.collect())
-
-
-def test_too_many_groups_are_refused_by_name(spark, monkeypatch):
-    monkeypatch.setattr(spread, "MAX_BROADCAST_GROUPS", 3)
-    df = spark.createDataFrame([(f"r{i}", 1.0) for i in range(5)], "g STRING, v DOUBLE")
-    with pytest.raises(Exception, match="many_groups"):
-        quantiles.exact_quantiles(df, ["v"], [0.5], ["g"]).collect()
-    allowed = quantiles.exact_quantiles(df, ["v"], [0.5], ["g"], many_groups=True)
-    assert allowed.count() == 5

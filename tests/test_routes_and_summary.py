@@ -251,17 +251,21 @@ def test_profiles_without_months(spark):
 
 
 def test_batch_report(spark, flights, tmp_path):
-    tables = route_report(flights)
+    tables = route_report(flights, str(tmp_path / "work"))
     counts = {name: df.count() for name, df in tables.items()}
     assert counts["route_stats"] == counts["recommendations"] == counts["report_rows"] == 8
-    assert counts["load_price_points"] == 600 and counts["top_bottom"] == 10
+    assert counts["top_bottom"] == 10
+    for name in ("load_price_bins", "load_margin_bins"):
+        assert tables[name].agg(F.sum("flights")).first()[0] == 600
+    with pytest.raises(ValueError, match="folder"):
+        route_report(flights, "")
     write_route_report(tables, str(tmp_path))
     back = spark.read.option("header", True).csv(str(tmp_path / "recommendations"))
     assert back.count() == 8 and "strategy" in back.columns
 
 
 def test_summary_flow(spark, flights, tmp_path):
-    tables = pricing_summary(flights, ("date", "route_name", "flight_id"))
+    tables = pricing_summary(flights, ("date", "route_name", "flight_id"), str(tmp_path / "work"))
     text = summary.to_summary_json(tables["summary"]).first()["summary_json"]
     data = json.loads(text)
     assert list(data) == [
@@ -296,11 +300,36 @@ def test_summary_flow(spark, flights, tmp_path):
     assert summary.route_summary_rows(tables["profiles"]).count() == 8
 
 
-def test_summary_refuses_too_many_routes(spark, flights):
-    cleaned = clean.resolve_aliases(clean.add_calendar(clean.resolve_date(flights)))
-    profiles = profile.route_profile(cleaned)
-    with pytest.raises(Exception, match="more than 5 routes"):
-        summary.data_summary(cleaned, profiles, ("flight_id",), max_routes=5).collect()
+def test_summary_rows_of_many_routes(spark):
+    """More routes than any limit: one overall row, and one row for each route."""
+    df = spark.range(120_000).select(
+        F.concat(F.lit("r"), "id").alias("route_name"), F.lit(10.0).alias("ticket_price"), F.lit(0.5).alias("load_factor"),
+        F.lit(0.1).alias("profit_margin"), F.lit(1).alias("month"), F.lit("2025-02-01").cast("date").alias("date"),
+    )
+    got = summary.summary_rows(df, profile.route_profile(df)).groupBy("section").count().collect()
+    assert {r["section"]: r["count"] for r in got} == {"overall": 1, "route": 120_000}
+
+
+def test_every_stored_summary_is_read(spark, tmp_path):
+    body = '{"route_stats":{"%s":{"price_elasticity":%s}}}'
+    (tmp_path / "two.json").write_text(body % ("a", 1.0) + "\n" + body % ("b", 2.0) + "\n")
+    got = {r["route_name"]: r["price_elasticity"] for r in read_summary_elasticity(spark, str(tmp_path / "two.json")).collect()}
+    assert got == {"a": 1.0, "b": 2.0}
+    (tmp_path / "one.json").write_text(json.dumps(json.loads(body % ("c", 3.0)), indent=2))
+    assert read_summary_elasticity(spark, str(tmp_path / "one.json"), multi_line=True).first()["route_name"] == "c"
+
+
+def test_broken_numbers_fail(spark, tmp_path):
+    (tmp_path / "b.csv").write_text("a,b\n1.5,x\n\"12,5x\",y\n")
+    with pytest.raises(Exception, match="column a cannot hold: 12,5x"):
+        read_flights(spark, str(tmp_path / "b.csv"), "a DOUBLE, b STRING").collect()
+    assert dict(read_flights(spark, str(tmp_path / "b.csv"), "infer").dtypes)["a"] == "string"
+
+
+def test_flight_number_lookup(spark):
+    df = spark.createDataFrame([("a", "F2"), ("a", "F1"), ("b", None)], "route_name STRING, flight_number STRING")
+    got = lookup.with_flight_numbers(df, lookup.route_flight_numbers(df)).collect()
+    assert sorted((r["route_name"], tuple(r["flight_numbers"] or ())) for r in got) == [("a", ("F1", "F2"))] * 2 + [("b", ())]
 
 
 def parse(spark, mode, *bodies):
