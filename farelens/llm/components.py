@@ -8,13 +8,20 @@ from pyspark.sql import functions as F
 from farelens.llm.common import frozen
 
 
+def _above(parents: DataFrame) -> DataFrame:
+    """Every node with its parent's parent."""
+    step = parents.select(F.col("node").alias("parent"), F.col("parent").alias("above"))
+    return parents.join(step, "parent", "left").select("node", F.coalesce("above", "parent").alias("parent"))
+
+
 def _pointed(parents: DataFrame) -> DataFrame:
     """Roots of a forest (node, parent) whose parents are smaller than their nodes: parents of parents, until nothing moves."""
     while True:
-        above = parents.select(F.col("node").alias("parent"), F.col("parent").alias("above"))
+        near = _above(parents)
+        step = near.select(F.col("node").alias("parent"), F.col("parent").alias("above"))
         jumped = frozen(
-            parents.join(above, "parent", "left").select(
-                "node", F.coalesce("above", "parent").alias("parent"), F.col("above").isNotNull().alias("moved")
+            near.join(step, "parent", "left").select(
+                "node", F.coalesce("above", "parent").alias("parent"), (F.col("above") < F.col("parent")).alias("moved")
             ),
             "parents",
         )

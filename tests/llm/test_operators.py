@@ -71,15 +71,15 @@ def test_exact_duplicates(spark, docs):
 
 
 def test_exact_index_is_reversible(spark):
-    rows = [r for r in corpus(2, 40) if r[0] is not None]
-    first, second = frame(spark, rows[:30]), frame(spark, rows[30:])
+    rows = list({r[0]: r for r in corpus(2, 40) if r[0] is not None}.values())
+    first, second = frame(spark, rows[::2]), frame(spark, rows[1::2])
     index = exact_dedup.ExactIndex(1000)
     index.insert(first)
     before = as_sorted(index.live(), "text_sha256", "group_size", "keep_id")
     index.insert(second)
     both = as_sorted(index.live(), "text_sha256", "group_size", "keep_id")
     assert both == sorted({(h, n, k) for _, k, n, _, h in brute.exact(plain(rows))}, key=repr)
-    index.delete(second.select("doc_id").join(first.select("doc_id"), "doc_id", "left_anti"))
+    index.delete(second.select("doc_id"))
     assert as_sorted(index.live(), "text_sha256", "group_size", "keep_id") == before
 
 
@@ -109,7 +109,7 @@ def test_repeated_lines(spark, docs):
 
 
 def test_line_index_is_reversible(spark):
-    rows = [r for r in corpus(3, 40) if r[0] is not None and r[0] != 3]
+    rows = list({r[0]: r for r in corpus(3, 40) if r[0] is not None}.values())
     first, second = frame(spark, rows[::2]), frame(spark, rows[1::2])
     index = line_dedup.LineIndex(10_000)
     index.insert(first)
@@ -239,7 +239,7 @@ def test_mixing(spark):
         taken[r["source_size"]] += r["taken"]
     for s, n in sizes.items():
         own = {r["target"] for r in got if r["source_size"] == n}
-        assert own == {pytest.approx(wanted[s])}
+        assert [*own] == [pytest.approx(wanted[s])]
         assert abs(taken[n] - wanted[s]) <= 0.5 * mixing.BLOCK_WORDS + 0.02 * wanted[s]
     assert mixing.Mixture(table.limit(0)).taken().count() == 0
     only_empty = mixing.Mixture(frame(spark, [(1, None, "a"), (2, "", None)])).taken()
