@@ -62,10 +62,6 @@ def main() -> None:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
-        # Several hundred routes hold a sketch each; the default sorts all rows beyond 128 groups.
-        .config("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "4096")
-        # Call sites of column expressions are only of use while debugging.
-        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from farelens import fixed_values as fixed
-from farelens.operators.prompts import ANALYSIS_TEMPLATE, QUOTE_TEMPLATE
 
 
 def text(value: str) -> str:
@@ -417,6 +416,105 @@ advice AS (
 )"""
 
 
+# --- prompts, as the model is to see them; stated here and not taken from the package ------------------
+
+_ANALYSIS_PROMPT = """
+        作为一位航空公司定价专家，你需要分析以下航班数据并提供定价策略建议。
+        
+        # 数据概述
+        ```json
+        %s
+        ```
+        
+        # 分析任务
+        %s
+        
+        # 分析要求
+        1. 请先理解数据结构和各字段含义
+        2. 分析当前定价策略的优缺点
+        3. 识别影响定价的关键因素（如客座率、成本、竞争等）
+        4. 提出具体的定价优化建议，包括具体的调价幅度
+        5. 考虑不同航线的特点，提供差异化定价策略
+        
+        # 分析步骤
+        1. 首先，分析整体数据趋势和模式
+        2. 其次，识别表现最好和最差的航线
+        3. 然后，分析影响定价的关键因素
+        4. 接着，提出针对性的定价策略
+        5. 最后，总结建议并预测实施效果
+        
+        请详细展示你的思考过程，然后给出最终的定价建议。
+        """
+
+_QUOTE_PROMPT = """
+        基于历史航班数据，为以下航班提供最优定价建议：
+        
+        航线: %s
+        日期: %s
+        是否假期: %s
+        星期几: %s
+        机型: %s
+        座位容量: %s
+        价格弹性: %s
+        季节性指数: %s
+        预期客座率: %s
+        竞争对手客座率: %s
+        历史客座率: %s
+        竞争对手价格: %s元
+        
+        请分析该航班的最优定价区间，并给出具体的定价建议。考虑季节性因素、周内模式、假期影响、价格弹性、竞争情况等因素。
+        提供详细的分析过程和定价建议，包括最优价格点和价格区间。
+        """
+
+
+def _object(fields: list[tuple[str, str]], depth: int) -> str:
+    """SQL text of a JSON object, a field a line; the values are SQL expressions."""
+    inside, end = "  " * (depth + 1), "  " * depth
+    parts = [f"""'{inside}"{name}": ' || coalesce(({value})::VARCHAR, 'null')""" for name, value in fields]
+    return "'{' || chr(10) || " + " || ',' || chr(10) || ".join(parts) + f" || chr(10) || '{end}}}'"
+
+
+def _ranked_text(order: str) -> str:
+    row = _object([("route", """'"' || route_name || '"'"""), ("profit_margin", "m")], 2)
+    return f"(SELECT '[' || chr(10) || string_agg('    ' || {row}, ',' || chr(10) ORDER BY {order}) || chr(10) || '  ]' FROM ranked WHERE {order} <= 3)"
+
+
+_OVERALL_TEXT = _object(
+    [
+        ("avg_price", mean("avg(ticket_price)", 2)),
+        ("avg_load_factor", mean("avg(load_factor)", 2)),
+        ("avg_profit_margin", mean("avg(profit_margin)", 2)),
+        ("total_routes", "count(DISTINCT route_name)"),
+        ("total_samples", "count(*)"),
+        ("date_range", _object([("start", """'"' || min(flight_date) || '"'"""), ("end", """'"' || max(flight_date) || '"'""")], 2)),
+    ],
+    1,
+)
+_SEASON_LINES = """season_lines AS (
+  SELECT route_name, '{' || chr(10) || string_agg('        "' || month || '": ' || ratio, ',' || chr(10) ORDER BY month)
+    || chr(10) || '      }' AS season
+  FROM seasons GROUP BY route_name
+)"""
+_PROFILE_TEXT = _object(
+    [(c, c) for c in ("avg_price", "avg_load_factor", "avg_profit_margin", "price_elasticity")]
+    + [("seasonal_index", "season"), ("sample_count", "sample_count")],
+    2,
+)
+_INDENTED_JSON = _object(
+    [
+        ("overall_stats", f"SELECT {_OVERALL_TEXT} FROM flights"),
+        ("best_performing_routes", _ranked_text("best")),
+        ("worst_performing_routes", _ranked_text("worst")),
+        (
+            "route_stats",
+            f"""SELECT '{{' || chr(10) || string_agg('    "' || route_name || '": ' || {_PROFILE_TEXT}, ',' || chr(10) ORDER BY route_name)
+  || chr(10) || '  }}' FROM profiles JOIN season_lines USING (route_name) WHERE route_name IN (SELECT route_name FROM chosen)""",
+        ),
+    ],
+    0,
+)
+
+
 def _template(template: str, *values: str) -> str:
     """Concatenation of the template's pieces and the given SQL values."""
     pieces = template.split("%s")
@@ -850,15 +948,16 @@ FROM advice""",
             _ADVICE,
         ),
         "analysis_prompts": flights_sql(
-            f"""SELECT seq, query, {_template(ANALYSIS_TEMPLATE, "data", "query")} AS prompt
+            f"""SELECT seq, query, {_template(_ANALYSIS_PROMPT, "data", "query")} AS prompt
 FROM (VALUES {", ".join(f"({i}::BIGINT, {text(q)})" for i, q in enumerate(fixed.DEFAULT_QUERIES, 1))})
-  AS q(seq, query), (SELECT {_SIMPLE_JSON} AS data)""",
+  AS q(seq, query), (SELECT {_INDENTED_JSON} AS data)""",
             *_summary_parts(5),
+            _SEASON_LINES,
         ),
         "quote_prompts": flights_sql(
             "SELECT route, date, "
             + _template(
-                QUOTE_TEMPLATE,
+                _QUOTE_PROMPT,
                 "route",
                 "date",
                 "(CASE WHEN is_holiday THEN '是' ELSE '否' END)",

@@ -552,7 +552,7 @@ def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def analysis_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     simple = summary.simplify(_sample_frame(spark, sf_dir), _profile(spark, sf_dir), max_routes=5)
     return prompts.analysis_prompts(
-        summary.to_summary_json(simple), prompts.default_queries(spark)
+        summary.to_summary_json(simple, pretty=True), prompts.default_queries(spark)
     )
 
 

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from farelens.operators.profile import overall_stats
 from farelens.operators.rank import best_worst, preview, select_routes
@@ -108,15 +109,44 @@ def simplify(
     return _summary(df, profile, listed, k)
 
 
+def _quoted(text: Column) -> Column:
+    whole = F.to_json(F.array(text))
+    return F.substring(whole, F.lit(2), F.length(whole) - 2)
+
+
+def indented_json(col: Column, kind: T.DataType, depth: int = 0) -> Column:
+    """JSON text with an indent of two, ``"key": value`` and every list item on a line of its own."""
+    inside, end = "\n" + "  " * (depth + 1), "\n" + "  " * depth
+    if isinstance(kind, T.StructType):
+        parts = [
+            F.concat(F.lit(f'{inside}"{f.name}": '), indented_json(col[f.name], f.dataType, depth + 1)) for f in kind.fields
+        ]
+        text = F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit(end + "}"))
+    elif isinstance(kind, T.ArrayType):
+        items = F.transform(col, lambda x: F.concat(F.lit(inside), indented_json(x, kind.elementType, depth + 1)))
+        text = F.when(F.size(col) == 0, "[]").otherwise(F.concat(F.lit("["), F.array_join(items, ","), F.lit(end + "]")))
+    elif isinstance(kind, T.MapType):
+        items = F.transform(
+            F.map_entries(col),
+            lambda e: F.concat(F.lit(inside), _quoted(e["key"]), F.lit(": "), indented_json(e["value"], kind.valueType, depth + 1)),
+        )
+        text = F.when(F.size(col) == 0, "{}").otherwise(F.concat(F.lit("{"), F.array_join(items, ","), F.lit(end + "}")))
+    elif isinstance(kind, T.StringType):
+        text = _quoted(col)
+    elif isinstance(kind, (T.DateType, T.TimestampType)):
+        text = F.concat(F.lit('"'), F.date_format(col, "yyyy-MM-dd"), F.lit('"'))
+    else:
+        text = col.cast("string")
+    return F.coalesce(F.when(col.isNotNull(), text), F.lit("null"))
+
+
 def to_summary_json(summary: DataFrame, pretty: bool = False) -> DataFrame:
-    """Summary rows as JSON text: dates as text, missing figures as ``null``, non-ASCII kept."""
-    options = {
-        "ignoreNullFields": "false",
-        "dateFormat": "yyyy-MM-dd",
-        "timestampFormat": "yyyy-MM-dd",
-        "pretty": str(pretty).lower(),
-    }
-    return summary.select(F.to_json(F.struct(*summary.columns), options).alias("summary_json"))
+    """Summary rows as JSON text: dates as text, missing figures as ``null``, non-ASCII kept; ``pretty``: indented by two."""
+    whole = F.struct(*summary.columns)
+    if pretty:
+        return summary.select(indented_json(whole, summary.schema).alias("summary_json"))
+    options = {"ignoreNullFields": "false", "dateFormat": "yyyy-MM-dd", "timestampFormat": "yyyy-MM-dd"}
+    return summary.select(F.to_json(whole, options).alias("summary_json"))
 
 
 def route_summary_rows(profile: DataFrame) -> DataFrame:

@@ -33,5 +33,5 @@ def pricing_summary(
         "profiles": profiles,
         "summary_rows": summary.summary_rows(cleaned, profiles),
         "summary": summary.data_summary(cleaned, profiles, sample_order),
-        "prompts": prompts.analysis_prompts(summary.to_summary_json(simple), queries),
+        "prompts": prompts.analysis_prompts(summary.to_summary_json(simple, pretty=True), queries),
     }
