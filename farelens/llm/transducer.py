@@ -22,7 +22,7 @@ from tokenizers.pre_tokenizers import ByteLevel
 _START, _LETTERS, _DIGITS, _OTHER, _SPACE, _APOS, _APOS_TWO = range(7)
 _SHORT, _LONG = frozenset("stmd"), {"r": "e", "v": "e", "l": "l"}
 _SPLIT = ByteLevel(add_prefix_space=False)
-MAX_STATES, MAX_WORDS, MAX_WORD = 160_000, 250_000, 40
+MAX_STATES, MAX_WORDS, MAX_WORD = 200_000, 600_000, 40
 #: The state after a character that is no white space and one space.
 _AFTER_WORD = (_SPACE, None, " ")
 
@@ -39,13 +39,14 @@ class _Merges:
 
     def __init__(self, tokens: list[bytes], pairs: dict[tuple[bytes, bytes], int]):
         self.tokens = frozenset(tokens)
-        self.prefixes = frozenset(t[:k] for t in self.tokens for k in range(1, len(t) + 1))
+        #: Beginnings of tokens; each is one object that all states share.
+        self.prefixes = {t[:k]: t[:k] for t in self.tokens for k in range(1, len(t) + 1)}
         self.pairs = pairs
         #: token: the two parts it is made of, and the rank of that merge
         self.made = {a + b: (a, b, rank) for (a, b), rank in pairs.items()}
-        self.reached = functools.lru_cache(1 << 17)(lambda token: self.merged(token) == [token])
-        self.beside = functools.lru_cache(1 << 17)(self._beside)
-        self.step = functools.lru_cache(1 << 16)(self._step)
+        self.reached = functools.lru_cache(1 << 16)(lambda token: self.merged(token) == [token])
+        self.beside = functools.lru_cache(1 << 16)(self._beside)
+        self.step = functools.lru_cache(1 << 14)(self._step)
 
     def merged(self, data: bytes) -> list[bytes]:
         """Tokens by merging the best-ranked pair again and again, the leftmost of equals first."""
@@ -78,21 +79,23 @@ class _Merges:
             else:
                 return True
 
-    #: Before the first byte: nothing since the start, no last token, no tokens since.
-    first = ((b"", b"", 0),)
+    #: Before the first byte: nothing since the start, no last token, no tokens since. States are flat: three fields for each position.
+    first = (b"", b"", 0)
 
     def _step(self, state: tuple, byte: bytes) -> tuple[tuple, int]:
         """Next state and the tokens that the byte adds."""
-        ends, alive = None, []
-        for since, last, count in state:
-            longer = since + byte
-            if ends is None and longer in self.tokens and self.beside(last, longer):
-                ends = (longer, count + 1)
-            if longer in self.prefixes:
-                alive.append((longer, last, count))
-        token, total = ends
+        token, total, alive = None, 0, []
+        for k in range(0, len(state), 3):
+            longer = self.prefixes.get(state[k] + byte)
+            if longer is None:
+                continue
+            if token is None and longer in self.tokens and self.beside(state[k + 1], longer):
+                token, total = longer, state[k + 2] + 1
+            alive += (longer, state[k + 1], state[k + 2])
         # Counts are kept relative to the end, so that equal situations are one state.
-        return (*[(s, t, c - total) for s, t, c in alive], (b"", token, 0)), total
+        for k in range(2, len(alive), 3):
+            alive[k] -= total
+        return (*alive, b"", token, 0), total
 
 
 class Transducer:
@@ -101,16 +104,22 @@ class Transducer:
     def __init__(self, tokens: list[bytes], pairs: dict[tuple[bytes, bytes], int], special: str = ""):
         self.merges = _Merges(tokens, pairs)
         self.special = special
+        #: Tokens of a word on the way from _AFTER_WORD back to it. They outlive the tables, which they do not point into.
+        self.words: dict[str, int] = {}
         self._reset()
 
     def _reset(self) -> None:
+        self.shared: dict[tuple, tuple] = {}
+        for state in getattr(self, "table", {}).values():
+            state.clear()  # states point at each other; emptied, they are freed at once
         self.table: dict[tuple, dict] = {}
-        self.words: dict[str, int] = {}
         self.start = self._state((_START, None, ""))
 
     def _state(self, key: tuple) -> dict:
         found = self.table.get(key)
         if found is None:
+            if key[1]:  # many states differ in where they stand only
+                key = (key[0], self.shared.setdefault(key[1], key[1]), key[2])
             found = self.table[key] = {None: key}
         return found
 
@@ -171,9 +180,11 @@ class Transducer:
         return (kind, merges, ""), n
 
     def _compile(self, state: dict, ch: str) -> tuple[dict, int]:
+        key = state[None]
         if len(self.table) > MAX_STATES:
             self._reset()
-        key, n = self._next(state[None], ch)
+            state = self._state(key)
+        key, n = self._next(key, ch)
         arc = state[ch] = (self._state(key), n)
         return arc
 
