@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from farelens.llm.common import frozen
 
+#: Rows of a partition of the tables between steps.
+ROWS = 20_000
+
 
 def _above(parents: DataFrame) -> DataFrame:
     """Every node with its parent's parent."""
@@ -19,40 +22,52 @@ def _pointed(parents: DataFrame) -> DataFrame:
     while True:
         near = _above(parents)
         step = near.select(F.col("node").alias("parent"), F.col("parent").alias("above"))
-        jumped = frozen(
-            near.join(step, "parent", "left").select(
-                "node", F.coalesce("above", "parent").alias("parent"), (F.col("above") < F.col("parent")).alias("moved")
-            ),
-            "parents",
+        jumped = _sized(
+            frozen(
+                near.join(step, "parent", "left").select(
+                    "node", F.coalesce("above", "parent").alias("parent"), (F.col("above") < F.col("parent")).alias("moved")
+                ),
+                "parents",
+            )
         )
         parents = jumped.select("node", "parent")
         if jumped.filter("moved").isEmpty():
             return parents
 
 
+def _distinct(edges: DataFrame) -> DataFrame:
+    ordered = edges.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    return _sized(frozen(ordered.distinct(), "edges"))
+
+
+def _sized(df: DataFrame) -> DataFrame:
+    """A written table in as many partitions as its rows need; one that is small then takes no shuffle."""
+    return df.coalesce(max(1, -(-df.count() // ROWS)))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of the edges (u, v): component is the smallest node reachable. Edges may repeat or be loops.
 
     A node with any number of edges is one row after partial aggregation. Each round at least halves the groups that still touch.
     No edges give no rows.
     """
-    edges = frozen(edges.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
+    edges = _distinct(edges)
     labels = None
     while not edges.isEmpty():
         # Smaller neighbours only: the pointers of a round form a forest.
         parents = edges.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("parent"))
-        roots = _pointed(frozen(parents, "parents"))
+        roots = _pointed(_sized(frozen(parents, "parents")))
         if labels is None:
             nodes = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct()
             labels = nodes.withColumn("component", F.col("node"))
         to = roots.select(F.col("node").alias("component"), F.col("parent").alias("root"))
-        labels = frozen(
-            labels.join(to, "component", "left").select("node", F.coalesce("root", "component").alias("component")), "labels"
+        labels = _sized(
+            frozen(labels.join(to, "component", "left").select("node", F.coalesce("root", "component").alias("component")), "labels")
         )
         left, right = to.toDF("u", "ru"), to.toDF("v", "rv")
         moved = edges.join(left, "u", "left").join(right, "v", "left")
-        moved = moved.select(F.coalesce("ru", "u").alias("u"), F.coalesce("rv", "v").alias("v")).filter("u <> v")
-        edges = frozen(moved.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
+        moved = moved.select(F.coalesce("ru", "u").alias("u"), F.coalesce("rv", "v").alias("v"))
+        edges = _distinct(moved)
     if labels is None:
         return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return labels

@@ -24,9 +24,10 @@ from pyspark.sql import functions as F
 from farelens.llm.common import discard, frozen, id_or_last, id_or_null
 from farelens.llm.components import components
 
-SKETCH_BITS, SLICE_BITS = 22, 16
+#: Counters of the sketch, one byte each (counts stop at 255: more frequent ones order by hash), and of one slice of it.
+SKETCH_BITS, SLICE_BITS = 24, 18
 #: Pairs left, by postings, that are compared in full; above, up to MAX_ROUNDS rounds come first.
-FULL, MAX_ROUNDS = 4, 8
+FULL, MAX_ROUNDS = 1, 8
 #: Parts of the hash range whose sizes the suffix filter compares.
 PARTS = 16
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
@@ -70,15 +71,20 @@ def _sets_and_sketch(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches):
         hashes = _WordHashes()
-        sketch = np.zeros(1 << SKETCH_BITS, np.int32)
+        sketch = np.zeros(1 << SKETCH_BITS, np.uint8)
+        mask = np.uint64(len(sketch) - 1)
         for pdf in batches:
+            every = []
             n, node, parts = [], [], []
             for text in pdf["text"]:
                 found = shingle_set(text, width, hashes)
                 n.append(len(found))
                 node.append(xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63))
                 parts.append(np.bincount(found >> np.uint64(60), minlength=PARTS).astype("<i4").tobytes())
-                np.add.at(sketch, (found & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64), 1)
+                every.append(found & mask)
+            if every:
+                place, more = np.unique(np.concatenate(every).astype(np.int64), return_counts=True)
+                sketch[place] = np.minimum(sketch[place] + more, 255)
             yield pd.DataFrame(
                 {"b": pdf["b"], "sig": pdf["sig"], "n": n, "node": node, "parts": parts, "slice": -1, "counters": None}
             )
@@ -95,22 +101,22 @@ def _sets_and_sketch(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _summed_sketch(rows: DataFrame) -> np.ndarray:
-    """Sum of all tasks' counters; its size is fixed (4 bytes for each of 2 ** SKETCH_BITS)."""
+    """Sum of all tasks' counters; its size is fixed, one byte for each of 2 ** SKETCH_BITS."""
 
     def add(batches):
         totals: dict[int, np.ndarray] = {}
         for pdf in batches:
             for k, counters in zip(pdf["slice"], pdf["counters"], strict=True):
-                own = np.frombuffer(counters, np.int32).astype(np.int64)
+                own = np.frombuffer(counters, np.uint8).astype(np.int64)
                 totals[k] = totals[k] + own if k in totals else own
         for k, total in totals.items():
-            yield pd.DataFrame({"slice": [k], "counters": [np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()]})
+            yield pd.DataFrame({"slice": [k], "counters": [np.minimum(total, 255).astype(np.uint8).tobytes()]})
 
     slices = 1 << (SKETCH_BITS - SLICE_BITS)
     summed = rows.select("slice", "counters").repartition(slices, "slice").mapInPandas(add, "slice int, counters binary")
-    sketch = np.zeros(1 << SKETCH_BITS, np.int32)
+    sketch = np.zeros(1 << SKETCH_BITS, np.uint8)
     for row in summed.collect():
-        sketch[row["slice"] << SLICE_BITS : (row["slice"] + 1) << SLICE_BITS] = np.frombuffer(row["counters"], np.int32)
+        sketch[row["slice"] << SLICE_BITS : (row["slice"] + 1) << SLICE_BITS] = np.frombuffer(row["counters"], np.uint8)
     return sketch
 
 
