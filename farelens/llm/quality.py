@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from farelens.llm.common import discard, frozen, id_or_last, id_or_null, whole_text
 
-ORDER = 5
+ORDER = 4
 #: UTF-8 bytes of text in a pack, about; a longer text is a pack by itself.
 PACK_BYTES = 4 << 20
 #: Share of a language's trusted documents that the threshold keeps.
