@@ -27,7 +27,9 @@ from farelens.llm.components import components
 #: Counters of the sketch, one byte each (counts stop at 255: more frequent ones order by hash), and of one slice of it.
 SKETCH_BITS, SLICE_BITS = 24, 18
 #: Pairs left, by postings, that are compared in full; above, up to MAX_ROUNDS rounds come first.
-FULL, MAX_ROUNDS = 1, 8
+FULL, MAX_ROUNDS = 4, 8
+#: Documents of a round's pairs up to which their numbers, eight bytes each, are sent to the texts; above, the texts are shuffled.
+MAX_BROADCAST = 500_000
 #: Parts of the hash range whose sizes the suffix filter compares.
 PARTS = 16
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
@@ -185,7 +187,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, threshold: int) ->
             made = [shingle_set(text, width, hashes).tobytes() for text in pdf["text"]]
             yield pd.DataFrame({"node": pdf["node"], "shingles": made})
 
-    ids = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+    ids = frozen(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct(), "in-pairs")
+    ids = F.broadcast(ids) if ids.count() <= MAX_BROADCAST else ids
     found = texts.join(ids, "node", "left_semi").mapInPandas(sets, "node long, shingles binary")
 
     @F.pandas_udf("boolean")
