@@ -35,11 +35,20 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of similar texts (five words, 0.8): the smallest doc_id. Texts without words all stay."""
-    found = ngram_join.ngram_components(docs, width=5, threshold=80)
-    dropped = found.filter(F.col("doc_id").isNull() | (F.col("doc_id") != F.col("component_id")))
-    dropped = dropped.filter("component_id is not null").select(id_or_last(F.col("doc_id")).alias("b")).distinct()
-    return as_documents(_packed(docs).join(dropped, "b", "left_anti").select("_row.*"), docs)
+    """One document of each component of similar texts (five words, 0.8): the smallest doc_id, null last, then the smallest hash.
+
+    Every row is a document of its own: of rows that agree in doc_id and text one stays. Texts without words all stay.
+    """
+    found = ngram_join.ngram_rows(docs, width=5, threshold=80).filter("n_shingles > 0")
+    keys = found.groupBy("b", "sig").agg(F.count("*").alias("rows"), F.min("least").alias("least"))
+    first = F.col("least") == F.struct("b", "sig")
+    keys = frozen(keys.filter(~first | (F.col("rows") > 1)).select("b", "sig", first.alias("first")), "near")
+    rows = _packed(docs)
+    alone = rows.join(keys, ["b", "sig"], "left_anti").select("_row")
+    # Which of the equal rows stays follows from their other columns, not from their order.
+    one = F.min_by("_row", F.xxhash64(F.to_json("_row")))
+    repeated = rows.join(keys.filter("first").drop("first"), ["b", "sig"]).groupBy("b", "sig").agg(one.alias("_row"))
+    return as_documents(alone.unionByName(repeated.select("_row")).select("_row.*"), docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

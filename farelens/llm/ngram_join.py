@@ -268,8 +268,8 @@ def _links(posted: DataFrame, info: DataFrame, texts: DataFrame, width: int, thr
     return labels
 
 
-def ngram_components(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
-    """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every row of ``docs``.
+def ngram_rows(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
+    """b (doc_id, null last), sig (hash of the text), n_shingles, and ``least``: the smallest (b, sig) reachable by links, of every row.
 
     A set holds the distinct shingles of ``width`` words, A-Z lower-cased; a text with fewer words is one shingle; a null text or one
     without words has no set and links with nothing. Documents link at a Jaccard similarity of ``threshold`` hundredths or more.
@@ -295,11 +295,17 @@ def ngram_components(docs: DataFrame, width: int = 5, threshold: int = 80) -> Da
     labels = _links(posted, classes.select("node", "n", "parts"), held, width, threshold)
     # A component may hold any share of the rows: names go to its classes first, then from classes to rows.
     linked = classes.withColumn("component", F.lit(None).cast("long")) if labels is None else classes.join(labels, "node", "left")
-    of_class = linked.select("node", "b", F.coalesce("component", "node").alias("component"))
-    smallest = of_class.groupBy("component").agg(F.min("b").alias("least"))
+    own = F.struct("b", "sig")
+    of_class = linked.select("node", own.alias("rep"), F.coalesce("component", "node").alias("component"))
+    smallest = of_class.groupBy("component").agg(F.min("rep").alias("least"))
     named = of_class.join(smallest, "component").select("node", "least")
-    return rows.filter("n > 0").join(named, "node").select(
-        id_or_null(F.col("b")).alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), id_or_null(F.col("least")).alias("component_id")
-    ).unionByName(rows.filter("n = 0").select(
-        id_or_null(F.col("b")).alias("doc_id"), F.lit(0).cast("long").alias("n_shingles"), id_or_null(F.col("b")).alias("component_id")
-    ))
+    with_set = rows.filter("n > 0").join(named, "node").select("b", "sig", F.col("n").cast("long").alias("n_shingles"), "least")
+    without = rows.filter("n = 0").select("b", "sig", F.lit(0).cast("long").alias("n_shingles"), own.alias("least"))
+    return with_set.unionByName(without)
+
+
+def ngram_components(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
+    """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every row of ``docs``; see ``ngram_rows``."""
+    return ngram_rows(docs, width, threshold).select(
+        id_or_null(F.col("b")).alias("doc_id"), "n_shingles", id_or_null(F.col("least.b")).alias("component_id")
+    )

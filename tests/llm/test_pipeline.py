@@ -10,6 +10,7 @@ import corpus_pipeline
 from farelens.llm import queries as registered
 from tests.conftest import SF_DIR
 from tests.llm import brute
+from tests.llm.test_operators import frame
 
 
 @pytest.fixture(scope="module")
@@ -45,6 +46,20 @@ def test_near_duplicate_stage(spark, docs):
     assert got == {i for i, _, c in brute.jaccard_components(rows_of(docs), 5, 80) if i == c}
 
 
+def test_near_duplicate_stage_tells_rows_apart(spark):
+    """Null ids, an id with two texts, and repeated rows: one row of each component stays, unrelated rows of the same id too."""
+    text = lambda k: " ".join(f"t{k}w{j}" for j in range(40))
+    near = lambda k: text(k) + " more"
+    rows = [(1, text(1)), (None, near(1)), (None, text(2)), (None, text(3)), (2, text(4)), (3, text(5)), (3, near(4)), (3, near(5))]
+    rows += [(4, text(6))] * 3 + [(None, text(7))] * 2 + [(None, ""), (None, ""), (5, None)]
+    docs = frame(spark, [(i, t, "s") for i, t in rows])
+    got = Counter(rows_of(corpus_pipeline.drop_near_duplicates(spark, docs, SF_DIR)))
+    either = [t for i, t in got if i == 3]
+    assert len(either) == 1 and either[0] in (text(5), near(5))
+    whole = [(1, text(1)), (None, text(2)), (None, text(3)), (2, text(4)), (3, either[0]), (4, text(6)), (None, text(7))]
+    assert got == Counter(whole + [(None, ""), (None, ""), (5, None)])
+
+
 def test_mixing_stage(spark, docs):
     before, after = Counter(rows_of(docs)), Counter(rows_of(corpus_pipeline.mix_sources(spark, docs, SF_DIR)))
     assert set(after) <= set(before) and max(after.values()) <= 2
