@@ -18,9 +18,11 @@ from pyspark.sql import functions as F
 
 from farelens.llm.common import discard, frozen, id_or_last, id_or_null, whole_text
 
-ORDER = 4
+ORDER = 5
 #: UTF-8 bytes of text in a pack, about; a longer text is a pack by itself.
 PACK_BYTES = 4 << 20
+#: Parts of the n-grams in which packs ask, at least; above, packs for each part.
+PARTS, PART_PACKS = 256, 8
 #: Share of a language's trusted documents that the threshold keeps.
 KEEP = 0.99
 BEGIN, END = "\x02", "\x03"
@@ -32,8 +34,8 @@ def normal(text: str) -> str:
     return _DIGITS.sub("0", _SPACES.sub(" ", text.lower()))
 
 
-def _grams(texts: list[str], order: int) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Distinct n-grams of the texts, the number of each position's n-gram, and the first position of each text.
+def _grams(texts: list[str], order: int) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct n-grams of the texts, their hashes, the number of each position's n-gram, and the first position of each text.
 
     A text counts len + 1 positions: its characters after order - 1 begin marks, and an end mark.
     """
@@ -50,9 +52,9 @@ def _grams(texts: list[str], order: int) -> tuple[list[str], np.ndarray, np.ndar
     for k in range(order):
         key = (key ^ codes[at + k]) * np.uint64(0x9E3779B97F4A7C15)
         key ^= key >> np.uint64(31)
-    _, first, number = np.unique(key, return_index=True, return_inverse=True)
+    hashes, first, number = np.unique(key, return_index=True, return_inverse=True)
     grams = [whole[p : p + order] for p in at[first].tolist()]
-    return grams, number, np.concatenate([[0], np.cumsum(lengths - order + 1)[:-1]]).astype(np.int64)
+    return grams, hashes, number, np.concatenate([[0], np.cumsum(lengths - order + 1)[:-1]]).astype(np.int64)
 
 
 def _packs(docs: DataFrame) -> DataFrame:
@@ -97,7 +99,7 @@ def _trusted_counts(packs: DataFrame, trusted: DataFrame, order: int) -> DataFra
         for pdf in batches:
             for blob, keep in zip(pdf["blob"], pdf["chosen"], strict=True):
                 texts = _unpacked(blob)["text"].take(pa.array(np.sort(keep))).to_pylist()
-                grams, number, _ = _grams(texts, order)
+                grams, _, number, _ = _grams(texts, order)
                 yield pd.DataFrame({"gram": grams, "c": np.bincount(number, minlength=len(grams))})
 
     rows = packs.select("batch", "blob").join(chosen, "batch").select("blob", "chosen")
@@ -152,21 +154,25 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> tuple[list[DataFrame],
 
 
 def _answered(wanted: DataFrame, model: tuple[list[DataFrame], list[DataFrame], float], order: int) -> DataFrame:
-    """(gram, p) for every wanted n-gram: its own probability, or what its context leaves times that of its suffix."""
+    """``wanted`` (gram and other columns) with p: the n-gram's own probability, or what its context leaves times that of its suffix."""
     probabilities, gammas, unseen = model
     by_length = {order: wanted}
     for k in range(order - 1, 0, -1):
         by_length[k] = by_length[k + 1].select(F.substring("gram", 2, k).alias("gram")).distinct()
-    shorter = None
+    shorter, before = None, None
     for k in range(1, order + 1):
+        names = by_length[k].columns
         rows = by_length[k].join(probabilities[k - 1], "gram", "left")
         if k == 1:
-            found = rows.select("gram", F.coalesce("p", F.lit(unseen)).alias("p"))
+            found = rows.select(*names, F.coalesce("p", F.lit(unseen)).alias("p"))
         else:
             rows = rows.withColumn("context", F.substring("gram", 1, k - 1)).withColumn("suffix", F.substring("gram", 2, k - 1))
             rows = rows.join(gammas[k - 1], "context", "left").join(shorter, "suffix")
-            found = rows.select("gram", F.coalesce("p", F.coalesce("gamma", F.lit(1.0)) * F.col("q")).alias("p"))
+            found = rows.select(*names, F.coalesce("p", F.coalesce("gamma", F.lit(1.0)) * F.col("q")).alias("p"))
         found = frozen(found, f"answers-{k}")
+        if before is not None:
+            discard(before)
+        before = found
         shorter = found.select(F.col("gram").alias("suffix"), F.col("p").alias("q"))
     return found
 
@@ -177,33 +183,61 @@ def perplexities(docs: DataFrame, trusted: DataFrame, order: int = ORDER) -> Dat
     counts = frozen(_trusted_counts(packs, trusted, order), "counts")
     model = kneser_ney(counts, order)
 
+    n = max(PARTS, packs.count() // PART_PACKS)
+
+    def parted(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers of the n-grams by part, the parts, and where each part starts."""
+        part = (hashes % np.uint64(n)).astype(np.int32)
+        by_part = np.argsort(part, kind="stable")
+        parts, starts = np.unique(part[by_part], return_index=True)
+        return by_part, parts, starts
+
     def ask(batches):
         for pdf in batches:
             for batch, blob in zip(pdf["batch"], pdf["blob"], strict=True):
-                grams, _, _ = _grams(_unpacked(blob)["text"].to_pylist(), order)
-                yield pd.DataFrame({"batch": batch, "number": np.arange(len(grams), dtype=np.int32), "gram": grams})
-
-    asked = frozen(packs.select("batch", "blob").mapInPandas(ask, "batch long, number int, gram string"), "asked")
-    answers = _answered(asked.select("gram").distinct(), model, order)
-    replies = asked.join(answers, "gram").select("batch", "number", F.log("p").cast("float").alias("lp"))
+                grams, hashes, _, _ = _grams(_unpacked(blob)["text"].to_pylist(), order)
+                by_part, parts, starts = parted(hashes)
+                joined = ["".join([grams[k] for k in held]) for held in np.split(by_part.tolist(), starts[1:])]
+                yield pd.DataFrame({"batch": batch, "part": parts, "grams": joined})
+
+    def cut(joined: str) -> list[str]:
+        return [joined[k : k + order] for k in range(0, len(joined), order)]
+
+    def once(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"gram": list({g for joined in pdf["grams"] for g in cut(joined)})}).assign(part=pdf["part"].iat[0])
+
+    def reply(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        of = dict(zip(right["gram"], right["lp"], strict=True))
+        lp = [np.array([of[g] for g in cut(joined)], np.float32).tobytes() for joined in left["grams"]]
+        return pd.DataFrame({"batch": left["batch"], "part": left["part"], "lp": lp})
+
+    # A row asks for all n-grams of a pack that fall into a part, and is answered by as many numbers in the same order.
+    asked = frozen(packs.select("batch", "blob").mapInPandas(ask, "batch long, part int, grams string"), "asked")
+    wanted = frozen(asked.groupBy("part").applyInPandas(once, "gram string, part int"), "wanted")
+    answers = _answered(wanted, model, order).select("part", "gram", F.log("p").alias("lp"))
+    meet = asked.groupBy("part").cogroup(answers.groupBy("part"))
+    replies = frozen(meet.applyInPandas(reply, "batch long, part int, lp binary"), "replies")
+    discard(asked)
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        parts = [pd.DataFrame({"b": [], "lang": [], "n_chars": [], "perplexity": []})]
-        lp = np.zeros(len(right))
-        lp[right["number"].to_numpy()] = right["lp"].to_numpy()
+        made = [pd.DataFrame({"b": [], "lang": [], "n_chars": [], "perplexity": []})]
+        of = dict(zip(right["part"], right["lp"], strict=True))
         for blob in left["blob"]:
             table = _unpacked(blob)
             texts = table["text"].to_pylist()
-            _, number, first = _grams(texts, order)
+            _, hashes, number, first = _grams(texts, order)
+            by_part, parts, _ = parted(hashes)
+            lp = np.zeros(len(hashes))
+            lp[by_part] = np.frombuffer(b"".join([of[k] for k in parts.tolist()]), np.float32)
             sums = np.add.reduceat(lp[number], first)
-            n = np.fromiter(map(len, texts), np.int64, len(texts))
-            parts.append(pd.DataFrame({"b": table["b"].to_pandas(), "lang": table["lang"].to_pylist(), "n_chars": n,
-                                       "perplexity": np.exp(np.minimum(-sums / (n + 1), 700.0))}))
-        return pd.concat(parts[1:] or parts)
+            size = np.fromiter(map(len, texts), np.int64, len(texts))
+            made.append(pd.DataFrame({"b": table["b"].to_pandas(), "lang": table["lang"].to_pylist(), "n_chars": size,
+                                      "perplexity": np.exp(np.minimum(-sums / (size + 1), 700.0))}))
+        return pd.concat(made[1:] or made)
 
     pairs = packs.select("batch", "blob").groupBy("batch").cogroup(replies.groupBy("batch"))
     found = frozen(pairs.applyInPandas(score, "b long, lang string, n_chars long, perplexity double"), "perplexities")
-    discard(asked)
+    discard(replies)
     return found
 
 

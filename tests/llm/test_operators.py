@@ -383,3 +383,15 @@ def test_kneser_ney_perplexity(spark):
     nothing_trusted = quality.quality_filter(frame(spark, rows), labels.limit(0), order=3)
     assert nothing_trusted.filter("kept").count() == len(rows)
     assert quality.quality_filter(frame(spark, rows).limit(0), labels, order=3).count() == 0
+
+
+def test_model_order(spark):
+    """The registered model reads four characters before each one: a fifth n-gram length tells texts apart that four do not."""
+    rows = [(k, "abcdx" * 3 if k % 2 else "ebcdy" * 3, "s") for k in range(20)] + [(20, "abcdx" * 3, "s"), (21, "abcdy" * 3, "s")]
+    labels = spark.createDataFrame([(k, 1) for k in range(20)], "doc_id LONG, quality INT")
+    got = {r["doc_id"]: r["perplexity"] for r in quality.quality_filter(frame(spark, rows), labels).collect()}
+    p = plain_kneser_ney([quality.normal(t) for i, t, _ in rows if i < 20], 5)
+    for i, t, _ in rows[20:]:
+        padded = "\x02" * 4 + t + "\x03"
+        logs = [np.log(p(padded[k - 4 : k + 1])) for k in range(4, len(padded))]
+        assert got[i] == pytest.approx(np.exp(-np.mean(logs)), rel=1e-5)
