@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from farelens.llm import byte_bpe, line_dedup, mixing, ngram_join, toxicity
@@ -53,12 +53,19 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Whole documents as often as the mix takes their first words; documents without words stay once."""
-    copies = mixing.Mixture(docs).copies()
-    # Rows that agree in doc_id and text share their copies, dealt evenly; what is left over goes to one of them.
-    rows = _packed(docs).join(copies, ["b", "sig"])
-    share = F.floor(F.col("copies") / F.col("rows"))
-    times = F.when(F.col("rows") == 1, F.col("copies")).otherwise(F.greatest(share, F.lit(1))).cast("int")
-    return as_documents(rows.select(F.explode(F.array_repeat("_row", times)).alias("_row")).select("_row.*"), docs)
+    copies = mixing.Mixture(docs).copies().withColumnRenamed("source", "_source")
+    rows = _packed(docs).join(copies.withColumnsRenamed({"b": "_b", "sig": "_sig"}), _same_document()).drop("_b", "_sig", "_source")
+    # Rows that agree in doc_id, text and source share their copies: as many for each, and one more for the first ones.
+    rows = rows.withColumn("share", F.floor(F.col("copies") / F.col("rows"))).withColumn("spare", F.pmod("copies", "rows"))
+    even = rows.filter("spare = 0").select("_row", "share")
+    uneven = mixing.numbered(rows.filter("spare > 0"), ["source_no", "b", "sig"], "k")
+    uneven = uneven.select("_row", (F.col("share") + (F.col("k") < F.col("spare")).cast("long")).alias("share"))
+    times = F.array_repeat("_row", F.col("share").cast("int"))
+    return as_documents(even.unionByName(uneven).select(F.explode(times).alias("_row")).select("_row.*"), docs)
+
+
+def _same_document() -> Column:
+    return (F.col("b") == F.col("_b")) & (F.col("sig") == F.col("_sig")) & F.col("_row.source").eqNullSafe(F.col("_source"))
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -80,6 +80,13 @@ def _running(df: DataFrame, keys: list[str], order: list[str], value: str, name:
     )
 
 
+def numbered(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """``df``, written, with ``name``: 0, 1, … over the rows that agree in ``keys``, in any order; a key may hold any share of the rows."""
+    placed = frozen(df.withColumn("_at", F.monotonically_increasing_id()), "rows")
+    parts = placed.withColumn("_part", F.floor(F.col("_at") / GROUP_ROWS)).withColumn("_one", F.lit(1).cast("long"))
+    return _running(parts, [*keys, "_part"], ["_at"], "_one", name).drop("_at", "_part", "_one")
+
+
 def _within(rows: DataFrame, at: str, ranges: DataFrame, total: int) -> DataFrame:
     """Join each row to the range [low, high) that holds ``at``. Ranges are cut at cells of equal width, and cells are joined."""
     width = max(1, total // 1024)
@@ -210,9 +217,13 @@ class Mixture:
         )
 
     def copies(self) -> DataFrame:
-        """b, sig, copies: how often the mix takes the first word of a document. Whole documents in these numbers meet the targets
-        on average. A document without words has one copy."""
+        """source, source_no, b, sig, copies, rows: how often the mix takes the first word of the rows of a document, and how many rows there are. Whole
+        documents in these numbers meet the targets on average. A row without words has one copy."""
         firsts = self.pieces().filter("first = 0").groupBy("source_no", "start").agg(F.count("*").alias("copies"))
-        drawn = self.docs.filter("size > 0").join(firsts, ["source_no", "start"])
-        every = drawn.select("b", "sig", "copies").unionByName(self.docs.filter("size = 0").select("b", "sig", F.lit(1).alias("copies")))
-        return every.groupBy("b", "sig").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
+        # Rows without words stand at the start of the next document, so they are kept out of the join.
+        with_words = self.docs.filter("size > 0").join(firsts, ["source_no", "start"], "left")
+        every = with_words.select("source_no", "b", "sig", F.coalesce("copies", F.lit(0)).alias("copies")).unionByName(
+            self.docs.filter("size = 0").select("source_no", "b", "sig", F.lit(1).alias("copies"))
+        )
+        counted = every.groupBy("source_no", "b", "sig").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
+        return counted.join(self.sources.select("source", "source_no"), "source_no")

@@ -67,6 +67,29 @@ def test_mixing_stage(spark, docs):
     assert all(taken[i][1] > 0 or taken[i][0] == 0 for i, _ in after)
 
 
+def test_mixing_stage_shares_copies_of_equal_rows(spark, monkeypatch):
+    """Three copies over two rows, one over three, none, a source of its own for equal rows, and rows without words."""
+    rows = [(1, "a", "s"), (1, "a", "s"), (2, "b", "s"), (2, "b", "s"), (2, "b", "s"), (3, "c", "s"), (3, "c", None), (None, "", None)]
+    given = {("s", "a"): 3, ("s", "b"): 1, ("s", "c"): 0, (None, "c"): 2, (None, ""): 1}
+    docs = frame(spark, rows)
+
+    class Drawn(corpus_pipeline.mixing.Mixture):
+        def pieces(self):
+            """What the mix takes first words of, dealt to the equal rows in order of their places."""
+            named = self.docs.join(self.sources.select("source", "source_no"), "source_no").collect()
+            texts = {(r["b"], r["sig"]): r["text"] for r in corpus_pipeline._packed(docs).select("b", "sig", "_row.text").collect()}
+            first = {}
+            for r in sorted(named, key=lambda r: r["start"]):
+                if r["size"]:
+                    first.setdefault((r["source"], texts[r["b"], r["sig"]]), (r["source_no"], r["start"]))
+            taken = [(*at, 0, 1) for key, at in first.items() for _ in range(given[key])]
+            return spark.createDataFrame(taken, "source_no INT, start LONG, first LONG, n_words LONG")
+
+    monkeypatch.setattr(corpus_pipeline.mixing, "Mixture", Drawn)
+    got = Counter((r["source"], r["text"]) for r in corpus_pipeline.mix_sources(spark, docs, SF_DIR).collect())
+    assert got == Counter(given)
+
+
 def test_run(spark):
     got = corpus_pipeline.run(spark, SF_DIR)
     rows = got.collect()
