@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from farelens.llm.common import SPACE, ascii_lower, frozen, id_or_last, id_or_null, spread, whole_text
+from farelens.llm.common import NULL_ID, SPACE, ascii_lower, frozen, id_or_last, id_or_null, spread, whole_text
 from farelens.llm.cuckoo import index_answers, index_state, remove
 
 #: Code points from which on a line counts.
@@ -38,16 +38,28 @@ def _summed(members: DataFrame, n: int) -> DataFrame:
 
 
 def repeated_lines(docs: DataFrame, min_points: int = MIN_POINTS) -> DataFrame:
-    """Lines to drop: b, sig, and ``drop``, the positions of a document's lines whose key a smaller doc_id holds too."""
+    """Lines to drop: b, sig, and ``drop``, the positions of a document's lines whose key an earlier document holds too.
+
+    Documents go by doc_id, and those without one, after all others, by the hash of their text.
+    """
     members = frozen(line_members(docs, min_points), "lines")
     n = members.count()
-    shared = index_answers(_summed(members, n), n).filter("b < top").select("key", "salt", F.col("b").alias("first"))
+    unnamed = F.col("b") == NULL_ID
+    own = F.when(unnamed, F.col("sig")).otherwise(F.col("b"))
+    members = members.select(
+        "b", "sig", "pos", "key", unnamed.cast("long").alias("a"), own.alias("own"), spread(own, n).alias("salt")
+    )
+    best = F.min(F.struct("a", "own")).alias("best")
+    summed = members.groupBy("key", "salt").agg(F.count("*").alias("refs"), best, F.max("b").alias("top"))
+    summed = summed.select("key", "salt", "refs", "best.a", F.col("best.own").alias("b"), "top")
+    # Keys of texts without doc_id may still have one document only; the comparison below leaves them out.
+    several = (F.col("refs") > 1) & ((F.col("a") > 0) | (F.col("b") < F.col("top")))
+    shared = index_answers(summed, n).filter(several).select("key", "salt", F.col("a").alias("first_a"), F.col("b").alias("first"))
     return (
-        members.select("b", "sig", "pos", "key", spread(F.col("b"), n).alias("salt"))
-        .join(shared, ["key", "salt"])
-        .filter("b <> first")
+        members.join(shared, ["key", "salt"])
+        .filter("a <> first_a or own <> first")
         .groupBy("b", "sig")
-        .agg(F.collect_list("pos").alias("drop"))
+        .agg(F.collect_set("pos").alias("drop"))
     )
 
 
@@ -55,9 +67,9 @@ def drop_repeated_lines(docs: DataFrame, min_points: int = MIN_POINTS) -> DataFr
     """``docs`` with column ``_lines``: struct(n_lines, n_dropped, kept), kept being the text without repeated lines.
 
     A line's key is the line without white space at its ends and with A-Z lower-cased. A key of ``min_points`` code points that
-    several doc_ids hold keeps its lines in the smallest of them only. Null and empty texts are one empty line, which is too short to
+    several documents hold keeps its lines in the one of the smallest doc_id only. Null and empty texts are one empty line, which is too short to
     count; a null text stays null where ``docs`` is returned. Rows that share a doc_id are one document: a line that only they hold
-    stays. A null doc_id comes after all others. Texts of any length are one row each.
+    stays. Rows without doc_id come after all others, each text a document, by the hash of the text; equal ones are one. Texts of any length are one row each.
     """
     text = whole_text("_row.text")
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))

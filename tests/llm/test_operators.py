@@ -108,6 +108,20 @@ def test_repeated_lines(spark, docs):
     assert line_dedup.drop_repeated_lines(docs.limit(0)).count() == 0
 
 
+def test_repeated_lines_of_rows_without_id(spark):
+    """Each text without doc_id is a document: what repeats among them stays once, and not at all where a numbered one holds it."""
+    shared, taken, alone = "a line of many", "a line of number one", "a line of its own, "
+    texts = [f"{alone}{k}\n{shared}\n{taken}" for k in range(6)] + [f"{alone}x\n{alone}x"]
+    rows = [(1, taken, "s"), *((None, t, "s") for t in texts), (None, texts[0], "s"), (-7, "other text here", "s")]
+    got = as_sorted(line_dedup.drop_repeated_lines(frame(spark, rows)), "doc_id", "_lines.kept")
+    with_shared = {kept for i, kept in got if i is None and shared in kept}
+    assert len(with_shared) == 1
+    first = next(k for k in range(6) if f"{alone}{k}\n{shared}" in with_shared)
+    kept = [f"{alone}{k}\n{shared}" if k == first else f"{alone}{k}" for k in (*range(6), 0)]
+    wanted = [(1, taken), (-7, "other text here"), (None, texts[6]), *((None, t) for t in kept)]
+    assert Counter(got) == Counter(wanted)
+
+
 def test_line_index_is_reversible(spark):
     rows = list({r[0]: r for r in corpus(3, 40) if r[0] is not None}.values())
     first, second = frame(spark, rows[::2]), frame(spark, rows[1::2])
