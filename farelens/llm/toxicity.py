@@ -16,7 +16,7 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from farelens.llm.common import frozen, id_or_last, id_or_null
@@ -100,16 +100,23 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, bound: int) -> DataFrame:
-    """About ``bound`` labelled rows outside of the held-out part: text, toxic (0.0 or 1.0), part (0, 1, 2)."""
+    """About ``bound`` labelled rows outside of the held-out part: _id, text, toxic (0.0 or 1.0)."""
     usable = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     one = usable.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("toxic").cast("double").alias("toxic"))
     n = one.count()
     place = F.pmod(F.xxhash64("_id", F.lit(11)), F.lit(1_000_000))
-    chosen = one.filter(place < (1_000_000 * bound) // max(n, bound)).withColumn(
-        "part", F.element_at(F.array(*map(F.lit, (0, 0, 1, 1, 2))), F.pmod(F.xxhash64("_id", F.lit(12)), F.lit(5)).cast("int") + 1)
-    )
+    chosen = one.filter(place < (1_000_000 * bound) // max(n, bound))
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.join(F.broadcast(chosen), "_id").select("text", "toxic", "part")  # bounded: three numbers for each of ``bound`` rows
+    return texts.join(F.broadcast(chosen), "_id").select("_id", "text", "toxic")  # bounded: two numbers for each of ``bound`` rows
+
+
+def _dealt(sample: DataFrame) -> DataFrame:
+    """The sample with part (0, 1, 2): two fifths, two fifths and a fifth of the ids of either label, each part some if there are three."""
+    order = Window.partitionBy("toxic").orderBy(F.xxhash64("_id", F.lit(12)), "_id")  # bounded, as the sample is
+    turn = F.pmod(F.row_number().over(order) - 1, F.lit(5)) + 1
+    part = F.element_at(F.array(*map(F.lit, (0, 1, 2, 0, 1))), turn)
+    ids = sample.select("_id", "toxic").distinct().select("_id", part.alias("part"))
+    return sample.join(F.broadcast(ids), "_id").select("text", "toxic", "part")
 
 
 def _lexicon(sample: DataFrame, size: int) -> dict[str, float]:
@@ -146,26 +153,36 @@ def _with_features(df: DataFrame, lexicon: dict[str, float], keep: list[str]) ->
 
 
 class ToxicityModel:
-    """Lexicon, trees and calibration. Without labels of both kinds the score is the share of toxic labels (0 without any)."""
+    """Lexicon, trees and calibration, each from its own part of the sample.
+
+    If the sample has fewer than three labels of a kind, all three learn from all of it. Only where it lacks one kind altogether is the
+    score the share of toxic labels (0 without any).
+    """
 
     def __init__(self, docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS):
         sample = frozen(_sample(docs, labels, bound), "labelled")
-        kinds = {(r["part"], r["toxic"]): r["count"] for r in sample.groupBy("part", "toxic").count().collect()}
-        total = sum(kinds.values())
-        self.base = sum(n for (_, toxic), n in kinds.items() if toxic) / total if total else 0.0
+        rows = {r["toxic"]: r for r in sample.groupBy("toxic").agg(F.count("*").alias("n"), F.countDistinct("_id").alias("ids")).collect()}
+        total = sum(r["n"] for r in rows.values())
+        self.base = rows[1.0]["n"] / total if 1.0 in rows else 0.0
         self.trees = None
         self.lexicon: dict[str, float] = {}
-        if len(kinds) < 6:
+        if len(rows) < 2:
             return
-        self.lexicon = _lexicon(sample.filter("part = 0"), LEXICON_ENTRIES)
-        rows = frozen(_with_features(sample.filter("part > 0"), self.lexicon, ["toxic", "part"]).coalesce(4), "features")
+        if min(r["ids"] for r in rows.values()) < 3:
+            words = learned = sample.withColumn("part", F.lit(1))
+            calibrate = 1
+        else:
+            dealt = frozen(_dealt(sample), "dealt")
+            words, learned, calibrate = dealt.filter("part = 0"), dealt.filter("part > 0"), 2
+        self.lexicon = _lexicon(words, LEXICON_ENTRIES)
+        rows = frozen(_with_features(learned, self.lexicon, ["toxic", "part"]).coalesce(4), "features")
         self.assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="vector")
         vectors = self.assembler.transform(rows)
         booster = GBTClassifier(
             featuresCol="vector", labelCol="toxic", maxDepth=3, maxIter=20, stepSize=0.2, minInstancesPerNode=5, seed=7
         )
         self.trees = booster.fit(vectors.filter("part = 1"))
-        fitted = self._raw(vectors.filter("part = 2"))
+        fitted = self._raw(vectors.filter(F.col("part") == calibrate))
         self.calibration = IsotonicRegression(featuresCol="raw", labelCol="toxic", predictionCol="level").fit(fitted)
 
     def _raw(self, vectors: DataFrame) -> DataFrame:

@@ -349,6 +349,24 @@ def test_toxicity(spark):
     assert toxicity.toxicity_scores(frame(spark, rows).limit(0), label_frame).count() == 0
 
 
+@pytest.mark.parametrize("n_toxic", [1, 3])
+def test_toxicity_learns_from_few_labels(spark, n_toxic):
+    import zlib
+
+    learnable = [k for k in range(200) if zlib.crc32(str(k).encode()) % 4 != 2]
+    rows = [(k, f"calm words of number {k} on a quiet day", "s") for k in learnable]
+    toxic = learnable[:n_toxic]
+    rows = [(k, f"you idiot, damned idiot {k}!!!" if k in toxic else t, s) for k, t, s in rows]
+    labels = spark.createDataFrame([(k, int(k in toxic)) for k in learnable], "doc_id LONG, toxic INT")
+    docs = frame(spark, rows)
+    model = toxicity.ToxicityModel(docs, labels)
+    assert model.trees is not None and 0 < model.base < 0.1
+    assert model.score(docs).count() == len(rows)
+    if n_toxic == 3:
+        dealt = toxicity._dealt(toxicity._sample(docs, labels, 1000)).groupBy("part", "toxic").count()
+        assert dealt.count() == 6
+
+
 def plain_kneser_ney(texts, order):
     """Probability function of a character model, straight from the definition."""
     padded = ["\x02" * (order - 1) + t + "\x03" for t in texts]
