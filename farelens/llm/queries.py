@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from farelens.llm import byte_bpe, exact_dedup, line_dedup, mixing, ngram_join, quality, sharding, token_counts, toxicity, vectors
+from farelens.llm import (
+    byte_bpe, conversations, exact_dedup, fingerprints, hard_negatives, line_dedup, mixing, ngram_join, quality, sharding, token_counts,
+    toxicity, vectors,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +69,20 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(_table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations")
+    return conversations.repair_conversations(conversations.damaged(rows), rows)
+
+
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(_table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -74,7 +91,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One query for each operator, over its whole table."""
     every = (
         op1_exact_dedup, op2_token_counts, op3_quality, op4_toxicity, op5_source_mixing, op6_line_dedup, op7_ngram_jaccard_join,
-        op8_vector_near_dedup, op9_byte_bpe, op10_sharding, pipeline,
+        op8_vector_near_dedup, op9_byte_bpe, op10_sharding, op11_conversation_repair, op12_fingerprints, op13_hard_negatives, pipeline,
     )
     return {query.__name__: query for query in every}
 
@@ -166,6 +183,28 @@ FROM r JOIN c ON starts_with(r.bits, c.p)
 """
 
 
+_OP13 = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda y: floor(256 * y::DOUBLE)) AS x
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_dot_product(a.x, c.x)::BIGINT AS score
+  FROM v a JOIN v c ON a.vec_id % 50 = 0 AND a.vec_id <> c.vec_id),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (
+  SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score,
+         row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM p JOIN s USING (anchor_id)
+  WHERE NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the operators that SQL can express; the others are tested against plain versions."""
     return {
@@ -174,4 +213,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_ngram_jaccard_join": _OP7,
         "op8_vector_near_dedup": _OP8,
         "op10_sharding": _OP10,
+        "op13_hard_negatives": _OP13,
     }
