@@ -23,7 +23,7 @@ from farelens.llm.components import components
 #: Places of a fingerprint, words of a shingle, places of a band.
 PLACES, WIDTH, BAND = 128, 5, 4
 #: Shingles that are permuted at once: the table of a step stays in the processor's cache.
-STEP = 512
+STEP = 2048
 #: Pairs left, by rows of all bands, that are compared without further rounds.
 FULL = 4
 #: Ranges of ids for each partition when documents are put in order.
@@ -31,25 +31,30 @@ RANGES = 4
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
+class _WordHashes(dict):
+    """Hashes of words already seen, kept while they are few."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 500_000:
+            self.clear()
+        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        return value
+
+
 class Fingerprinter:
-    """Permutations drawn from a seed; words' hashes are kept while they are few."""
+    """Permutations drawn from a seed."""
 
     def __init__(self, places: int = PLACES, width: int = WIDTH, seed: int = 1):
         drawn = np.random.default_rng(seed).integers(0, 1 << 32, (2, places, 1), np.uint32)
         self.times, self.plus, self.width = drawn[0] | np.uint32(1), drawn[1], width
-        self.words: dict[bytes, int] = {}
+        self.words = _WordHashes()
 
     def shingles(self, text: str) -> np.ndarray:
         """Hashes of all runs of ``width`` words, A-Z lower-cased, repeated ones too; fewer words are one run, no words none."""
         words = text.encode("utf-8", "surrogatepass").lower().split()
         if len(words) < self.width:
             return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words))] if words else [], np.uint64)
-        if len(self.words) > 500_000:
-            self.words.clear()
-        known = self.words
-        for word in set(words) - known.keys():
-            known[word] = xxhash.xxh3_64_intdigest(word)
-        hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        hashes = np.fromiter(map(self.words.__getitem__, words), np.uint64, len(words))
         n = len(words) - self.width + 1
         out = np.zeros(n, np.uint64)
         for k in range(self.width):

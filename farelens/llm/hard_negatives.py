@@ -93,6 +93,8 @@ class Block:
                 left, partial = left[bitmap], partial[bitmap]
             if not len(left):
                 break
+        if partial.dtype == object:
+            partial = np.array([max(-(1 << 63), min((1 << 63) - 1, x)) for x in partial], object)
         return left, partial
 
     def first(self, places: np.ndarray, scores: np.ndarray, k: int) -> list[tuple[int, int]]:
@@ -125,10 +127,6 @@ def _in_windows(scores: Sequence[int], low: int, high: int, k: int) -> Callable:
     return keep
 
 
-def _long(score: int) -> int:
-    return max(-(1 << 63), min((1 << 63) - 1, score))
-
-
 def _cells(rows: DataFrame, anchors: DataFrame, find: Callable, schema: str, sizes: tuple[int, int]) -> DataFrame:
     """``find(block rows, anchors)`` for every pair of a block of rows and a group of anchors."""
     blocks, groups = (max(1, -(-n // size)) for n, size in zip((rows.count(), anchors.count()), sizes, strict=True))
@@ -159,7 +157,7 @@ def _positives(rows: DataFrame, anchors: DataFrame, k: int, sizes: tuple[int, in
             for i in selves:
                 block.times[i] -= 1
             for place, score in block.first(*block.scan(anchor, places, _top(k)), k):
-                yield b, label, q, int(block.ids[place]), _long(score)
+                yield b, label, q, int(block.ids[place]), score
             for i in selves:
                 block.times[i] += 1
 
@@ -207,7 +205,7 @@ def hard_negatives(
             for score in scores:
                 inside = (100 * exact >= low * score) & (100 * exact <= high * score)
                 for place, own_score in block.first(places[inside], exact[inside], negatives):
-                    yield b, label, q, score, int(block.ids[place]), _long(own_score)
+                    yield b, label, q, score, int(block.ids[place]), own_score
 
     mined = _cells(usable, equipped, find, "b long, label long, q binary, score long, negative long, negative_score long", sizes)
     order = Window.partitionBy(*key, "score").orderBy(F.desc("negative_score"), "negative")
