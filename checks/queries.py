@@ -181,7 +181,7 @@ def split_route(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def preprocess(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = clean.preprocess(fx.flights_with_gaps(spark, sf_dir)).select(
+    cleaned = clean.preprocess(fx.flights_with_gaps(spark, sf_dir), folder=fx.work_folder(spark)).select(
         "flight_id",
         "route_name",
         "aircraft_type",

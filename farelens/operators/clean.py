@@ -7,14 +7,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from farelens.fixed_values import IQR_COLUMNS, IQR_REACH, REQUIRED_COLUMNS
 from farelens.functions import between_bounds
-from farelens.operators.quantiles import exact_quantiles, interpolated, quantile_ranks, quoted, ranked_values
+from farelens.operators.quantiles import ColumnRanks, exact_quantiles, quantile, quantile_places, quoted, sorted_ranks, table_ranks
 from farelens.sources.flights import nan_to_null
+from farelens.sources.shared import new_folder
 
 # target column -> column it is copied from when the target is missing
 _ALIASES = {
@@ -104,62 +105,60 @@ def _filled(df: DataFrame, name: str, value: Column) -> Column:
     return F.coalesce(F.col(quoted(name)).cast(kind), value.cast(kind))
 
 
-def _in_filled(values: Column, place: Column, size: Column, nulls: Column, median: Column) -> Column:
-    """Value at a place (from 0 on) of a sorted column whose nulls became the median, from the ranks of the column itself.
+def _in_filled(column: ColumnRanks, place: int, gaps: int, median: float) -> float:
+    """Value at a place (from 0 on) of a sorted column whose gaps became the median, from the ranks of the column itself.
 
     The copies of the median stand after the values up to the middle.
     """
-    before = F.floor((size - 1) / 2) + 1
-    return F.when(place < before, values[place + 1]).when(place < before + nulls, median).otherwise(values[place - nulls + 1])
+    before = (column.size - 1) // 2 + 1
+    if place < before:
+        return column.values[place + 1]
+    return median if place < before + gaps else column.values[place - gaps + 1]
 
 
-def _original_ranks(place: Column, size: Column, nulls: Column) -> Column:
+def _original_rank(place: int, size: int, gaps: int) -> int:
     """Rank to look up for a place of the filled column; the middle for a copy of the median."""
-    before = F.floor((size - 1) / 2) + 1
-    return F.when(place < before, place + 1).when(place < before + nulls, before).otherwise(place - nulls + 1).cast("long")
+    before = (size - 1) // 2 + 1
+    return place + 1 if place < before else before if place < before + gaps else place - gaps + 1
 
 
 _QUARTILES = (0.25, 0.75)
 
 
-def _column_figures(df: DataFrame, gaps: Sequence[str], capped: Sequence[str]) -> Column:
-    """Scalar map from column name to (median, low, high): bounds are those of the column after its gaps are filled.
+def _wanted_ranks(filled: bool, capped: bool):
+    """Ranks of a column for its median and, after filling, its quartiles; a column that stays as it is needs none."""
+
+    def ranks(size: int, nulls: int) -> list[int]:
+        gaps = nulls if filled else 0
+        if not size or not (gaps or capped):
+            return []
+        wanted = sorted_ranks([0.5], size)
+        for p in _QUARTILES if capped else ():
+            wanted += [_original_rank(place - 1, size, gaps) for place in quantile_places(p, size + gaps)[:2]]
+        return wanted
+
+    return ranks
 
-    Filling adds copies of the median, so quartiles of the filled column are ranks of the column itself: one search for all.
-    """
-    names = list(dict.fromkeys([*gaps, *capped]))
-    numbered = [str(i) for i in range(len(names))]
-    narrow = df.selectExpr(*[f"CAST({quoted(c)} AS DOUBLE) AS `{i}`" for i, c in zip(numbered, names)])
-    records = narrow.unpivot([], numbered, "measure", "value").withColumn("measure", F.col("measure").cast("int"))
-    holds = F.array(*[F.lit(c in gaps) for c in names]) if names else F.array()
-    filled_nulls = lambda nulls: F.when(holds[F.col("measure")], nulls).otherwise(0)
-
-    def places(size: Column, nulls: Column) -> list[tuple[Column, Column, Column]]:
-        return [(low - 1, high - 1, share) for low, high, share in quantile_ranks(_QUARTILES, size + filled_nulls(nulls))]
-
-    def ranks(size: Column, nulls: Column) -> Column:
-        middle = quantile_ranks([0.5], size)[0]
-        wanted = [middle[0], middle[1]]
-        for low, high, _ in places(size, nulls):
-            wanted += [_original_ranks(p, size, filled_nulls(nulls)) for p in (low, high)]
-        return F.array(*wanted)
-
-    found = ranked_values(records, ["measure"], ranks)
-    by_rank = F.map_from_entries(F.collect_list(F.struct("rank", "value")))
-    columns = found.groupBy("measure", "size", "nulls").agg(by_rank.alias("values"))
-    size, nulls, values = F.col("size"), F.col("nulls"), F.col("values")
-    columns = columns.withColumn("median", interpolated(values, quantile_ranks([0.5], size)[0]))
-    quarters = []
-    for low, high, share in places(size, nulls):
-        below, above = (_in_filled(values, p, size, filled_nulls(nulls), F.col("median")) for p in (low, high))
-        quarters.append(below + (above - below) * share)
-    reach = (quarters[1] - quarters[0]) * IQR_REACH
-    figures = columns.select(
-        F.element_at(F.array(*map(F.lit, names)), F.col("measure") + 1).alias("name"),
-        F.struct("median", (quarters[0] - reach).alias("low"), (quarters[1] + reach).alias("high")).alias("figures"),
-    )
-    # One entry per column.
-    return figures.agg(F.map_from_entries(F.collect_list(F.struct("name", "figures"))).alias("figures")).scalar()
+
+def _figures_of(column: ColumnRanks, filled: bool, capped: bool) -> dict[str, float | None]:
+    """Median, and bounds of the column after its gaps are filled with it; none of a column without values."""
+    if not column.values:
+        return {"median": None, "low": None, "high": None}
+    gaps, median = column.nulls if filled else 0, quantile(column.values, 0.5, column.size)
+    out = {"median": median, "low": None, "high": None}
+    if capped:
+        quarters = []
+        for p in _QUARTILES:
+            low, high, share = quantile_places(p, column.size + gaps)
+            below, above = (_in_filled(column, place - 1, gaps, median) for place in (low, high))
+            quarters.append(below + (above - below) * share)
+        reach = (quarters[1] - quarters[0]) * IQR_REACH
+        out |= {"low": quarters[0] - reach, "high": quarters[1] + reach}
+    return out
+
+
+def _number(x: float | None) -> Column:
+    return F.lit(x).cast("double")
 
 
 def _sketched_figures(df: DataFrame, gaps: Sequence[str], capped: Sequence[str]) -> Column:
@@ -175,33 +174,51 @@ def _sketched_figures(df: DataFrame, gaps: Sequence[str], capped: Sequence[str])
     return quantiles.select(F.create_map(*entries).alias("figures")).scalar()
 
 
-def _fill_and_cap(df: DataFrame, gaps: Sequence[str], capped: Sequence[str], exact: bool) -> DataFrame:
-    """Fill the columns in ``gaps``, move the columns in ``capped`` into their bounds, leave all others alone."""
-    numeric = [c for c in numeric_columns(df) if c in gaps]
-    texts = [c for c in text_columns(df) if c in gaps]
+def _fill_and_cap(df: DataFrame, gaps: Sequence[str] | None, capped: Sequence[str], exact: bool, only: Sequence[str] | None = None) -> DataFrame:
+    """Fill the columns in ``gaps``, move the columns in ``capped`` into their bounds, leave all others alone.
+
+    ``gaps`` None: columns with gaps, among ``only`` if given, are those with nulls in the pass that takes the sketches.
+    """
+    open_gaps = gaps is None
+    able = [c for c in df.columns if (only is None or c in only) and (open_gaps or c in gaps)]
+    numeric = [c for c in numeric_columns(df) if c in able]
+    texts = [c for c in text_columns(df) if c in able]
     capped = [c for c in capped if c in df.columns]
-    found, changed = {}, {}
-    if numeric or capped:
-        found["_figures"] = (_column_figures if exact else _sketched_figures)(df, numeric, capped)
+    names = list(dict.fromkeys([*numeric, *capped]))
+    found, changed, figures = {}, {}, {}
+    if not exact:
+        if open_gaps:
+            holding = columns_with_gaps(df.select(*map(quoted, able)))
+            numeric, texts = [c for c in numeric if c in holding], [c for c in texts if c in holding]
+            names = list(dict.fromkeys([*numeric, *capped]))
+        if names:
+            found["_figures"] = _sketched_figures(df, numeric, capped)
+            figures = {c: {k: F.col("_figures")[c][k] for k in ("median", "low", "high")} for c in names}
+    elif names or (texts and open_gaps):
+        wanted = {c: _wanted_ranks(c in numeric, c in capped) for c in names}
+        columns, empty = table_ranks(df, wanted, texts if open_gaps else ())
+        if open_gaps:
+            numeric, texts = [c for c in numeric if columns[c].nulls], [c for c in texts if empty[c]]
+        plain = {c: _figures_of(columns[c], c in numeric, c in capped) for c in dict.fromkeys([*numeric, *capped])}
+        figures = {c: {k: _number(x) for k, x in of_column.items()} for c, of_column in plain.items()}
     if texts:
         found["_modes"] = _modes(df, texts)
     for c in dict.fromkeys([*numeric, *capped]):
-        figures = F.col("_figures")[c]
-        value = _filled(df, c, figures["median"]) if c in numeric else F.col(quoted(c))
-        changed[c] = between_bounds(value, figures["low"], figures["high"]) if c in capped else value
+        value = _filled(df, c, figures[c]["median"]) if c in numeric else F.col(quoted(c))
+        changed[c] = between_bounds(value, figures[c]["low"], figures[c]["high"]) if c in capped else value
     changed.update({c: F.coalesce(F.col(quoted(c)), F.col("_modes")[i]) for i, c in enumerate(texts)})
-    return df.withColumns(found).withColumns(changed).drop(*found) if found else df
+    return df.withColumns(found).withColumns(changed).drop(*found) if found or changed else df
 
 
 def fill_numeric_median(df: DataFrame, cols: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
     """Fill nulls and NaN of numeric columns with the column's median.
 
     Only columns with gaps change. As a median may lie between two integers, a filled LONG becomes DECIMAL(20,1) and other
-    integers double; month and weekday stay whole. Without ``cols`` the gaps are counted first, which runs one pass.
+    integers double; month and weekday stay whole. Without ``cols`` the gaps are counted in the pass that takes the sketches. The
+    medians are found when this is called (see ``table_ranks``).
     """
     wanted = numeric_columns(df)
-    gaps = columns_with_gaps(df.select(*map(quoted, wanted))) if cols is None else [c for c in wanted if c in cols]
-    return _fill_and_cap(nan_to_null(df), gaps, (), exact)
+    return _fill_and_cap(nan_to_null(df), None if cols is None else [c for c in wanted if c in cols], (), exact, wanted)
 
 
 def fill_categorical_mode(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -216,7 +233,7 @@ def fill_categorical_mode(df: DataFrame, cols: Sequence[str] | None = None) -> D
 
 def fill_missing(df: DataFrame, cols: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
     """Both fillings in one step: numeric columns by median, text columns by mode. Other kinds of columns are left alone."""
-    return _fill_and_cap(nan_to_null(df), columns_with_gaps(df) if cols is None else cols, (), exact)
+    return _fill_and_cap(nan_to_null(df), cols, (), exact)
 
 
 def _copied(df: DataFrame) -> dict[str, str]:
@@ -237,17 +254,27 @@ def resolve_aliases(df: DataFrame) -> DataFrame:
     return named
 
 
-def _iqr_bounds(df: DataFrame, cols: Sequence[str], exact: bool) -> Column:
-    """Scalar array of (low, high) for the whole table, in the order of ``cols``."""
-    quartiles = exact_quantiles(df.select(*cols), cols, [0.25, 0.75], exact=exact)
-    bounds = F.transform(
+def _iqr_bounds(df: DataFrame, cols: Sequence[str], exact: bool) -> tuple[DataFrame, list[tuple[Column, Column]]]:
+    """The table, and (low, high) for the whole of it in the order of ``cols``: figures, or with sketches a scalar that comes along."""
+    if exact:
+        columns, _ = table_ranks(df.select(*map(quoted, cols)), {c: lambda size, nulls: sorted_ranks(_QUARTILES, size) for c in cols})
+        bounds = []
+        for c in cols:
+            column = columns[c]
+            low, high = (quantile(column.values, p, column.size) if column.size else None for p in _QUARTILES)
+            reach = (high - low) * IQR_REACH if column.size else None
+            bounds.append((_number(low - reach), _number(high + reach)) if column.size else (_number(None), _number(None)))
+        return df, bounds
+    quartiles = exact_quantiles(df.select(*cols), cols, [0.25, 0.75], exact=False)
+    spans = F.transform(
         F.array(*cols),
         lambda q: F.struct(
             (q[0] - (q[1] - q[0]) * IQR_REACH).alias("low"),
             (q[1] + (q[1] - q[0]) * IQR_REACH).alias("high"),
         ),
     )
-    return quartiles.select(bounds.alias("bounds")).scalar()
+    marked = df.withColumn("_bounds", quartiles.select(spans.alias("bounds")).scalar())
+    return marked, [(F.col("_bounds")[i]["low"], F.col("_bounds")[i]["high"]) for i in range(len(cols))]
 
 
 def iqr_outlier_counts(
@@ -255,10 +282,9 @@ def iqr_outlier_counts(
 ) -> DataFrame:
     """Per column: bounds at 1.5 interquartile ranges and the number of values strictly outside."""
     cols = [c for c in cols if c in df.columns]
-    marked = df.select(*cols).withColumn("_bounds", _iqr_bounds(df, cols, exact))
+    marked, bounds = _iqr_bounds(df.select(*cols), cols, exact)
     stats = []
-    for i, c in enumerate(cols):
-        low, high = F.col("_bounds")[i]["low"], F.col("_bounds")[i]["high"]
+    for c, (low, high) in zip(cols, bounds, strict=True):
         stats.append(
             F.struct(
                 F.lit(c).alias("column_name"),
@@ -275,11 +301,8 @@ def cap_iqr(df: DataFrame, cols: Sequence[str] = IQR_COLUMNS, exact: bool = True
     cols = [c for c in cols if c in df.columns]
     if not cols:
         return df
-    capped = {
-        c: between_bounds(F.col(c), F.col("_bounds")[i]["low"], F.col("_bounds")[i]["high"])
-        for i, c in enumerate(cols)
-    }
-    return df.withColumn("_bounds", _iqr_bounds(df, cols, exact)).withColumns(capped).drop("_bounds")
+    marked, bounds = _iqr_bounds(df, cols, exact)
+    return marked.withColumns({c: between_bounds(F.col(c), *span) for c, span in zip(cols, bounds, strict=True)}).drop("_bounds")
 
 
 def ensure_route_name(df: DataFrame) -> DataFrame:
@@ -313,17 +336,25 @@ def with_calendar(df: DataFrame) -> DataFrame:
     return add_calendar(resolve_date(df))
 
 
-def preprocess(df: DataFrame, fill: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
+def preprocess(df: DataFrame, fill: Sequence[str] | None = None, exact: bool = True, folder: str | None = None) -> DataFrame:
     """The whole cleaning sequence: dates, filling, aliases, bounds, route name.
 
-    Without ``fill``, the columns to fill, gaps are counted in one pass while the plan is built. The plan then passes over its
-    input twice for medians and bounds together, over the text columns with gaps once for their modes, and once for the result. Read
-    the input from a columnar file, so that the first passes read few columns.
+    ``fill`` names the columns to fill; without it all columns with gaps are. With ``folder``, which all executors must share, the dated
+    input is written there once, gaps are counted on the way (observed metrics), and all passes read that columnar copy: the input
+    itself is read once. Without it the gaps come from the pass that takes the sketches. Two passes find medians and bounds
+    together when this is called, a third finds the modes of text columns with gaps, and the last writes the result.
     """
     dated = with_calendar(nan_to_null(df))
-    gaps = list(columns_with_gaps(dated) if fill is None else fill)
     copies = _copied(dated)
     # A copy has the gaps of its source, so that both are filled and bounded in one search.
-    gaps += [target for target, source in copies.items() if source in gaps]
     copied = dated.withColumns({target: F.col(source) for target, source in copies.items()}) if copies else dated
+    gaps = None if fill is None else [*fill, *[target for target, source in copies.items() if source in fill]]
+    if folder is not None:
+        seen = Observation()
+        path = new_folder(folder, "dated")
+        holes = [F.count_if(_is_missing(f)).alias(str(i)) for i, f in enumerate(copied.schema.fields)]
+        copied.observe(seen, *holes).write.parquet(path)
+        counted = seen.get
+        copied = df.sparkSession.read.schema(copied.schema).parquet(path)
+        gaps = [c for i, c in enumerate(copied.columns) if counted[str(i)]] if gaps is None else gaps
     return require_columns(resolve_aliases(_fill_and_cap(copied, gaps, IQR_COLUMNS, exact)))

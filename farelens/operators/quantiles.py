@@ -1,26 +1,33 @@
 """Exact quantiles without holding a whole group in one task.
 
-The built-in exact percentile keeps every distinct value of a group in one reducer. Here a rank is narrowed down by counting:
+The built-in exact percentile keeps every distinct value of a group in one reducer. Two searches for ranks do not:
 
-1. one aggregation counts each group's values by coarse cell (sign, power of two, 8 more bits), in part before the shuffle;
-   running counts name the cell that holds a wanted rank;
-2. a second aggregation looks at the values of these cells only and counts them by the 44 bits that are left, cut into two
-   halves of 22; running counts over the first half, then over the second, end at a single value.
+``table_ranks`` is for columns of a whole table. A mergeable rank sketch of fixed size, taken for all columns in one aggregation, names a
+bracket around every wanted rank. A second pass counts the rows below the bracket and keeps only values inside it. The counts prove which
+value has the rank: a sketch steers the search and never decides it. The passes run when it is called, as the fit of an estimator
+does, and give plain figures. A bracket that holds too many values, or that missed its rank, is narrowed by a further pass.
 
-Cells and halves keep the order of the values and depend on nothing but the value, so no rank can be missed, and equal values
-never make a group larger. A running count goes over at most 2**20 cells of a group, or 2**22 halves of a cell.
+``ranked_values`` is for groups and stays lazy. A sketch would not do there: a lazy plan may take it twice, and two sketches of the same
+rows differ. Cells of the value itself are counted instead, then the values of the cells that hold a rank.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import math
+from collections.abc import Callable, Iterable, Mapping, Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Resolution of the one-pass approximation.
 ACCURACY = 10_000
-_BITS, _HALF = 8, 22
+# Size of a sketch, points read from it, and half the width of a bracket as a share of all rows; the sketch's error is a third of that.
+TABLE_SKETCH, TABLE_POINTS, TABLE_REACH = 8_000, 500, 0.001
+# Values inside a bracket that a pass hands to the driver; a bracket with more is narrowed first.
+KEPT = 50_000
+# Cells for each doubling of a value.
+_COARSE = 256
 _NOT_A_NUMBER, _ENDLESS = 1 << 30, (1 << 30) - 1
 
 
@@ -29,33 +36,16 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def with_cells(rows: DataFrame, value: str = "value") -> DataFrame:
-    """Add the whole numbers ``a``, ``b``, ``c``: ordered as the value is, together equal to it. Null gives null; NaN is largest."""
+def _level(value: str) -> str:
+    """SQL for a number that never falls where the value rises: the logarithm does not, by the rules of the virtual machine."""
+    return f"(signum({value}) * log2(1D + abs({value})) * {_COARSE}D)"
+
+
+def coarse_cell(value: str = "value") -> Column:
+    """Whole number in the order of the values; null gives null, NaN is largest."""
     v = quoted(value)
-    size = f"abs({v})"
-    # The logarithm may be off by one next to a power of two; comparing with the powers themselves is exact.
-    return (
-        rows.withColumn(
-            "_rough", F.expr(f"CASE WHEN {v} = 0 OR isnan({v}) OR {size} = double('Infinity') THEN 0 ELSE floor(log2({size})) END")
-        )
-        .withColumn("_power", F.expr(f"_rough + int({size} >= pow(2D, _rough + 1)) - int({size} < pow(2D, _rough))"))
-        .withColumn("_rest", F.expr(f"({size} / pow(2D, _power) - 1) * {1 << _BITS}"))
-        .withColumn("_first", F.expr(f"(_rest - floor(_rest)) * {1 << _HALF}D"))
-        .withColumns(
-            {
-                "a": F.expr(
-                    f"int(CASE WHEN isnan({v}) THEN {_NOT_A_NUMBER} WHEN {size} = double('Infinity') THEN signum({v}) * {_ENDLESS} "
-                    f"WHEN {v} = 0 THEN 0 WHEN {v} IS NULL THEN NULL "
-                    f"ELSE signum({v}) * ((_power + 1100) * {1 << _BITS} + floor(_rest) + 1) END)"
-                ),
-                "b": F.expr(f"int(CASE WHEN abs({v}) > 0 AND {size} < double('Infinity') THEN signum({v}) * floor(_first) ELSE 0 END)"),
-                "c": F.expr(
-                    f"int(CASE WHEN abs({v}) > 0 AND {size} < double('Infinity') "
-                    f"THEN signum({v}) * (_first - floor(_first)) * {1 << _HALF}D ELSE 0 END)"
-                ),
-            }
-        )
-        .drop("_rough", "_power", "_rest", "_first")
+    return F.expr(
+        f"int(CASE WHEN isnan({v}) THEN {_NOT_A_NUMBER} WHEN abs({v}) = double('Infinity') THEN signum({v}) * {_ENDLESS} ELSE floor({_level(v)}) END)"
     )
 
 
@@ -88,29 +78,150 @@ def first_cells(
 
 
 def ranked_values(rows: DataFrame, keys: Sequence[str], ranks: Callable[[Column, Column], Column]) -> DataFrame:
-    """(keys, size, nulls, rank, value) for each wanted rank of the column ``value`` in each group; see ``first_cells``."""
+    """(keys, size, nulls, rank, value) for each wanted rank of the column ``value`` in each group; see ``first_cells``.
+
+    1. One aggregation counts each group's values by coarse cell (256 for each doubling), in part before the shuffle; running counts name
+       the cell that holds a wanted rank.
+    2. A second one counts the values in these cells, and running counts over them end at the value.
+
+    Cells keep the order of the values, so no rank can be missed, and equal values never add up in one task. A running count goes
+    over the coarse cells of a group, or over the distinct values of one cell, which is 0.3 percent of its value wide; both are sorted with
+    room on disk. The rows are read twice.
+    """
     keys = list(keys)
-    celled = with_cells(rows)
+    celled = rows.withColumn("a", coarse_cell())
     picks = first_cells(celled, keys, ranks)
-    opened = celled.join(picks.select(*keys, "a").distinct(), [*keys, "a"])
-    counts = opened.groupBy(*keys, "a", "b", "c").agg(F.count(F.lit(1)).alias("k"), F.max("value").alias("value"))
-    # The largest value comes along so that both uses of ``counts`` need the same columns: Spark then shuffles them once.
-    halves = counts.groupBy(*keys, "a", "b").agg(F.sum("k").alias("k"), F.max("value").alias("most"))
-    wanted = picks.select(*keys, "a", "size", "nulls", "rank", F.col("inner").alias("at"))
-    upto = F.sum("k").over(Window.partitionBy(*keys, "a").orderBy("b").rowsBetween(Window.unboundedPreceding, 0))
-    first = (
-        halves.withColumn("upto", upto)
-        .join(wanted, [*keys, "a"])
-        .filter((F.col("at") <= F.col("upto")) & (F.col("at") > F.col("upto") - F.col("k")))
-        .select(*keys, "a", "b", "most", "size", "nulls", "rank", (F.col("at") - F.col("upto") + F.col("k")).alias("at"))
-    )
-    upto = F.sum("k").over(Window.partitionBy(*keys, "a", "b").orderBy("c").rowsBetween(Window.unboundedPreceding, 0))
-    return (
-        counts.withColumn("upto", upto)
-        .join(first, [*keys, "a", "b"])
-        .filter((F.col("at") <= F.col("upto")) & (F.col("at") > F.col("upto") - F.col("k")) & (F.col("value") <= F.col("most")))
-        .select(*keys, "size", "nulls", "rank", "value")
-    )
+    # At most one entry for each wanted rank of the group.
+    wanted = picks.groupBy(*keys, "a", "size", "nulls").agg(F.collect_list(F.struct("rank", F.col("inner").alias("at"))).alias("wanted"))
+    opened = celled.join(wanted, [*keys, "a"])
+    counts = opened.groupBy(*keys, "a", "size", "nulls", "wanted", "value").agg(F.count(F.lit(1)).alias("k"))
+    order = Window.partitionBy(*keys, "a").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    own = F.filter("wanted", lambda w: (w["at"] <= F.col("upto")) & (w["at"] > F.col("upto") - F.col("k")))
+    found = counts.withColumn("upto", F.sum("k").over(order)).withColumn("own", F.explode(own))
+    return found.select(*keys, "size", "nulls", F.col("own.rank").alias("rank"), "value")
+
+
+def _points(sketch: str, points: int) -> str:
+    """SQL for the values at evenly spaced shares of a sketch."""
+    return f"kll_sketch_get_quantile_double({sketch}, array({', '.join(f'{k / points!r}D' for k in range(points + 1))}))"
+
+
+def _sketch(value: str, size: int) -> str:
+    return f"kll_sketch_agg_double({value}, {size})"
+
+
+def _bracket(points: Sequence[float], rank: int, size: int, reach: float) -> tuple[float, float]:
+    """Two points around a rank among ``size`` values; endless where the reach goes beyond the ends."""
+    share, last = (rank - 0.5) / size, len(points) - 1
+    low, high = math.floor((share - reach) * last), math.ceil((share + reach) * last)
+    return points[low] if low >= 0 else -math.inf, points[high] if high <= last else math.inf
+
+
+@dataclass
+class ColumnRanks:
+    """Number of values and nulls of a column, and the value at each rank asked for. NaN counts as the largest value."""
+
+    size: int
+    nulls: int
+    values: dict[int, float] = field(default_factory=dict)
+
+
+@dataclass
+class _Open:
+    """A rank of a column that is searched for: its bracket, and how many values may lie inside."""
+
+    column: str
+    rank: int
+    low: float
+    high: float
+    inside: float
+
+
+def _double(x: float) -> str:
+    return f"double('{'Infinity' if x == math.inf else '-Infinity' if x == -math.inf else repr(float(x))}')"
+
+
+def _first_pass(df: DataFrame, columns: Sequence[str], also_count: Sequence[str]) -> tuple[dict[str, ColumnRanks], dict, dict]:
+    """Sizes of the columns, points of their sketches, and nulls of the columns ``also_count``: one aggregation."""
+    asked, given = [], []
+    for i, c in enumerate(columns):
+        v = f"CAST({quoted(c)} AS DOUBLE)"
+        asked += [f"count({v}) AS n{i}", f"count_if({v} IS NULL) AS z{i}", f"count_if(isnan({v})) AS x{i}", f"{_sketch(v, TABLE_SKETCH)} AS s{i}"]
+        given += [f"n{i}", f"z{i}", f"x{i}", f"CASE WHEN n{i} > x{i} THEN {_points(f's{i}', TABLE_POINTS)} END AS p{i}"]
+    asked += [f"count_if({quoted(c)} IS NULL) AS y{i}" for i, c in enumerate(also_count)]
+    given += [f"y{i}" for i in range(len(also_count))]
+    row = df.agg(*map(F.expr, asked)).selectExpr(*given).first()
+    sizes = {c: ColumnRanks(row[f"n{i}"], row[f"z{i}"]) for i, c in enumerate(columns)}
+    numbers = {c: row[f"n{i}"] - row[f"x{i}"] for i, c in enumerate(columns)}
+    points = {c: row[f"p{i}"] for i, c in enumerate(columns)}
+    nulls = {c: row[f"y{i}"] for i, c in enumerate(also_count)}
+    return sizes, {c: (numbers[c], points[c]) for c in columns}, nulls
+
+
+def _narrowed(df: DataFrame, wanted: list[_Open]) -> tuple[list[tuple[_Open, float]], list[_Open]]:
+    """One pass over the brackets: ranks whose value is proven, and the narrower brackets of the others."""
+    spans = list(dict.fromkeys((w.column, w.low, w.high) for w in wanted))
+    most = {span: max(w.inside for w in wanted if (w.column, w.low, w.high) == span) for span in spans}
+    asked, given = [], []
+    for i, (c, low, high) in enumerate(spans):
+        v, lo, hi = f"CAST({quoted(c)} AS DOUBLE)", _double(low), _double(high)
+        between = f"{v} > {lo} AND {v} < {hi}"
+        inner = f"CASE WHEN {between} THEN {v} END"
+        asked += [f"count_if({v} < {lo}) AS b{i}", f"count_if({v} = {lo}) AS l{i}", f"count_if({between}) AS m{i}", f"count_if({v} = {hi}) AS h{i}"]
+        kept = most[c, low, high] <= KEPT
+        asked.append(f"collect_list({inner}) AS v{i}" if kept else f"{_sketch(inner, TABLE_SKETCH)} AS v{i}")
+        given += [f"b{i}", f"l{i}", f"m{i}", f"h{i}", f"v{i}" if kept else f"CASE WHEN m{i} > 0 THEN {_points(f'v{i}', TABLE_POINTS)} END AS v{i}"]
+    row = df.agg(*map(F.expr, asked)).selectExpr(*given).first()
+    proven, left = [], []
+    listed = {}
+    for w in wanted:
+        span = w.column, w.low, w.high
+        i = spans.index(span)
+        below, at_low, inside, at_high = (row[f"{name}{i}"] for name in "blmh")
+        upto = [below, below + at_low, below + at_low + inside, below + at_low + inside + (at_high if w.high > w.low else 0)]
+        if w.rank <= upto[0]:
+            left.append(_Open(w.column, w.rank, -math.inf, w.low, below))
+        elif w.rank <= upto[1]:
+            proven.append((w, w.low))
+        elif w.rank > upto[2]:
+            if w.rank <= upto[3]:
+                proven.append((w, w.high))
+            else:
+                left.append(_Open(w.column, w.rank, w.high, math.inf, math.inf))
+        elif most[span] <= KEPT:
+            if span not in listed:
+                listed[span] = sorted(row[f"v{i}"])
+            proven.append((w, listed[span][w.rank - upto[1] - 1]))
+        else:
+            low, high = _bracket(row[f"v{i}"], w.rank - upto[1], inside, TABLE_REACH)
+            width = inside * (2 * TABLE_REACH + 2 / TABLE_POINTS)
+            left.append(_Open(w.column, w.rank, max(low, w.low), min(high, w.high), width))
+    return proven, left
+
+
+def table_ranks(
+    df: DataFrame, ranks: Mapping[str, Callable[[int, int], Iterable[int]]], also_count: Sequence[str] = ()
+) -> tuple[dict[str, ColumnRanks], dict[str, int]]:
+    """For each column the values at the ranks (from 1 on) that its function names for a number of values and of nulls.
+
+    Also the nulls of the columns ``also_count``. Two passes over the table, as a rule: sketches and counts, then proof. More follow only for
+    brackets with over ``KEPT`` values, or which missed. The driver holds a few points and at most ``KEPT`` values for each rank.
+    """
+    found, shapes, nulls = _first_pass(df, list(ranks), also_count)
+    wanted = []
+    for c, column in found.items():
+        numbers, points = shapes[c]
+        for rank in dict.fromkeys(ranks[c](column.size, column.nulls)):
+            if rank > numbers:
+                column.values[rank] = math.nan
+                continue
+            low, high = _bracket(points, rank, numbers, TABLE_REACH)
+            wanted.append(_Open(c, rank, low, high, numbers * (2 * TABLE_REACH + 2 / TABLE_POINTS)))
+    while wanted:
+        proven, wanted = _narrowed(df, wanted)
+        for w, value in proven:
+            found[w.column].values[w.rank] = value
+    return found, nulls
 
 
 def quantile_ranks(probs: Sequence[float], size: Column) -> list[tuple[Column, Column, Column]]:
@@ -122,6 +233,23 @@ def quantile_ranks(probs: Sequence[float], size: Column) -> list[tuple[Column, C
     return out
 
 
+def quantile_places(p: float, size: int) -> tuple[int, int, float]:
+    """As ``quantile_ranks`` for one quantile, as plain numbers."""
+    place = (size - 1) * p
+    return math.floor(place) + 1, math.ceil(place) + 1, place - math.floor(place)
+
+
+def sorted_ranks(probs: Sequence[float], size: int) -> list[int]:
+    """Ranks that the quantiles of ``size`` values are made of; none without values."""
+    return sorted({r for p in probs for r in quantile_places(p, size)[:2]}) if size else []
+
+
+def quantile(values: Mapping[int, float], p: float, size: int) -> float:
+    """Quantile from the values at its ranks, interpolated linearly."""
+    low, high, share = quantile_places(p, size)
+    return values[low] + (values[high] - values[low]) * share
+
+
 def interpolated(values: Column, ranks: tuple[Column, Column, Column]) -> Column:
     """Quantile from a map of rank to value."""
     low, high, share = ranks
@@ -139,7 +267,8 @@ def exact_quantiles(
     """Quantiles of each column, linearly interpolated, nulls left out.
 
     Returns one row per group of ``keys`` (one row in all without keys); every column in ``columns`` becomes an array in the
-    order of ``probs``, null where it has no values. ``exact=False`` returns a sketch's answer in a single pass.
+    order of ``probs``, null where it has no values. Without keys the passes run when this is called (``table_ranks``); with keys
+    the result is lazy. ``exact=False`` returns a sketch's answer in a single pass.
     """
     columns, probs, keys = list(columns), sorted(probs), list(keys)
     # Wide tables: SQL fragments are far quicker to build than column objects.
@@ -148,6 +277,11 @@ def exact_quantiles(
         sketches = [F.percentile_approx(F.expr(v), probs, accuracy) for v in values]
         return df.groupBy(*keys).agg(*[q.alias(c) for q, c in zip(sketches, columns)])
 
+    if not keys:
+        figures, _ = table_ranks(df, {c: lambda size, nulls: sorted_ranks(probs, size) for c in columns})
+        lists = {c: [quantile(figures[c].values, p, figures[c].size) for p in probs] if figures[c].size else None for c in columns}
+        return df.sparkSession.range(1).select(*[F.lit(x).cast("array<double>").alias(c) for c, x in lists.items()])
+
     # One (measure, value) record per column, where the measure is the column's position.
     numbered = [str(i) for i in range(len(columns))]
     narrow = df.selectExpr(*[quoted(k) for k in keys], *[f"{v} AS `{i}`" for i, v in zip(numbered, values)])

@@ -23,7 +23,7 @@ def pricing_summary(
     The cleaned flights and their profiles are written below ``folder``, which all executors must share; everything else reads
     these two tables.
     """
-    cleaned = cut_lineage(clean.preprocess(flights), folder)
+    cleaned = cut_lineage(clean.preprocess(flights, folder=folder), folder)
     profiles = cut_lineage(profile.route_profile(cleaned), folder)
     simple = summary.simplify(cleaned, profiles, max_routes, keep_all)
     if queries is None:
