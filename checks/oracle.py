@@ -590,12 +590,13 @@ def _every() -> dict[str, str]:
     return {
         "csv_roundtrip": flights_sql(_ROUTE_STATS),
         "summary_json": flights_sql(
-            f"""SELECT to_json({{
-  'overall_stats': (SELECT {_OVERALL_STRUCT} FROM flights),{_RANKED_LISTS},
-  'route_stats': (SELECT map_from_entries(list((route_name, profile) ORDER BY route_name))
-                  FROM entries),
-  'sample_data': {_SAMPLES}
-}})::VARCHAR AS summary_json""",
+            f"""SELECT 0 AS section, NULL AS route_name, substr(j, 1, length(j) - 1) || ',"route_stats":{{' AS line
+FROM (SELECT to_json({{'overall_stats': (SELECT {_OVERALL_STRUCT} FROM flights),{_RANKED_LISTS}}})::VARCHAR AS j)
+UNION ALL
+SELECT 1, route_name, CASE WHEN route_name = (SELECT min(route_name) FROM entries) THEN '' ELSE ',' END || substr(j, 2, length(j) - 2)
+FROM (SELECT route_name, to_json(map_from_entries([(route_name, profile)]))::VARCHAR AS j FROM entries)
+UNION ALL
+SELECT 2, NULL, '}},"sample_data":' || to_json({_SAMPLES})::VARCHAR || '}}'""",
             *_summary_parts(20),
         ),
         "summary_elasticity": flights_sql(
@@ -1023,9 +1024,53 @@ FROM flights GROUP BY ALL"""
         ),
         "route_flight_pairs": flights_sql("SELECT DISTINCT route_name, flight_number FROM flights"),
         "flight_number_lookup": flights_sql(
-            """SELECT flight_id, total_revenue, numbers, first_number
+            """SELECT flight_id, total_revenue, flight_numbers
 FROM flights JOIN (
-  SELECT route_name, count(DISTINCT flight_number) AS numbers, min(flight_number) AS first_number FROM flights GROUP BY 1) USING (route_name)"""
+  SELECT route_name, string_agg(DISTINCT flight_number, ',' ORDER BY flight_number) AS flight_numbers FROM flights GROUP BY 1) USING (route_name)"""
+        ),
+        "csv_by_name": flights_sql(
+            """SELECT flight_id, route_name, avg_ticket_price, load_factor, booked_seats FROM flights
+WHERE CASE WHEN flight_id % 2 = 0 THEN flight_id % 50 <> 0 ELSE flight_id % 35 <> 1 END"""
+        ),
+        "csv_rejects": flights_sql(
+            """SELECT 'avg_ticket_price' AS column_name, 'bad-' || flight_id AS value FROM flights WHERE flight_id % 50 = 0
+UNION ALL SELECT 'booked_seats', 'many-' || flight_id FROM flights WHERE flight_id % 2 = 1 AND flight_id % 35 = 1"""
+        ),
+        "scatter_sample": flights_sql(
+            """SELECT route_name, load_factor * 100 AS load_pct, ticket_price AS price FROM flights
+QUALIFY row_number() OVER (PARTITION BY route_name ORDER BY md5(flight_id::VARCHAR), flight_id, load_factor, ticket_price) <= 20"""
+        ),
+        "simplified_summary_all": flights_sql(
+            f"""SELECT to_json({{
+  'overall_stats': (SELECT {_OVERALL_STRUCT} FROM flights),{_RANKED_LISTS},
+  'route_stats': (SELECT map_from_entries(list((route_name, profile) ORDER BY route_name)) FROM entries)
+}})::VARCHAR AS summary_json""",
+            *_summary_parts(20),
+        ),
+        "kept_route_stats": flights_sql(_ROUTE_STATS),
+        "kept_totals": flights_sql(
+            f"""SELECT {_STAT_MEANS}, {mean("corr(load_factor, avg_ticket_price)", 6)} AS load_price_corr,
+  {mean("regr_slope(ticket_price, load_factor * 100)")} AS slope, {mean("regr_intercept(ticket_price, load_factor * 100)")} AS intercept,
+  {mean("avg(load_factor) * 100")} AS load_pct, {mean("avg(profit_margin) * 100")} AS margin_pct,
+  count(DISTINCT route_name) AS total_routes, count(*) AS total_samples
+FROM flights"""
+        ),
+        "kept_weekday_load": flights_sql(
+            f"SELECT day_of_week, {mean('avg(load_factor)')} AS avg_load_factor FROM flights GROUP BY day_of_week"
+        ),
+        "kept_monthly_season": flights_sql(
+            f"""SELECT month, {mean("avg(ticket_price) / (SELECT avg(ticket_price) FROM flights)")} AS seasonal_index
+FROM flights GROUP BY month"""
+        ),
+        "kept_route_season": flights_sql(
+            f"""SELECT route_name, month, {mean("month_price / price")} AS seasonal_index
+FROM (SELECT route_name, month, avg(ticket_price) AS month_price FROM flights GROUP BY ALL)
+JOIN (SELECT route_name, avg(ticket_price) AS price FROM flights GROUP BY ALL) USING (route_name)"""
+        ),
+        "kept_route_money": flights_sql(
+            f"""SELECT route_name, {mean("avg(total_revenue)")} AS avg_revenue, {mean("avg(total_cost)")} AS avg_cost,
+  {mean("avg(total_revenue) - avg(total_cost)")} AS avg_profit, {mean("avg(profit_margin) * 100")} AS profit_pct
+FROM flights GROUP BY route_name"""
         ),
     }
 

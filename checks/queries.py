@@ -24,17 +24,20 @@ from farelens.operators import (
     report,
     responses,
     rules,
+    states,
     stats,
     summary,
 )
 from farelens.plans import pricing_summary, route_report
 from farelens.sources import (
+    FlightScan,
     cut_lineage,
     new_folder,
+    read_document_routes,
     read_flights,
-    read_summary_elasticity,
+    scan_flights,
     write_csv,
-    write_summary,
+    write_document,
 )
 
 
@@ -89,20 +92,45 @@ def _sample_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summary.data_summary(
-        _sample_frame(spark, sf_dir), _profile(spark, sf_dir), fx.PREVIEW_ORDER
-    )
+_BY_NAME = "flight_id BIGINT, route_name STRING, avg_ticket_price DOUBLE, load_factor DOUBLE, booked_seats INT"
+
+
+def _mixed_files(spark: SparkSession, sf_dir: str) -> FlightScan:
+    """Flights in files of two column orders, one kind with a column more; some prices and seats are no numbers."""
+    path = new_folder(fx.work_folder(spark), "mixed-csv")
+    flight, odd = F.col("flight_id"), F.col("flight_id") % 2
+    names = ["flight_id", "route_name", "avg_ticket_price", "load_factor", "booked_seats"]
+    rows = fx.flights(spark, sf_dir).select(*names)
+    price = F.when(flight % 50 == 0, F.concat(F.lit("bad-"), flight)).otherwise(F.col("avg_ticket_price").cast("string"))
+    write_csv(rows.filter(odd == 0).withColumn("avg_ticket_price", price), f"{path}/even")
+    seats = F.when(flight % 35 == 1, F.concat(F.lit("many-"), flight)).otherwise(F.col("booked_seats").cast("string"))
+    write_csv(rows.filter(odd == 1).withColumn("booked_seats", seats).select(F.lit("x").alias("note"), *reversed(names)), f"{path}/odd")
+    return scan_flights(spark, f"{path}/*", _BY_NAME)
+
+
+def csv_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed_files(spark, sf_dir).rows
+
+
+def csv_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed_files(spark, sf_dir).rejects.select(F.col("column").alias("column_name"), "value")
+
+
+def _document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summary.summary_document(_sample_frame(spark, sf_dir), _profile(spark, sf_dir), fx.PREVIEW_ORDER)
 
 
 def summary_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summary.to_summary_json(_summary(spark, sf_dir))
+    """The summary of all routes, line by line."""
+    return _document(spark, sf_dir)
 
 
 def summary_elasticity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = new_folder(fx.work_folder(spark), "summary-json")
-    write_summary(_summary(spark, sf_dir), path)
-    return read_summary_elasticity(spark, path)
+    """Elasticities read back from a written summary document."""
+    path = new_folder(fx.work_folder(spark), "summary-document")
+    write_document(_document(spark, sf_dir), path)
+    read = read_document_routes(spark, path).select("route_name", F.col("profile.price_elasticity").alias("price_elasticity"))
+    return read.filter(F.col("price_elasticity").isNotNull())
 
 
 # --- cleaning -----------------------------------------------------------------------------------
@@ -437,6 +465,10 @@ def scatter_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.scatter_points(fx.analytic(spark, sf_dir))
 
 
+def scatter_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.scatter_points(fx.analytic(spark, sf_dir), max_per_route=20)
+
+
 def margin_scatter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.margin_scatter(fx.flights(spark, sf_dir))
 
@@ -638,9 +670,62 @@ def flight_number_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every flight with the flight numbers of its route."""
     flights = fx.flights(spark, sf_dir)
     looked = lookup.with_flight_numbers(flights.select("flight_id", "total_revenue", "route_name"), lookup.route_flight_numbers(flights))
-    return looked.select(
-        "flight_id", "total_revenue", F.size("flight_numbers").cast("long").alias("numbers"), F.col("flight_numbers")[0].alias("first_number")
-    )
+    return looked.select("flight_id", "total_revenue", F.array_join("flight_numbers", ",").alias("flight_numbers"))
+
+
+def simplified_summary_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shrunk summary with the profiles of all routes kept."""
+    simple = summary.simplify(fx.analytic(spark, sf_dir), _profile(spark, sf_dir), keep_all=True)
+    return summary.to_summary_json(simple)
+
+
+def _batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States of three batches of flights, stored one after the other and one of them twice."""
+    path = new_folder(fx.work_folder(spark), "states")
+    flights = fx.flights(spark, sf_dir)
+    for batch in (0, 1, 2, 1):
+        states.keep_states(states.flight_states(flights.filter(F.col("flight_id") % 3 == batch)), path, str(batch))
+    return states.kept_states(spark, path)
+
+
+def kept_route_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded_columns(states.route_stats(_batches(spark, sf_dir)), *_STATS)
+
+
+def kept_route_season(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded_columns(states.route_seasonal_index(_batches(spark, sf_dir)), "seasonal_index")
+
+
+def kept_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means, correlation, trend and report figures over all batches, in one row."""
+    kept = cut_lineage(_batches(spark, sf_dir), fx.work_folder(spark))
+    parts = (states.overall_means, states.load_price_corr, states.load_price_trend, states.report_kpis)
+    names = ("means", "corr", "trend", "kpis")
+    row = spark.range(1)
+    for name, part in zip(names, parts, strict=True):
+        figures = part(kept)
+        row = row.withColumn(name, figures.select(F.struct(*figures.columns)).scalar())
+    renamed = {"avg_load_factor": "load_pct", "avg_profit_margin": "margin_pct"}
+    kpis = [F.col(f"kpis.{c}").alias(renamed.get(c, c)) for c in ("avg_load_factor", "avg_profit_margin", "total_routes", "total_samples")]
+    flat = row.select("means.*", "corr.*", "trend.*", *kpis)
+    flat = rounded_columns(flat, *states.STAT_MEANS, "slope", "intercept", "load_pct", "margin_pct")
+    return rounded_columns(flat, "load_price_corr", digits=6)
+
+
+def kept_weekday_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rounded_columns(states.weekday_load(_batches(spark, sf_dir)), "avg_load_factor")
+    return found.select("day_of_week", "avg_load_factor")
+
+
+def kept_monthly_season(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded_columns(states.monthly_seasonal_index(_batches(spark, sf_dir)), "seasonal_index")
+
+
+def kept_route_money(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean revenue, cost and margin of each route over all batches."""
+    kept = cut_lineage(_batches(spark, sf_dir), fx.work_folder(spark))
+    money = states.revenue_cost_by_route(kept).join(states.profit_by_route(kept), "route_name")
+    return rounded_columns(money, "avg_revenue", "avg_cost", "avg_profit", "profit_pct")
 
 
 REGISTERED: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
@@ -719,6 +804,16 @@ REGISTERED: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     load_margin_bins,
     route_flight_pairs,
     flight_number_lookup,
+    csv_by_name,
+    csv_rejects,
+    scatter_sample,
+    simplified_summary_all,
+    kept_route_stats,
+    kept_route_season,
+    kept_totals,
+    kept_weekday_load,
+    kept_monthly_season,
+    kept_route_money,
 )
 
 

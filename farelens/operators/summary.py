@@ -96,6 +96,40 @@ def data_summary(
     )
 
 
+_JSON = {"ignoreNullFields": "false", "dateFormat": "yyyy-MM-dd", "timestampFormat": "yyyy-MM-dd"}
+
+
+def summary_document(df: DataFrame, profile: DataFrame, sample_order: Sequence[str], k: int = 3) -> DataFrame:
+    """The data summary of any number of routes as lines (section, route_name, line) of one JSON text.
+
+    Line 0 opens the document with the overall figures and the best and worst routes, then comes a line for each route by name, and
+    the last line closes it with the sample rows. In the order of section and route the lines are the same text that
+    ``to_summary_json`` makes of ``data_summary``. No task and no row holds more than one route.
+    """
+    empty = profile.limit(0)
+    head = _summary(df, profile, empty, k).drop("route_stats")
+    opened = F.to_json(F.struct(*head.columns), _JSON)
+    first = head.select(
+        F.lit(0).alias("section"),
+        F.lit(None).cast("string").alias("route_name"),
+        F.concat(F.substring(opened, F.lit(1), F.length(opened) - 1), F.lit(',"route_stats":{')).alias("line"),
+    )
+    entry = F.to_json(F.create_map("route_name", F.struct(*_PROFILE)), _JSON)
+    least = profile.agg(F.min("route_name").alias("least")).scalar()
+    comma = F.when(F.col("route_name") == least, "").otherwise(",")
+    routes = profile.select(
+        F.lit(1).alias("section"), "route_name", F.concat(comma, F.substring(entry, F.lit(2), F.length(entry) - 2)).alias("line")
+    )
+    sample = preview(df, SAMPLE_ROWS, sample_order).select(F.struct(*sample_order).alias("_key"), F.struct(*df.columns).alias("_row"))
+    rows = F.transform(F.array_sort(F.collect_list(F.struct(F.col("_key").alias("at"), F.col("_row").alias("item")))), lambda p: p["item"])
+    last = sample.agg(F.to_json(rows, _JSON).alias("rows")).select(
+        F.lit(2).alias("section"),
+        F.lit(None).cast("string").alias("route_name"),
+        F.concat(F.lit('},"sample_data":'), F.col("rows"), F.lit("}")).alias("line"),
+    )
+    return first.unionByName(routes).unionByName(last)
+
+
 def simplify(
     df: DataFrame,
     profile: DataFrame,
@@ -145,8 +179,7 @@ def to_summary_json(summary: DataFrame, pretty: bool = False) -> DataFrame:
     whole = F.struct(*summary.columns)
     if pretty:
         return summary.select(indented_json(whole, summary.schema).alias("summary_json"))
-    options = {"ignoreNullFields": "false", "dateFormat": "yyyy-MM-dd", "timestampFormat": "yyyy-MM-dd"}
-    return summary.select(F.to_json(whole, options).alias("summary_json"))
+    return summary.select(F.to_json(whole, _JSON).alias("summary_json"))
 
 
 def route_summary_rows(profile: DataFrame) -> DataFrame:

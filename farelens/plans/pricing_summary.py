@@ -32,6 +32,7 @@ def pricing_summary(
         "cleaned": cleaned,
         "profiles": profiles,
         "summary_rows": summary.summary_rows(cleaned, profiles),
+        "document": summary.summary_document(cleaned, profiles, sample_order),
         "summary": summary.data_summary(cleaned, profiles, sample_order),
         "prompts": prompts.analysis_prompts(summary.to_summary_json(simple, pretty=True), queries),
     }
