@@ -14,6 +14,10 @@ SPACE = " \t\n\x0b\x0c\r"
 #: Stands for a null id wherever ids are compared: null ids come after all others.
 NULL_ID = (1 << 63) - 1
 _SETTING = "spark.checkpoint.dir"
+#: Setting under which a finished query's shuffle files are deleted at once.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Written tables that are not discarded yet.
+_made: list[DataFrame] = []
 
 
 @functools.cache
@@ -39,10 +43,17 @@ def frozen(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}"
     jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    df.write.parquet(path)
+    # Once the table is written, the shuffles behind it are of no more use.
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_at = jvm_path
+    _made.append(out)
     return out
 
 
@@ -50,6 +61,19 @@ def discard(df: DataFrame) -> None:
     """Delete the files of a frozen table that nothing reads any more."""
     path = df.written_at
     path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _made[:] = [table for table in _made if table is not df]
+
+
+def written() -> list[DataFrame]:
+    """Written tables that are not discarded."""
+    return list(_made)
+
+
+def discard_since(before: list[DataFrame], *kept: DataFrame) -> None:
+    """Delete the tables written after ``before`` (``written`` of then), but for the ones that are kept."""
+    for table in written():
+        if not any(table is other for other in (*before, *kept)):
+            discard(table)
 
 
 def partitions(spark: SparkSession) -> int:

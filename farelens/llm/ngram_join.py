@@ -14,21 +14,23 @@ group of near copies costs comparisons in proportion to its size, and no link th
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from farelens.llm.common import discard, frozen, id_or_last, id_or_null
+from farelens.llm.common import discard, frozen, id_or_last, id_or_null, partitions
 from farelens.llm.components import components
 
 #: Counters of the sketch, one byte each (counts stop at 255: more frequent ones order by hash), and of one slice of it.
 SKETCH_BITS, SLICE_BITS = 24, 18
 #: Pairs left, by postings, that are compared in full; above, up to MAX_ROUNDS rounds come first.
 FULL, MAX_ROUNDS = 4, 8
-#: Documents of a round's pairs up to which their numbers, eight bytes each, are sent to the texts; above, the texts are shuffled.
+#: Documents up to which their keys, 24 bytes each, are sent to the texts; above, the texts are shuffled.
 MAX_BROADCAST = 500_000
 #: Parts of the hash range whose sizes the suffix filter compares.
 PARTS = 16
@@ -63,6 +65,11 @@ def shingle_set(text: str | None, width: int, hashes: _WordHashes) -> np.ndarray
     return np.unique(mixed)
 
 
+def node_of(shingles: np.ndarray) -> int:
+    """Name of a set: documents with the same set are one class."""
+    return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
+
+
 def prefix_length(n: int, threshold: int) -> int:
     """Shingles of a set of n that must meet another set's: n - ceil(t n) + 1, the threshold t in hundredths."""
     return n - -(-threshold * n // 100) + 1
@@ -81,7 +88,7 @@ def _sets_and_sketch(docs: DataFrame, width: int) -> DataFrame:
             for text in pdf["text"]:
                 found = shingle_set(text, width, hashes)
                 n.append(len(found))
-                node.append(xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63))
+                node.append(node_of(found))
                 parts.append(np.bincount(found >> np.uint64(60), minlength=PARTS).astype("<i4").tobytes())
                 every.append(found & mask)
             if every:
@@ -95,7 +102,7 @@ def _sets_and_sketch(docs: DataFrame, width: int) -> DataFrame:
             own = sketch[k * size : (k + 1) * size]
             if own.any():
                 yield pd.DataFrame(
-                    {"b": [0], "sig": [0], "n": [0], "node": [0], "parts": [None], "slice": [k], "counters": [own.tobytes()]}
+                    {"b": [0], "sig": [0], "n": [0], "node": [0], "parts": [None], "slice": [k], "counters": [zlib.compress(own.tobytes(), 1)]}
                 )
 
     schema = "b long, sig long, n int, node long, parts binary, slice int, counters binary"
@@ -109,7 +116,7 @@ def _summed_sketch(rows: DataFrame) -> np.ndarray:
         totals: dict[int, np.ndarray] = {}
         for pdf in batches:
             for k, counters in zip(pdf["slice"], pdf["counters"], strict=True):
-                own = np.frombuffer(counters, np.uint8).astype(np.int64)
+                own = np.frombuffer(zlib.decompress(counters), np.uint8).astype(np.int64)
                 totals[k] = totals[k] + own if k in totals else own
         for k, total in totals.items():
             yield pd.DataFrame({"slice": [k], "counters": [np.minimum(total, 255).astype(np.uint8).tobytes()]})
@@ -122,18 +129,22 @@ def _summed_sketch(rows: DataFrame) -> np.ndarray:
     return sketch
 
 
-def _postings(reps: DataFrame, sketch: np.ndarray, width: int, threshold: int) -> DataFrame:
-    """Prefix shingles: g, node, n, pos."""
-    shared = reps.sparkSession.sparkContext.broadcast(sketch)
+def _postings(keyed: DataFrame, sketch: Broadcast, width: int, threshold: int) -> DataFrame:
+    """Prefix shingles: g, node, n, pos. Of copies that a task meets one posts; some copies of other tasks may remain."""
 
     def run(batches):
-        hashes, counts = _WordHashes(), shared.value
+        hashes, counts, seen = _WordHashes(), sketch.value, set()
         mask = np.uint64((1 << SKETCH_BITS) - 1)
         for pdf in batches:
             own, ids, sizes, places = [], [], [], []
-            for node, text in zip(pdf["node"], pdf["text"], strict=True):
+            for text in pdf["text"]:
                 found = shingle_set(text, width, hashes)
-                n = len(found)
+                n, node = len(found), node_of(found)
+                if not n or node in seen:
+                    continue
+                if len(seen) >= 500_000:
+                    seen.clear()
+                seen.add(node)
                 keep = prefix_length(n, threshold)
                 order = np.lexsort((found, counts[(found & mask).astype(np.int64)]))[:keep]
                 own.append(found[order].view(np.int64))
@@ -149,7 +160,33 @@ def _postings(reps: DataFrame, sketch: np.ndarray, width: int, threshold: int) -
     def frame(*columns):
         return pd.DataFrame({k: np.concatenate(v) for k, v in zip(("g", "node", "n", "pos"), columns, strict=True)})
 
-    return reps.mapInPandas(run, "g long, node long, n int, pos int")
+    return keyed.select("text").mapInPandas(run, "g long, node long, n int, pos int")
+
+
+def _shared(postings: DataFrame) -> DataFrame:
+    """Postings of shingles that more than one class has in its prefix, each once: others find nothing. One shuffle, row after row."""
+
+    def run(batches):
+        held, out = None, False
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            # The last row of the batch before goes first; ``out`` says whether it has left already.
+            pdf = pdf if held is None else pd.concat([held, pdf])
+            g, node = pdf["g"].to_numpy(), pdf["node"].to_numpy()
+            fresh = np.append(True, (g[1:] != g[:-1]) | (node[1:] != node[:-1]))
+            pdf, g = pdf[fresh], g[fresh]
+            starts = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+            sizes = np.diff(np.append(starts, len(g)))
+            kept = sizes > 1
+            kept[0] |= out
+            keep = np.repeat(kept, sizes)
+            keep[0] &= not out
+            held, out = pdf.iloc[-1:], bool(kept[-1])
+            yield pdf[keep]
+
+    dealt = postings.repartition(partitions(postings.sparkSession), "g").sortWithinPartitions("g", "node")
+    return dealt.mapInPandas(run, "g long, node long, n int, pos int")
 
 
 def _needed(total: Column, threshold: int) -> Column:
@@ -158,11 +195,14 @@ def _needed(total: Column, threshold: int) -> Column:
 
 
 def _passes(threshold: int) -> Column:
-    """Length and positional filter for columns n, pos and pn, ppos."""
+    """Length and positional filter for columns n, pos and pn, ppos.
+
+    All shingles that two sets share come after the first of them, in both. So a pair that can link meets at a shingle with as many places
+    from there on, in both sets, as the two must share: its first one. Other meetings of the pair need not be looked at.
+    """
     n, pn, pos, ppos = F.col("n"), F.col("pn"), F.col("pos"), F.col("ppos")
     length = (100 * F.least(n, pn)) >= (threshold * F.greatest(n, pn))
-    shared = F.least(pos, ppos) + 1 + F.least(n - pos, pn - ppos) - 1
-    return length & (shared >= _needed(n + pn, threshold))
+    return length & (F.least(n - pos, pn - ppos) >= _needed(n + pn, threshold))
 
 
 def _suffix_filtered(pairs: DataFrame, info: DataFrame, threshold: int) -> DataFrame:
@@ -259,7 +299,10 @@ def _links(posted: DataFrame, info: DataFrame, texts: DataFrame, width: int, thr
             pairs = pairs.join(tested, ["u", "v"], "left_anti")
         pairs = frozen(pairs, "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        found = frozen(_verified(frozen(_suffix_filtered(pairs, info, threshold), "candidates"), texts, width, threshold), "links")
+        candidates = frozen(_suffix_filtered(pairs, info, threshold), "candidates")
+        found = frozen(_verified(candidates, texts, width, threshold), "links")
+        for table in (candidates, *((current, outside) if turn else ())):
+            discard(table)
         if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
             labels = components(links)
@@ -279,19 +322,20 @@ def ngram_rows(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFram
     keyed = docs.select(id_or_last(F.col("doc_id")).alias("b"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("sig"), "text")
     made = frozen(_sets_and_sketch(keyed, width), "sets")
     rows = made.filter("slice < 0").drop("slice", "counters")
-    sketch = _summed_sketch(made.filter("slice >= 0"))
+    sketch = docs.sparkSession.sparkContext.broadcast(_summed_sketch(made.filter("slice >= 0")))
     # One class for each set; its smallest (b, sig) stands for it.
     firsts = (F.min(F.struct("b", "sig")).alias("rep"), F.first("n").alias("n"), F.first("parts").alias("parts"))
     classes = rows.filter("n > 0").groupBy("node").agg(*firsts)
     classes = frozen(classes.select("node", "rep.b", "rep.sig", "n", "parts"), "classes")
-    texts = keyed.join(classes.select("node", "b", "sig"), ["b", "sig"]).select("node", "text")
-    every = frozen(_postings(texts, sketch, width, threshold), "postings")
-    # A shingle that only one class has in its prefix finds nothing.
-    shared = every.groupBy("g").agg(F.count("*").alias("members")).filter("members > 1").select("g")
-    posted = frozen(every.join(shared, "g"), "shared-postings")
-    discard(every)
-    candidates = posted.select("node").distinct().join(classes.select("node", "b", "sig"), "node")
-    held = frozen(keyed.join(candidates, ["b", "sig"]).select("node", "text"), "candidate-texts")
+    posted = frozen(_shared(_postings(keyed, sketch, width, threshold)), "postings")
+    sketch.destroy()
+    candidates = frozen(posted.select("node").distinct().join(classes.select("node", "b", "sig"), "node"), "candidates")
+    n = candidates.count()
+    # Their texts, one for each class: rows that repeat (b, sig) are equal.
+    found = keyed.join(F.broadcast(candidates) if n <= MAX_BROADCAST else candidates, ["b", "sig"]).select("node", "text")
+    held = frozen(found, "candidate-texts")
+    if held.count() > n:
+        held = frozen(held.dropDuplicates(["node"]), "candidate-texts")
     labels = _links(posted, classes.select("node", "n", "parts"), held, width, threshold)
     # A component may hold any share of the rows: names go to its classes first, then from classes to rows.
     linked = classes.withColumn("component", F.lit(None).cast("long")) if labels is None else classes.join(labels, "node", "left")
