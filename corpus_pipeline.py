@@ -7,7 +7,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from farelens.llm import byte_bpe, line_dedup, mixing, ngram_join, toxicity
-from farelens.llm.common import as_documents, frozen, id_or_last, whole_text
+from farelens.llm.common import as_documents, discard, discard_since, frozen, id_or_last, whole_text, written
+
+#: Rows of a table of keys, about forty bytes each, up to which it is sent to the texts; beyond, the texts are shuffled to it.
+MAX_KEYS = 500_000
+
+
+def _to_texts(keys: DataFrame) -> DataFrame:
+    """A written table of keys, to be joined to texts."""
+    return F.broadcast(keys) if keys.count() <= MAX_KEYS else keys
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -18,9 +26,11 @@ def _packed(docs: DataFrame) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below the threshold."""
+    before = written()
     scores = toxicity.ToxicityModel(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).score(docs)
-    toxic = scores.filter(F.col("score") >= toxicity.THRESHOLD).select("b", "sig").distinct()
-    return as_documents(_packed(docs).join(toxic, ["b", "sig"], "left_anti").select("_row.*"), docs)
+    toxic = frozen(scores.filter(F.col("score") >= toxicity.THRESHOLD).select("b", "sig").distinct(), "toxic")
+    discard_since(before, toxic)
+    return as_documents(_packed(docs).join(_to_texts(toxic), ["b", "sig"], "left_anti").select("_row.*"), docs)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,29 +49,39 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Every row is a document of its own: of rows that agree in doc_id and text one stays. Texts without words all stay.
     """
+    before = written()
     found = ngram_join.ngram_rows(docs, width=5, threshold=80).filter("n_shingles > 0")
     keys = found.groupBy("b", "sig").agg(F.count("*").alias("rows"), F.min("least").alias("least"))
     first = F.col("least") == F.struct("b", "sig")
     keys = frozen(keys.filter(~first | (F.col("rows") > 1)).select("b", "sig", first.alias("first")), "near")
     rows = _packed(docs)
-    alone = rows.join(keys, ["b", "sig"], "left_anti").select("_row")
+    alone = rows.join(_to_texts(keys.select("b", "sig")), ["b", "sig"], "left_anti").select("_row")
     # Which of the equal rows stays follows from their other columns, not from their order.
     one = F.min_by("_row", F.xxhash64(F.to_json("_row")))
-    repeated = rows.join(keys.filter("first").drop("first"), ["b", "sig"]).groupBy("b", "sig").agg(one.alias("_row"))
+    again = frozen(keys.filter("first").drop("first"), "again")
+    discard_since(before, keys, again)
+    repeated = rows.join(_to_texts(again), ["b", "sig"]).groupBy("b", "sig").agg(one.alias("_row"))
     return as_documents(alone.unionByName(repeated.select("_row")).select("_row.*"), docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Whole documents as often as the mix takes their first words; documents without words stay once."""
-    copies = mixing.Mixture(docs).copies().withColumnRenamed("source", "_source")
-    rows = _packed(docs).join(copies.withColumnsRenamed({"b": "_b", "sig": "_sig"}), _same_document()).drop("_b", "_sig", "_source")
+    before = written()
+    copies = mixing.Mixture(docs).copies().withColumnsRenamed({"b": "_b", "sig": "_sig", "source": "_source"})
     # Rows that agree in doc_id, text and source share their copies: as many for each, and one more for the first ones.
-    rows = rows.withColumn("share", F.floor(F.col("copies") / F.col("rows"))).withColumn("spare", F.pmod("copies", "rows"))
-    even = rows.filter("spare = 0").select("_row", "share")
-    uneven = mixing.numbered(rows.filter("spare > 0"), ["source_no", "b", "sig"], "k")
-    uneven = uneven.select("_row", (F.col("share") + (F.col("k") < F.col("spare")).cast("long")).alias("share"))
+    copies = copies.withColumn("share", F.floor(F.col("copies") / F.col("rows"))).withColumn("spare", F.pmod("copies", "rows"))
+    copies = frozen(copies.drop("copies", "rows"), "copies")
+    even, uneven = (frozen(copies.filter(f), "copies") for f in ("spare = 0 and share > 0", "spare > 0"))
+    discard_since(before, even, uneven)
     times = F.array_repeat("_row", F.col("share").cast("int"))
-    return as_documents(even.unionByName(uneven).select(F.explode(times).alias("_row")).select("_row.*"), docs)
+    found = _packed(docs).join(_to_texts(even), _same_document()).select(F.explode(times).alias("_row"))
+    if not uneven.isEmpty():
+        # Only repeated rows are numbered.
+        rows = _packed(docs).join(_to_texts(uneven), _same_document()).drop("_b", "_sig", "_source")
+        rows = mixing.numbered(rows, ["source_no", "b", "sig"], "k")
+        share = (F.col("share") + (F.col("k") < F.col("spare")).cast("long")).alias("share")
+        found = found.unionByName(rows.select("_row", share).select(F.explode(times).alias("_row")))
+    return as_documents(found.select("_row.*"), docs)
 
 
 def _same_document() -> Column:
@@ -97,5 +117,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of a folder; every stage is written before the next one reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
+        before, last = written(), docs
         docs = frozen(stage(spark, docs, sf_dir), name)
+        # The stage's own tables and the documents before it have been read for the last time.
+        discard_since(before, docs)
+        if name != STAGES[0][0]:
+            discard(last)
     return STAGES[-1][1](spark, docs, sf_dir)
