@@ -7,12 +7,14 @@ The sketch has a fixed size and only steers the order, so every size of input gi
 Documents with the same set are one class. Candidates come in rounds. In a round every prefix shingle names one pivot for each
 band of set sizes, and the classes that are not yet known to be connected to it are compared with it; the links found
 are contracted to components. Prefix shingles whose classes are all connected need no further pair. What is left, pairs of a shingle
-that lie in different components, is compared in full, as soon as these pairs are no more than FULL times the postings. So a large
-group of near copies costs comparisons in proportion to its size, and no link that could connect two components is left out.
+that lie in different components, is compared in full, as soon as these pairs are no more than FULL times the postings, or a round did not
+halve them. So a large group of near copies costs comparisons in proportion to its size, and no link that could connect two
+components is left out.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 import zlib
 
@@ -28,8 +30,8 @@ from farelens.llm.components import components
 
 #: Counters of the sketch, one byte each (counts stop at 255: more frequent ones order by hash), and of one slice of it.
 SKETCH_BITS, SLICE_BITS = 24, 18
-#: Pairs left, by postings, that are compared in full; above, up to MAX_ROUNDS rounds come first.
-FULL, MAX_ROUNDS = 4, 8
+#: Pairs left, by postings, that are compared in full; above, further rounds come first while each halves them at least.
+FULL = 4
 #: Documents up to which their keys, 24 bytes each, are sent to the texts; above, the texts are shuffled.
 MAX_BROADCAST = 500_000
 #: Parts of the hash range whose sizes the suffix filter compares.
@@ -279,9 +281,9 @@ def _rest_pairs(posted: DataFrame, outside: DataFrame, threshold: int) -> DataFr
 
 def _links(posted: DataFrame, info: DataFrame, texts: DataFrame, width: int, threshold: int) -> DataFrame | None:
     """(node, component) of linked classes; None where there are none."""
-    tested, links, labels = None, None, None
+    tested, links, labels, work_before = None, None, None, math.inf
     n = posted.count()
-    for turn in range(MAX_ROUNDS + 1):
+    for turn in itertools.count():
         if labels is None:
             current = posted.withColumn("comp", F.col("node"))
         else:
@@ -293,7 +295,9 @@ def _links(posted: DataFrame, info: DataFrame, texts: DataFrame, width: int, thr
             work = outside.agg(F.sum(F.col("outside") * F.col("members"))).first()[0] or 0
             if not work:
                 break
-            last = work <= FULL * n or turn == MAX_ROUNDS
+            # Where a round connected little, what is left is mostly unlike: another pivot would not spare its comparison.
+            last = work <= FULL * n or 2 * work > work_before
+            work_before = work
         pairs = _rest_pairs(current, outside, threshold) if last else _star_pairs(current, threshold, turn)
         if tested is not None:
             pairs = pairs.join(tested, ["u", "v"], "left_anti")
