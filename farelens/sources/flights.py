@@ -60,7 +60,7 @@ def _by_header(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str
 
 
 def _texts_by_name(spark: SparkSession, path: str, wanted: T.StructType) -> DataFrame:
-    """The wanted columns as text, whatever their order in each file, with ``_file``, ``_line`` and whether a row has too few or many fields."""
+    """The wanted columns as text, whatever their order in each file, with ``_file``, ``_line`` and whether a row has too many fields."""
     groups = _by_header(spark, path)
     missing = [f.name for f in wanted.fields if not any(f.name in header for header in groups)]
     if missing and groups:
@@ -69,16 +69,17 @@ def _texts_by_name(spark: SparkSession, path: str, wanted: T.StructType) -> Data
     for header, files in groups.items():
         # Fields are read by place; of columns that share a name the first one counts.
         places = [f"_{k}" for k in range(len(header))]
-        kinds = T.StructType([T.StructField(p, T.StringType()) for p in [*places, "_broken"]])
+        # One place more than the header has shows rows with too many fields; short rows end in nulls.
+        kinds = T.StructType([T.StructField(p, T.StringType()) for p in [*places, "_over", "_text"]])
         reader = spark.read.schema(kinds).option("header", True).option("encoding", "UTF-8")
-        # A reader that skips columns does not see how many fields a row has.
-        reader = reader.option("columnNameOfCorruptRecord", "_broken").option("columnPruning", False)
+        # A reader that skips columns does not see how many fields a row has, and keeps no text of it.
+        reader = reader.option("columnNameOfCorruptRecord", "_text").option("columnPruning", False)
         raw = reader.csv(files).withColumn("_file", F.col("_metadata.file_path"))
-        line = F.coalesce("_broken", F.to_csv(F.struct(*places)))
+        line = F.coalesce("_text", F.to_csv(F.struct(*places, "_over")))
         named = [F.col(places[header.index(f.name)]) if f.name in header else F.lit(None).cast("string") for f in wanted.fields]
         tables.append(
             raw.select(
-                *[c.alias(f.name) for c, f in zip(named, wanted.fields)], "_file", line.alias("_line"), F.col("_broken").isNotNull().alias("_odd")
+                *[c.alias(f.name) for c, f in zip(named, wanted.fields)], "_file", line.alias("_line"), F.col("_over").isNotNull().alias("_odd")
             )
         )
     if not tables:
@@ -95,7 +96,7 @@ def scan_flights(spark: SparkSession, path: str, schema: T.StructType | str | No
     """Flight CSV files read by column name, file by file, and the rows that do not fit.
 
     Files may differ in the order of their columns, have more of them, or lack some that other files have (null there). A row with a value that
-    is neither of its column's type nor one of the missing tokens is left out, and so is one with too few or too many fields;
+    is neither of its column's type nor one of the missing tokens is left out, and so is one with too many fields; a short row ends in nulls.
     ``rejects`` has an entry for each such value, and one without a column for each such row. Both tables are lazy.
     """
     wanted = _wanted(schema)
@@ -122,7 +123,7 @@ def read_flights(
     The operational schema is the default. Pass another schema for another spelling, or ``"infer"`` to
     let Spark find the types, which costs one more pass over the files; a column with a broken number then stays text. With a
     schema, a value that is neither of its column's type nor one of the missing tokens fails the query, and so does a row
-    with too few or too many fields; ``scan_flights`` sets them aside instead.
+    with too many fields; ``scan_flights`` sets them aside instead.
     """
     if schema == "infer":
         df = spark.read.option("header", True).option("encoding", "UTF-8").option("inferSchema", True).csv(path)
@@ -134,7 +135,7 @@ def read_flights(
         return nan_to_null(df.withColumns(texts) if texts else df)
     wanted = _wanted(schema)
     raw = _texts_by_name(spark, path, wanted)
-    broken = F.raise_error(F.concat(F.lit("row with too few or too many fields: "), F.col("_line")))
+    broken = F.raise_error(F.concat(F.lit("row with too many fields: "), F.col("_line")))
     whole = raw.filter(F.when(F.col("_odd"), broken.cast("boolean")).otherwise(True))
     return nan_to_null(whole.select(*[_typed(f).alias(f.name) for f in wanted.fields]))
 
