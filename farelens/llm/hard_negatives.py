@@ -182,7 +182,8 @@ def hard_negatives(
     products of floor(256 * x); higher ones come first, then smaller vec_ids, a null vec_id last. Vectors of unequal length
     are zero beyond their end. Equal rows are rows of their own: a copy of the anchor is one of its positives, a copied positive has its
     negatives once more, and a copied anchor all its rows. An anchor without positives, or a positive without negatives, gives
-    no row, an empty table none at all. Components beyond a long count as the nearest long, and so do scores. Other columns are not read.
+    no row, an empty table none at all. Components beyond a long count as the nearest long, and so do
+    scores; negatives whose score is beyond a long are outside of every window. Other columns are not read.
     """
     usable = frozen(usable_rows(rows, F.col("label") if label is None else label), "vectors")
     asked = usable.withColumnRenamed("b", "vec_id").filter((F.col("vec_id") != NULL_ID) & anchors).withColumnRenamed("vec_id", "b")
