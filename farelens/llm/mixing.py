@@ -87,6 +87,15 @@ def numbered(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     return _running(parts, [*keys, "_part"], ["_at"], "_one", name).drop("_at", "_part", "_one")
 
 
+def _each_row(placed: DataFrame) -> DataFrame:
+    """A row for each of ``rows`` equal ones, laid end to end from ``first`` on: ``start``. They are unfolded in groups of ``GROUP_ROWS``."""
+    groups = placed.withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / GROUP_ROWS))))
+    dealt = groups.repartition("source_no", "b", "sig", "group")
+    last = F.least(F.col("rows"), (F.col("group") + 1) * GROUP_ROWS) - 1
+    each = dealt.withColumn("row", F.explode(F.sequence(F.col("group") * GROUP_ROWS, last)))
+    return each.select("source_no", "b", "sig", "size", (F.col("first") + F.col("row") * F.col("size")).alias("start"))
+
+
 def _within(rows: DataFrame, at: str, ranges: DataFrame, total: int) -> DataFrame:
     """Join each row to the range [low, high) that holds ``at``. Ranges are cut at cells of equal width, and cells are joined."""
     width = max(1, total // 1024)
@@ -145,9 +154,12 @@ class Mixture:
         )
         named = F.broadcast(self.sources) if self.sources.count() <= MAX_BROADCAST else self.sources
         numbered = rows.join(named.select("source", "source_no"), rows["source"].eqNullSafe(named["source"])).drop("source")
-        bucket = F.pmod(F.xxhash64("b"), F.lit(max(64, n // GROUP_ROWS)))
-        placed = _running(numbered.withColumn("bucket", bucket), ["source_no", "bucket"], ["b", "sig"], "size", "start")
-        self.docs = frozen(placed.drop("bucket"), "placed")
+        # Equal rows are placed as one and then told apart; a document may be any share of the rows.
+        bucket = F.pmod(F.xxhash64("b", "sig"), F.lit(max(64, n // GROUP_ROWS)))
+        distinct = numbered.groupBy("source_no", "b", "sig", "size").agg(F.count("*").alias("rows"))
+        distinct = distinct.withColumn("bucket", bucket).withColumn("held", F.col("size") * F.col("rows"))
+        placed = _running(distinct, ["source_no", "bucket"], ["b", "sig", "size"], "held", "first")
+        self.docs = frozen(_each_row(placed.drop("bucket", "held")), "placed")
         self.slots = frozen(self._slots(), "slots")
 
     def _slots(self) -> DataFrame:
