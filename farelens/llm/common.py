@@ -35,24 +35,29 @@ def work_folder(spark: SparkSession) -> str:
     return _local_folder()
 
 
-def frozen(df: DataFrame, name: str) -> DataFrame:
+def frozen(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """The table written to the shared folder and read back: computed once, and it outlives lost executors.
 
-    The files go when the session's file system closes.
+    With ``by`` it is written in buckets of that column, so that grouping or joining by it later moves no row of it. The files go when the
+    session's file system closes.
     """
     spark = df.sparkSession
-    path = f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    number = uuid.uuid4().hex
+    path, table = f"{work_folder(spark)}/{name}-{number}", f"{name}_{number}".replace("-", "_")
     jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     # Once the table is written, the shuffles behind it are of no more use.
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        if by is None:
+            df.write.parquet(path)
+        else:
+            df.write.bucketBy(partitions(spark), by).saveAsTable(table, format="parquet", path=path)
     finally:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.written_at = jvm_path
+    out = spark.read.schema(df.schema).parquet(path) if by is None else spark.table(table)
+    out.written_at, out.written_as = jvm_path, None if by is None else table
     _made.append(out)
     return out
 
@@ -60,6 +65,8 @@ def frozen(df: DataFrame, name: str) -> DataFrame:
 def discard(df: DataFrame) -> None:
     """Delete the files of a frozen table that nothing reads any more."""
     path = df.written_at
+    if df.written_as:
+        df.sparkSession.sql(f"DROP TABLE IF EXISTS {df.written_as}")
     path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
     _made[:] = [table for table in _made if table is not df]
 

@@ -1,8 +1,9 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of characters, trained on trusted texts.
 
-Documents are packed where they are read, without a shuffle. Each pack asks for its distinct n-grams once; counts, contexts and
-requests meet in joins that are sharded by n-gram, and the answers of a pack go back to it, where they sum to a perplexity for each
-document. Thresholds are quantiles of the trusted documents of a language.
+Documents are packed where they are read, without a shuffle, and the packs are written in buckets. Each pack asks for its distinct
+n-grams once; counts, contexts and requests meet in joins that are sharded by n-gram, and the answers of a pack go back to the bucket that
+holds it, where they sum to a perplexity for each document; texts never travel. Thresholds are quantiles of trusted documents of a
+language that the model has not seen.
 """
 
 from __future__ import annotations
@@ -16,15 +17,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from farelens.llm.common import discard, frozen, id_or_last, id_or_null, whole_text
+from farelens.llm.common import discard, discard_since, frozen, id_or_last, id_or_null, whole_text, written
 
 ORDER = 5
 #: UTF-8 bytes of text in a pack, about; a longer text is a pack by itself.
 PACK_BYTES = 4 << 20
 #: Parts of the n-grams in which packs ask, at least; above, packs for each part.
 PARTS, PART_PACKS = 256, 8
-#: Share of a language's trusted documents that the threshold keeps.
+#: Share of a language's trusted documents, as far as left out of training, that the threshold keeps.
 KEEP = 0.99
+#: One trusted document in so many is left out of training and sets the thresholds.
+HELD_OUT = 5
+#: Level of compression of a pack.
+PACK_LEVEL = 6
 BEGIN, END = "\x02", "\x03"
 _SPACES, _DIGITS = re.compile(r"\s+"), re.compile(r"\d")
 
@@ -63,7 +68,7 @@ def _packs(docs: DataFrame) -> DataFrame:
     def pack(held):
         table = pa.table({c: pa.array([row[k] for row in held], t) for k, (c, t) in enumerate(fields)})
         sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", PACK_LEVEL))) as writer:
             writer.write_table(table)
         return uuid.uuid4().int >> 65, sink.getvalue().to_pybytes(), [row[0] for row in held]
 
@@ -179,7 +184,8 @@ def _answered(wanted: DataFrame, model: tuple[list[DataFrame], list[DataFrame],
 
 def perplexities(docs: DataFrame, trusted: DataFrame, order: int = ORDER) -> DataFrame:
     """b (doc_id, null last), lang, n_chars (of the normalised text) and perplexity of every row; ``trusted``: column b."""
-    packs = frozen(_packs(docs), "packs")
+    before = written()
+    packs = frozen(_packs(docs), "packs", by="batch")
     counts = frozen(_trusted_counts(packs, trusted, order), "counts")
     model = kneser_ney(counts, order)
 
@@ -217,7 +223,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, order: int = ORDER) -> Dat
     answers = _answered(wanted, model, order).select("part", "gram", F.log("p").alias("lp"))
     meet = asked.groupBy("part").cogroup(answers.groupBy("part"))
     replies = frozen(meet.applyInPandas(reply, "batch long, part int, lp binary"), "replies")
-    discard(asked)
+    discard_since(before, packs, replies)
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         made = [pd.DataFrame({"b": [], "lang": [], "n_chars": [], "perplexity": []})]
@@ -237,21 +243,29 @@ def perplexities(docs: DataFrame, trusted: DataFrame, order: int = ORDER) -> Dat
 
     pairs = packs.select("batch", "blob").groupBy("batch").cogroup(replies.groupBy("batch"))
     found = frozen(pairs.applyInPandas(score, "b long, lang string, n_chars long, perplexity double"), "perplexities")
-    discard(replies)
+    discard_since(before, found)
     return found
 
 
-def quality_filter(docs: DataFrame, labels: DataFrame, order: int = ORDER, keep: float = KEEP) -> DataFrame:
+def trusted_documents(labels: DataFrame, held_out: int = HELD_OUT) -> tuple[DataFrame, DataFrame]:
+    """Column b of the trusted documents that train the model, and of those that set the thresholds."""
+    trusted = labels.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("b")).distinct()
+    left_out = F.pmod(F.xxhash64("b", F.lit("threshold")), F.lit(held_out)) == 0
+    return trusted.filter(~left_out), trusted.filter(left_out)
+
+
+def quality_filter(docs: DataFrame, labels: DataFrame, order: int = ORDER, keep: float = KEEP, held_out: int = HELD_OUT) -> DataFrame:
     """doc_id, lang, n_chars, perplexity, threshold and kept of every row of ``docs``.
 
-    Trusted are the documents that ``labels`` gives quality 1. A language's threshold is the ``keep`` quantile of its trusted documents
-    (a sketch of relative accuracy 1/10000); a language without any, null included, takes that of all trusted documents; without trusted
-    documents there is no threshold and everything is kept. A null text is empty and has one position, the end. A null doc_id comes
+    Trusted are the documents that ``labels`` gives quality 1. A hash of doc_id leaves one in ``held_out`` of them out of training. A language's
+    threshold is the ``keep`` quantile of its trusted documents left out (a sketch of relative accuracy 1/10000), which the model knows
+    no better than any other good text; a language without any, null included, takes that of all trusted documents left out; without
+    any there is no threshold and everything is kept. A null text is empty and has one position, the end. A null doc_id comes
     after all others and is not trusted. Rows that repeat are scored each. Only doc_id, text and lang are read.
     """
-    trusted = labels.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("b")).distinct()
-    scored = perplexities(docs, trusted, order)
-    good = scored.join(trusted, "b", "left_semi")
+    training, measuring = trusted_documents(labels, held_out)
+    scored = perplexities(docs, training, order)
+    good = scored.join(measuring, "b", "left_semi")
     cut = F.percentile_approx("perplexity", F.lit(keep), F.lit(10_000))
     by_lang = frozen(good.groupBy("lang").agg(cut.alias("own")), "thresholds")
     every = good.agg(cut.alias("all")).first()["all"]

@@ -14,7 +14,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from farelens.llm import byte_bpe, exact_dedup, line_dedup, mixing, ngram_join, quality, sharding, token_counts, toxicity, vectors
+from farelens.llm import byte_bpe, common, exact_dedup, line_dedup, mixing, ngram_join, quality, sharding, token_counts, toxicity, vectors
 from farelens.llm.components import components
 from farelens.llm.cuckoo import CuckooIndex
 from farelens.llm.hnsw import Graph
@@ -232,6 +232,19 @@ def test_safe_pieces():
         assert [i for p in pieces for i in enc.encode_ordinary(p)] == enc.encode_ordinary(text)
 
 
+def test_equal_rows_in_the_mix(spark, monkeypatch):
+    """One text without doc_id is half of all rows: its rows lie end to end, each in a place of its own."""
+    monkeypatch.setattr(mixing, "GROUP_ROWS", 7)
+    rows = [(None, "a b c", "s")] * 100 + [(k, "x " * (k % 5), "s" if k % 2 else "t") for k in range(100)] + [(None, "a b c", "t")] * 9
+    docs = mixing.Mixture(frame(spark, rows), block_words=8).docs.collect()
+    assert len(docs) == len(rows)
+    for number in {r["source_no"] for r in docs}:
+        placed = sorted((r["start"], r["size"]) for r in docs if r["source_no"] == number and r["size"])
+        ends = [start + size for start, size in placed]
+        assert [start for start, _ in placed] == [0, *ends[:-1]]
+    assert Counter((r["size"], r["start"]) for r in docs if r["size"] == 3).most_common(1)[0][1] <= 2
+
+
 def test_mixing(spark):
     rng = random.Random(7)
     rows = [(k, " ".join(["w"] * rng.randrange(0, 400)), f"s{min(k % 9, 6)}" if k % 11 else None) for k in range(600)]
@@ -404,7 +417,9 @@ def test_kneser_ney_perplexity(spark):
     rows = [(k, make(), "s") for k in range(40)] + [(100, None, "s"), (101, "zzz QQ 9", "s"), (None, "abc", "s"), (3, "abc abc", None)]
     labels = spark.createDataFrame([(k, int(k < 20), 0) for k in range(30)], "doc_id LONG, quality INT, toxic INT")
     got = quality.quality_filter(frame(spark, rows), labels, order=3).collect()
-    p = plain_kneser_ney([quality.normal(t or "") for i, t, _ in rows if i is not None and i < 20], 3)
+    learnt, measured = ({r["b"] for r in part.collect()} for part in quality.trusted_documents(labels))
+    assert learnt | measured == set(range(20)) and not learnt & measured and measured
+    p = plain_kneser_ney([quality.normal(t or "") for i, t, _ in rows if i in learnt], 3)
     wanted = Counter()
     for i, t, _ in rows:
         padded = "\x02\x02" + quality.normal(t or "") + "\x03"
@@ -417,12 +432,38 @@ def test_kneser_ney_perplexity(spark):
     assert quality.quality_filter(frame(spark, rows).limit(0), labels, order=3).count() == 0
 
 
+def test_good_texts_that_nobody_labelled_stay(spark):
+    """Of good texts without a label as many stay as of trusted ones; noise goes. The threshold knows no text that trained the model."""
+    rng = random.Random(21)
+    syllables = [a + b for a in "bdklmnrst" for b in "aeiou"]
+    vocabulary = ["".join(rng.choice(syllables) for _ in range(rng.randrange(1, 4))) for _ in range(400)]
+    good = lambda: " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(20, 60)))
+    noise = lambda: "".join(rng.choice("qxzjvw0#%&") for _ in range(150))
+    rows = [(k, good(), "s") for k in range(1200)] + [(k, noise(), "s") for k in range(1200, 1260)]
+    labels = spark.createDataFrame([(k, 1) for k in range(0, 1200, 2)] + [(1200, 0)], "doc_id LONG, quality INT")
+    got = {r["doc_id"]: r["kept"] for r in quality.quality_filter(frame(spark, rows), labels).collect()}
+    assert np.mean([got[k] for k in range(1, 1200, 2)]) >= 0.95
+    assert not any(got[k] for k in range(1200, 1260))
+
+
+def test_packs_stay_where_they_are(spark):
+    """Grouping a table written in buckets moves none of its rows, and its table goes with it."""
+    rows = common.frozen(spark.range(100).withColumnRenamed("id", "batch"), "in-buckets", by="batch")
+    other = common.frozen(spark.range(50).withColumnRenamed("id", "batch"), "other")
+    both = rows.groupBy("batch").cogroup(other.groupBy("batch")).applyInPandas(lambda a, b: a.assign(n=len(b)), "batch long, n long")
+    assert both._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert both.filter("n = 1").count() == 50 and both.count() == 100
+    common.discard(rows)
+    assert not spark.catalog.tableExists(rows.written_as)
+
+
 def test_model_order(spark):
     """The registered model reads four characters before each one: a fifth n-gram length tells texts apart that four do not."""
     rows = [(k, "abcdx" * 3 if k % 2 else "ebcdy" * 3, "s") for k in range(20)] + [(20, "abcdx" * 3, "s"), (21, "abcdy" * 3, "s")]
     labels = spark.createDataFrame([(k, 1) for k in range(20)], "doc_id LONG, quality INT")
     got = {r["doc_id"]: r["perplexity"] for r in quality.quality_filter(frame(spark, rows), labels).collect()}
-    p = plain_kneser_ney([quality.normal(t) for i, t, _ in rows if i < 20], 5)
+    learnt = {r["b"] for r in quality.trusted_documents(labels)[0].collect()}
+    p = plain_kneser_ney([quality.normal(t) for i, t, _ in rows if i in learnt], 5)
     for i, t, _ in rows[20:]:
         padded = "\x02" * 4 + t + "\x03"
         logs = [np.log(p(padded[k - 4 : k + 1])) for k in range(4, len(padded))]
