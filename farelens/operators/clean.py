@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from farelens.fixed_values import IQR_COLUMNS, IQR_REACH, REQUIRED_COLUMNS
 from farelens.functions import between_bounds
+from farelens.operators.modes import column_modes
 from farelens.operators.quantiles import ColumnRanks, exact_quantiles, quantile, quantile_places, quoted, sorted_ranks, table_ranks
 from farelens.sources.flights import nan_to_null
 from farelens.sources.shared import new_folder
@@ -73,28 +74,6 @@ def text_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
 
 
-def _modes(df: DataFrame, cols: Sequence[str]) -> Column:
-    """Scalar array: the most frequent value of each column, the smallest one on ties.
-
-    Values are counted with a shuffle on (column, value), so no task holds all values of a column.
-    """
-    numbered = [str(i) for i in range(len(cols))]
-    counts = (
-        df.selectExpr(*[f"{quoted(c)} AS `{i}`" for i, c in zip(numbered, cols)])
-        .unpivot([], numbered, "name", "value")
-        .filter(F.col("value").isNotNull())
-        .groupBy(F.col("name").cast("int").alias("name"), "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    # The least (-n, value) pair is the largest count with the smallest value.
-    least = F.min(F.struct((-F.col("n")).alias("n"), "value"))["value"]
-    # One entry per column.
-    found = F.map_from_entries(F.collect_list(F.struct("name", "value")))
-    modes = counts.groupBy("name").agg(least.alias("value")).agg(found.alias("modes"))
-    listed = ", ".join(f"modes[{i}]" for i in numbered)
-    return modes.selectExpr(f"array({listed}) AS modes").scalar()
-
-
 def _filled_type(kind: T.DataType) -> str:
     """Type of a numeric column after filling: a median may end in one half, and a LONG does not fit a double."""
     return "decimal(20,1)" if isinstance(kind, T.LongType) else kind.simpleString() if isinstance(kind, T.DecimalType) else "double"
@@ -201,12 +180,11 @@ def _fill_and_cap(df: DataFrame, gaps: Sequence[str] | None, capped: Sequence[st
             numeric, texts = [c for c in numeric if columns[c].nulls], [c for c in texts if empty[c]]
         plain = {c: _figures_of(columns[c], c in numeric, c in capped) for c in dict.fromkeys([*numeric, *capped])}
         figures = {c: {k: _number(x) for k, x in of_column.items()} for c, of_column in plain.items()}
-    if texts:
-        found["_modes"] = _modes(df, texts)
+    modes = column_modes(df, texts)
     for c in dict.fromkeys([*numeric, *capped]):
         value = _filled(df, c, figures[c]["median"]) if c in numeric else F.col(quoted(c))
         changed[c] = between_bounds(value, figures[c]["low"], figures[c]["high"]) if c in capped else value
-    changed.update({c: F.coalesce(F.col(quoted(c)), F.col("_modes")[i]) for i, c in enumerate(texts)})
+    changed.update({c: F.coalesce(F.col(quoted(c)), F.lit(mode)) for c, mode in zip(texts, modes, strict=True) if mode is not None})
     return df.withColumns(found).withColumns(changed).drop(*found) if found or changed else df
 
 
@@ -224,7 +202,7 @@ def fill_numeric_median(df: DataFrame, cols: Sequence[str] | None = None, exact:
 def fill_categorical_mode(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Fill nulls of text columns with the most frequent value, the smallest one on ties.
 
-    Without ``cols`` the columns with gaps are found first, which runs one pass.
+    The modes are found when this is called (see ``column_modes``). Without ``cols`` the columns with gaps are found first, which runs one pass.
     """
     wanted = text_columns(df)
     gaps = columns_with_gaps(df.select(*map(quoted, wanted))) if cols is None else [c for c in wanted if c in cols]
@@ -342,7 +320,7 @@ def preprocess(df: DataFrame, fill: Sequence[str] | None = None, exact: bool = T
     ``fill`` names the columns to fill; without it all columns with gaps are. With ``folder``, which all executors must share, the dated
     input is written there once, gaps are counted on the way (observed metrics), and all passes read that columnar copy: the input
     itself is read once. Without it the gaps come from the pass that takes the sketches. Two passes find medians and bounds
-    together when this is called, a third finds the modes of text columns with gaps, and the last writes the result.
+    together when this is called, two more prove the modes of text columns with gaps, and the last writes the result.
     """
     dated = with_calendar(nan_to_null(df))
     copies = _copied(dated)
