@@ -17,6 +17,8 @@ from farelens.operators.quantiles import quoted
 
 # Cells of a column, and the largest of them whose values are counted before the bounds are looked at.
 CELLS, TOP_CELLS = 4096, 4
+# Rows looked at to choose a way, and the share of them that must differ for a column to be searched by cells. Both ways give the same.
+LOOK, DIFFERENT = 4096, 0.25
 
 
 @dataclass
@@ -67,10 +69,17 @@ def _best(values: DataFrame) -> list[tuple[int, int, str]]:
     return [(r["name"], -r["best"]["n"], r["best"]["value"]) for r in counts.groupBy("name").agg(least).collect()]
 
 
+def _many_values(df: DataFrame, cols: Sequence[str]) -> list[int]:
+    """Numbers of the columns whose first rows hold many different values."""
+    rows = df.select(*[F.xxhash64(F.col(quoted(c))).alias(str(i)) for i, c in enumerate(cols)]).limit(LOOK).collect()
+    return [i for i in range(len(cols)) if len({row[i] for row in rows}) > DIFFERENT * len(rows)]
+
+
 def column_modes(df: DataFrame, cols: Sequence[str]) -> list[str | None]:
     """The most frequent value of each text column, the smallest one on ties, nulls left out; None without values.
 
-    The passes run when this is called. Two prove the modes of columns with a frequent value, however many values they hold: one
+    The passes run when this is called. Columns whose first rows hold few values are counted in one pass, in part before the shuffle. Of the
+    others, two passes prove the mode where a column has a frequent value, however many values it holds: one
     counts ``CELLS`` cells a column, one the values of the ``TOP_CELLS`` largest. Where bounds leave other cells open, the 64-bit
     hashes in them are counted; the values of the hashes that reach the largest count are counted last. In a column whose values
     all differ the smallest one is the mode, and no value is moved. The driver holds the cells and one value of each column.
@@ -78,7 +87,19 @@ def column_modes(df: DataFrame, cols: Sequence[str]) -> list[str | None]:
     found = [_Search() for _ in cols]
     if not cols:
         return []
-    hashed = _values(df, cols, range(len(cols))).select("name", _hash().alias("h"), _cell().alias("cell"))
+    many = _many_values(df, cols)
+    few = [i for i in range(len(cols)) if i not in many]
+    if few:
+        for i, n, value in _best(_values(df, cols, few)):
+            found[i].better(n, value)
+    if many:
+        _by_cells(df, cols, found, many)
+    return [search.value for search in found]
+
+
+def _by_cells(df: DataFrame, cols: Sequence[str], found: list[_Search], many: list[int]) -> None:
+    """Find the modes of the columns with these numbers from cells and what their bounds leave open."""
+    hashed = _values(df, cols, many).select("name", _hash().alias("h"), _cell().alias("cell"))
     cells = hashed.groupBy("name", "cell").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("low"), F.max("h").alias("high"))
     for r in cells.collect():
         # A cell of two hashes or more leaves each of its values one row less, at least.
@@ -92,7 +113,6 @@ def column_modes(df: DataFrame, cols: Sequence[str]) -> list[str | None]:
     left = {i: search.open() for i, search in enumerate(found) if search.open()}
     if left:
         _finish(df, cols, found, left)
-    return [search.value for search in found]
 
 
 def _finish(df: DataFrame, cols: Sequence[str], found: list[_Search], left: dict[int, list[int]]) -> None:
