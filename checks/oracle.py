@@ -296,9 +296,9 @@ _OVERALL_STRUCT = f"""{{
 }}"""
 
 
-def _summary_parts(max_routes: int) -> tuple[str, ...]:
+def _summary_parts(max_routes: int, rows: str = "flights") -> tuple[str, ...]:
     return (
-        *_profile("flights"),
+        *_profile(rows),
         _selection(max_routes),
         """season_maps AS (
   SELECT route_name, map_from_entries(list((month::VARCHAR, ratio) ORDER BY month)) AS seasonal_index
@@ -500,19 +500,22 @@ _PROFILE_TEXT = _object(
     + [("seasonal_index", "season"), ("sample_count", "sample_count")],
     2,
 )
-_INDENTED_JSON = _object(
-    [
-        ("overall_stats", f"SELECT {_OVERALL_TEXT} FROM flights"),
-        ("best_performing_routes", _ranked_text("best")),
-        ("worst_performing_routes", _ranked_text("worst")),
-        (
-            "route_stats",
-            f"""SELECT '{{' || chr(10) || string_agg('    "' || route_name || '": ' || {_PROFILE_TEXT}, ',' || chr(10) ORDER BY route_name)
+
+
+def _indented_json(rows: str = "flights") -> str:
+    return _object(
+        [
+            ("overall_stats", f"SELECT {_OVERALL_TEXT} FROM {rows}"),
+            ("best_performing_routes", _ranked_text("best")),
+            ("worst_performing_routes", _ranked_text("worst")),
+            (
+                "route_stats",
+                f"""SELECT '{{' || chr(10) || string_agg('    "' || route_name || '": ' || {_PROFILE_TEXT}, ',' || chr(10) ORDER BY route_name)
   || chr(10) || '  }}' FROM profiles JOIN season_lines USING (route_name) WHERE route_name IN (SELECT route_name FROM chosen)""",
-        ),
-    ],
-    0,
-)
+            ),
+        ],
+        0,
+    )
 
 
 def _template(template: str, *values: str) -> str:
@@ -951,7 +954,7 @@ FROM advice""",
         "analysis_prompts": flights_sql(
             f"""SELECT seq, query, {_template(_ANALYSIS_PROMPT, "data", "query")} AS prompt
 FROM (VALUES {", ".join(f"({i}::BIGINT, {text(q)})" for i, q in enumerate(fixed.DEFAULT_QUERIES, 1))})
-  AS q(seq, query), (SELECT {_INDENTED_JSON} AS data)""",
+  AS q(seq, query), (SELECT {_indented_json()} AS data)""",
             *_summary_parts(5),
             _SEASON_LINES,
         ),
@@ -1003,6 +1006,19 @@ WHERE latest = 1""",
             *_profile("capped"),
             _SEASON_TEXT,
         ),
+        "pricing_flow_prompts": flights_sql(
+            f"""SELECT seq, query, {_template(_ANALYSIS_PROMPT, "data", "query")} AS prompt
+FROM (VALUES {", ".join(f"({i}::BIGINT, {text(q)})" for i, q in enumerate(fixed.DEFAULT_QUERIES, 1))})
+  AS q(seq, query), (SELECT {_indented_json("capped")} AS data)""",
+            _GAPS,
+            filled,
+            gap_bounds,
+            "capped AS (SELECT * REPLACE ("
+            + ", ".join(f"{_capped(c)} AS {c}" for c in fixed.IQR_COLUMNS)
+            + ") FROM filled, bounds)",
+            *_summary_parts(5, "capped"),
+            _SEASON_LINES,
+        ),
         "route_summary_rows": flights_sql(
             f"""SELECT 'overall' AS section, NULL AS route_name, to_json({{
   'avg_price': {mean("avg(ticket_price)", 2)}, 'avg_load_factor': {mean("avg(load_factor)", 2)},

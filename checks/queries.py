@@ -645,6 +645,11 @@ def pricing_summary_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables["profiles"].withColumn("seasonal_index", _map_text(F.col("seasonal_index")))
 
 
+def pricing_flow_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The end of the whole flow: raw flights with gaps, cleaned, profiled, summarised, and a prompt for each question."""
+    return pricing_summary(fx.flights_with_gaps(spark, sf_dir), fx.PREVIEW_ORDER, fx.work_folder(spark))["prompts"]
+
+
 def route_summary_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Summary of all routes, a row for each."""
     return summary.summary_rows(fx.analytic(spark, sf_dir), _profile(spark, sf_dir))
@@ -798,6 +803,7 @@ REGISTERED: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     answer_preview,
     results_table,
     pricing_summary_flow,
+    pricing_flow_prompts,
     route_summary_rows,
     route_report_flow,
     load_price_bins,
