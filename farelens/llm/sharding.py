@@ -89,10 +89,16 @@ def shard_rows(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, folder: str, limit: int = LIMIT) -> None:
-    """Write ``docs`` as Parquet, one folder for each shard: shard=p<prefix>. A shard is one file unless it is oversized."""
+    """Write ``docs`` as Parquet, one folder for each shard: shard=p<prefix>. A shard is one file unless it is oversized.
+
+    Where ``docs`` has a column of that name, in any case of letters, the folders' name gets underscores behind it until it has none.
+    """
+    name = "shard"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     size = F.octet_length(whole_text()).cast("long").alias("n_bytes")
     rows = docs.select(row, size, hash_bits(_key()).alias("bits"))
     placed = _placed(rows, directory(rows.select("bits", "n_bytes"), limit))
-    named = placed.select("_row.*", F.concat(F.lit("p"), "shard").alias("shard"))
-    named.repartition("shard").write.partitionBy("shard").parquet(folder)
+    named = placed.select("_row.*", F.concat(F.lit("p"), "shard").alias(name))
+    named.repartition(name).write.partitionBy(name).parquet(folder)

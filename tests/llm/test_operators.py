@@ -7,6 +7,7 @@ import random
 import re
 from collections import Counter
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -18,6 +19,7 @@ from farelens.llm import byte_bpe, common, exact_dedup, line_dedup, mixing, ngra
 from farelens.llm.components import components
 from farelens.llm.cuckoo import CuckooIndex
 from farelens.llm.hnsw import Graph
+from farelens.llm.queries import oracle_sql
 from farelens.llm.transducer import from_json
 from tests.llm import brute
 
@@ -280,6 +282,27 @@ def test_permutation_is_one(spark):
         assert sorted(places) == list(range(n)) and (n < 100 or places != list(range(n)))
 
 
+def test_sharding_sql_where_buckets_split(spark):
+    """The registered SQL, which knows no shard above its limit, with limits at which buckets split; the longest text has 19,535 bytes."""
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM read_parquet('/root/testdata/sf0.001/documents.parquet')")
+    sql = oracle_sql()["op10_sharding"]
+    for limit in (20_000, 60_000):
+        assert str(sharding.LIMIT) in sql
+        wanted = con.execute(f"SELECT doc_id, n_bytes, shard, depth, shard_bytes, oversized FROM ({sql.replace(str(sharding.LIMIT), str(limit))})")
+        got = sharding.shard_rows(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), limit)
+        rows = [tuple(r) for r in got.select("doc_id", "n_bytes", "shard", "depth", "shard_bytes", "oversized").collect()]
+        assert sorted(rows) == sorted((a, b, c, d, int(e), f) for a, b, c, d, e, f in wanted.fetchall())
+        assert len({r[2] for r in rows}) > 2
+
+
+def test_shards_of_a_table_with_such_a_column(spark, tmp_path):
+    table = frame(spark, [(k, "x" * 50, "s") for k in range(40)]).withColumn("Shard", F.lit("mine"))
+    sharding.write_shards(table, str(tmp_path / "out"), 200)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert back.filter("Shard = 'mine'").count() == 40 and back.select("shard_").distinct().count() > 4
+
+
 def test_sharding(spark, tmp_path):
     rows = corpus(9, 200)
     table = frame(spark, rows)
