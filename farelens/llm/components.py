@@ -22,7 +22,7 @@ def _pointed(parents: DataFrame) -> DataFrame:
     while True:
         near = _above(parents)
         step = near.select(F.col("node").alias("parent"), F.col("parent").alias("above"))
-        jumped = _sized(
+        jumped = sized(
             frozen(
                 near.join(step, "parent", "left").select(
                     "node", F.coalesce("above", "parent").alias("parent"), (F.col("above") < F.col("parent")).alias("moved")
@@ -37,10 +37,10 @@ def _pointed(parents: DataFrame) -> DataFrame:
 
 def _distinct(edges: DataFrame) -> DataFrame:
     ordered = edges.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    return _sized(frozen(ordered.distinct(), "edges"))
+    return sized(frozen(ordered.distinct(), "edges"))
 
 
-def _sized(df: DataFrame) -> DataFrame:
+def sized(df: DataFrame) -> DataFrame:
     """A written table in as many partitions as its rows need; one that is small then takes no shuffle."""
     return df.coalesce(max(1, -(-df.count() // ROWS)))
 
@@ -56,12 +56,12 @@ def components(edges: DataFrame) -> DataFrame:
     while not edges.isEmpty():
         # Smaller neighbours only: the pointers of a round form a forest.
         parents = edges.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("parent"))
-        roots = _pointed(_sized(frozen(parents, "parents")))
+        roots = _pointed(sized(frozen(parents, "parents")))
         if labels is None:
             nodes = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct()
             labels = nodes.withColumn("component", F.col("node"))
         to = roots.select(F.col("node").alias("component"), F.col("parent").alias("root"))
-        labels = _sized(
+        labels = sized(
             frozen(labels.join(to, "component", "left").select("node", F.coalesce("root", "component").alias("component")), "labels")
         )
         left, right = to.toDF("u", "ru"), to.toDF("v", "rv")

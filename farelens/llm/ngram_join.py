@@ -4,9 +4,10 @@ Two sets with a Jaccard similarity of t or more share a shingle among the first
 The order here is rare first: shingles by their count in a sketch of the whole corpus (a counter for each hash class), then by hash.
 The sketch has a fixed size and only steers the order, so every size of input gives the same links.
 
-Documents with the same set are one class. Candidates come in rounds. In a round every prefix shingle names one pivot for each
-band of set sizes, and the classes that are not yet known to be connected to it are compared with it; the links found
-are contracted to components. Prefix shingles whose classes are all connected need no further pair. What is left, pairs of a shingle
+Documents with the same set are one class. Candidates come in rounds. In a round every prefix shingle names PIVOTS classes for each
+band of set sizes, drawn by hash, and the classes that are not yet known to be connected to one are compared with it; the links found
+are contracted to components. A large component is drawn in proportion to its size, so what belongs to it finds a link soon,
+also where only some of its members link with each other. Prefix shingles whose classes are all connected need no further pair. What is left, pairs of a shingle
 that lie in different components, is compared in full, as soon as these pairs are no more than FULL times the postings, or a round did not
 halve them. So a large group of near copies costs comparisons in proportion to its size, and no link that could connect two
 components is left out.
@@ -26,12 +27,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from farelens.llm.common import discard, frozen, id_or_last, id_or_null, partitions
-from farelens.llm.components import components
+from farelens.llm.components import components, sized
 
 #: Counters of the sketch, one byte each (counts stop at 255: more frequent ones order by hash), and of one slice of it.
 SKETCH_BITS, SLICE_BITS = 24, 18
 #: Pairs left, by postings, that are compared in full; above, further rounds come first while each halves them at least.
 FULL = 4
+#: Pivots of a prefix shingle and band in a round, at most.
+PIVOTS = 4
 #: Documents up to which their keys, 24 bytes each, are sent to the texts; above, the texts are shuffled.
 MAX_BROADCAST = 500_000
 #: Parts of the hash range whose sizes the suffix filter compares.
@@ -247,11 +250,13 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, threshold: int) ->
 
 
 def _star_pairs(posted: DataFrame, threshold: int, turn: int) -> DataFrame:
-    """Candidates of a round: for each prefix shingle and band of sizes, one pivot with the classes of other components."""
+    """Candidates of a round: for each prefix shingle and band of sizes, the pivots with the classes of other components."""
     band = F.floor(F.log(F.col("n")) / math.log(100 / threshold)).alias("band") if threshold < 100 else F.col("n").alias("band")
     banded = posted.select("*", band)
-    first = F.min(F.struct(F.xxhash64("comp", F.lit(turn)).alias("h"), "node", "n", "pos", "comp")).alias("p")
-    pivots = banded.groupBy("g", "band").agg(first).select(
+    drawn = F.xxhash64("node", F.lit(turn))
+    # The first class of each draw: a plain minimum, summed up before the shuffle however many classes a shingle has.
+    first = F.min(F.struct(drawn.alias("h"), "node", "n", "pos", "comp")).alias("p")
+    pivots = banded.groupBy("g", "band", F.pmod(drawn, F.lit(PIVOTS)).alias("draw")).agg(first).select(
         "g", "band", F.col("p.node").alias("pnode"), F.col("p.n").alias("pn"), F.col("p.pos").alias("ppos"), F.col("p.comp").alias("pcomp")
     )
     return _pairs(banded.join(pivots, ["g", "band"]).filter("comp <> pcomp"), threshold)
@@ -301,12 +306,13 @@ def _links(posted: DataFrame, info: DataFrame, texts: DataFrame, width: int, thr
         pairs = _rest_pairs(current, outside, threshold) if last else _star_pairs(current, threshold, turn)
         if tested is not None:
             pairs = pairs.join(tested, ["u", "v"], "left_anti")
-        pairs = frozen(pairs, "pairs")
+        pairs = sized(frozen(pairs, "pairs"))
         tested = pairs if tested is None else tested.unionByName(pairs)
         candidates = frozen(_suffix_filtered(pairs, info, threshold), "candidates")
-        found = frozen(_verified(candidates, texts, width, threshold), "links")
+        found = frozen(_verified(sized(candidates), texts, width, threshold), "links")
         for table in (candidates, *((current, outside) if turn else ())):
             discard(table)
+        found = sized(found)
         if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
             labels = components(links)
