@@ -25,7 +25,11 @@ def _packed(docs: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below the threshold."""
+    """Documents whose toxicity score is below the threshold.
+
+    A null text is scored as an empty one. Rows that agree in doc_id (null included) and text share the decision. Other columns pass as they are.
+    An empty table stays empty.
+    """
     before = written()
     scores = toxicity.ToxicityModel(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).score(docs)
     toxic = frozen(scores.filter(F.col("score") >= toxicity.THRESHOLD).select("b", "sig").distinct(), "toxic")
@@ -65,7 +69,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Whole documents as often as the mix takes their first words; documents without words stay once."""
+    """Whole documents as often as the mix takes their first words; documents without words stay once.
+
+    A null text has no words; a null source is a source of its own, the last one. Rows that agree in doc_id, text and source share their
+    copies evenly, some one more than others. Copies repeat all columns. An empty table stays empty.
+    """
     before = written()
     copies = mixing.Mixture(docs).copies().withColumnsRenamed({"b": "_b", "sig": "_sig", "source": "_source"})
     # Rows that agree in doc_id, text and source share their copies: as many for each, and one more for the first ones.
@@ -89,7 +97,11 @@ def _same_document() -> Column:
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, token ids, and whether decoding gives the text back."""
+    """doc_id, number of tokens, token ids (little-endian, 32 bits each), and the SHA-256 of the ids and of the bytes they decode to.
+
+    Null and empty texts have no tokens, and the hashes are those of no bytes. Repeated rows are encoded each; a null doc_id stays null. Only
+    doc_id and text are read. An empty table gives an empty result.
+    """
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     found = byte_bpe.round_trip(docs, path, pattern)
     return found.select(
