@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import datetime
+import re
 
 import pytest
 
-from checks import queries
+from checks import fixtures, queries
 
 _KINDS = {
     "nation": "n_nationkey INT, n_name STRING",
@@ -26,7 +27,7 @@ def tables(spark, tmp_path_factory):
     day = datetime.datetime(1996, 1, 1)
     rows = {
         "nation": [(0, "NORTH"), (1, "SOUTH"), (2, None)],
-        "supplier": [(1, 0), (2, 1), (3, 1), (3, 1), (4, None), (None, 0), (5, 9)],
+        "supplier": [(1, 0), (2, 1), (3, 1), (3, 1), (4, None), (4, 0), (None, 0), (5, 9)],
         "customer": [(1, 0), (2, 1), (2, 1), (3, 2), (None, 1)],
         "part": [(1, "STEEL", 10.0), (2, "BRASS", 20.0), (2, "TIN", None), (None, "STEEL", 1.0)],
         "orders": [*[(k, 1 + k % 3) for k in range(1, 60)], (7, 2), (None, 1), (60, None), (61, 77)],
@@ -50,3 +51,33 @@ def test_flight_number_texts_are_made_before_the_join(spark, tables):
     assert len(above) == 2 and "array_join" not in above[0]
     rows = {r["flight_id"]: r["flight_numbers"] for r in found.collect()}
     assert rows and any("," in (text or "") for text in rows.values())
+
+
+def test_lineitem_meets_small_sides_that_are_known_to_be_small(spark, tables):
+    """Customers go to the orders and not to the lines; suppliers and nations are joined by themselves, the names last."""
+    plan = _plan(fixtures.flights(spark, tables))
+    joins = [set(pair) for pair in re.findall(r"Join Inner, \(+(?:cast\()?(\w+)#\d+L?(?: as bigint\))? = (\w+)#", plan)]
+    assert joins == [
+        {"c_nationkey"},
+        {"s_nationkey"},
+        {"l_partkey", "p_partkey"},
+        {"l_suppkey", "s_suppkey"},
+        {"l_orderkey", "o_orderkey"},
+        {"o_custkey", "c_custkey"},
+    ]
+
+
+def test_joined_rows_are_those_of_the_keys(spark, tables):
+    """Keys that are null or unknown drop a row, repeated ones repeat it, whatever the order of the joins."""
+    read = {name: [tuple(r) for r in spark.read.parquet(f"{tables}/{name}.parquet").collect()] for name in _KINDS}
+    expected = []
+    for order, part, supplier, line, *_ in read["lineitem"]:
+        for _, customer in (o for o in read["orders"] if o[0] == order is not None):
+            for _, to in (c for c in read["customer"] if c[0] == customer is not None):
+                for _, origin in (s for s in read["supplier"] if s[0] == supplier is not None):
+                    for _, kind, _ in (p for p in read["part"] if p[0] == part is not None):
+                        for _, a in (n for n in read["nation"] if n[0] == origin is not None):
+                            for _, b in (n for n in read["nation"] if n[0] == to is not None):
+                                expected.append((order * 10 + line, kind, None if None in (a, b) else f"{a}-{b}"))
+    got = [tuple(r) for r in fixtures.flights(spark, tables).select("flight_id", "aircraft_type", "route_name").collect()]
+    assert expected and sorted(got, key=repr) == sorted(expected, key=repr)
