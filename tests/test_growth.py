@@ -81,3 +81,15 @@ def test_joined_rows_are_those_of_the_keys(spark, tables):
                                 expected.append((order * 10 + line, kind, None if None in (a, b) else f"{a}-{b}"))
     got = [tuple(r) for r in fixtures.flights(spark, tables).select("flight_id", "aircraft_type", "route_name").collect()]
     assert expected and sorted(got, key=repr) == sorted(expected, key=repr)
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["fill_missing", "fill_numeric_median", "fill_categorical_mode", "cap_iqr", "iqr_outlier_counts", "route_profile", "clean_route_profile"]
+    + ["summary_json", "route_summary_rows", "simplified_summary_all", "flight_number_lookup"],
+)
+def test_passes_read_the_flights_written_once(spark, tables, name):
+    found = getattr(queries, name)(spark, tables)
+    read = found.inputFiles()
+    assert read and not [file for file in read if "/lineitem.parquet/" in file]
+    assert found.count() > 0
