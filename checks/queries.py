@@ -63,7 +63,7 @@ def _map_text(entries: Column) -> Column:
 def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flights to CSV and back, then their route statistics to CSV and back."""
     flights_path = new_folder(fx.work_folder(spark), "flights-csv")
-    write_csv(fx.flights(spark, sf_dir), flights_path)
+    write_csv(fx.flights(spark, sf_dir), flights_path, "gzip")
     route_stats = stats.route_stats(read_flights(spark, flights_path))
     stats_path = new_folder(fx.work_folder(spark), "route-stats-csv")
     write_csv(route_stats, stats_path)

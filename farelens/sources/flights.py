@@ -157,6 +157,6 @@ def _typed(field: T.StructField) -> Column:
     return F.when(known.isNotNull(), F.coalesce(known.try_cast(field.dataType), broken.cast(field.dataType)))
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """Write a table as UTF-8 CSV files with a header row and no index column."""
-    df.write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
+def write_csv(df: DataFrame, path: str, compression: str = "none") -> None:
+    """Write a table as UTF-8 CSV files with a header row and no index column; ``compression``: a codec of Spark's writer, such as gzip."""
+    df.write.mode("overwrite").option("header", True).option("encoding", "UTF-8").option("compression", compression).csv(path)

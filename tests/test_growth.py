@@ -9,6 +9,7 @@ import pytest
 
 from checks import fixtures, queries
 from farelens.plans import pricing_summary
+from farelens.sources import read_flights, write_csv
 
 _KINDS = {
     "nation": "n_nationkey INT, n_name STRING",
@@ -101,3 +102,11 @@ def test_cleaned_flights_are_not_written_again(spark, tables, tmp_path):
     made = pricing_summary(fixtures.flights_with_gaps(spark, tables), fixtures.PREVIEW_ORDER, str(tmp_path / "work"))
     assert sorted(p.name.split("-")[0] for p in (tmp_path / "work").iterdir()) == ["dated", "table"]
     assert made["cleaned"].count() == fixtures.flights(spark, tables).count() > 0
+
+
+def test_csv_is_packed_and_read_back(spark, tmp_path):
+    path = str(tmp_path / "packed")
+    rows = [(1, "a,b"), (2, 'c "d"'), (3, None)]
+    write_csv(spark.createDataFrame(rows, "a BIGINT, b STRING"), path, "gzip")
+    assert all(p.name.endswith(".csv.gz") for p in (tmp_path / "packed").glob("part-*"))
+    assert sorted(map(tuple, read_flights(spark, path, "a BIGINT, b STRING").collect())) == rows
