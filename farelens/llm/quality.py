@@ -40,26 +40,34 @@ def normal(text: str) -> str:
 
 
 def _grams(texts: list[str], order: int) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct n-grams of the texts, their hashes, the number of each position's n-gram, and the first position of each text.
+    """Distinct n-grams of the texts, their hashes in order, the number of each position's n-gram, and the first position of each text.
 
-    A text counts len + 1 positions: its characters after order - 1 begin marks, and an end mark.
+    A text counts len + 1 positions: its characters after order - 1 begin marks, and an end mark. Positions are numbered by a hash table;
+    only the distinct n-grams, a small part of them, are sorted.
     """
     padded = [BEGIN * (order - 1) + text + END for text in texts]
     whole = "".join(padded)
-    codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), "<u4")
     lengths = np.fromiter(map(len, padded), np.int64, len(padded))
     ends = np.cumsum(lengths)
     valid = np.ones(len(codes), bool)
     for k in range(1, order):
         valid[ends - k] = False
     at = np.flatnonzero(valid)
-    key = np.zeros(len(at), np.uint64)
+    windows = max(len(codes) - order + 1, 0)
+    key = np.zeros(windows, np.uint64)
     for k in range(order):
-        key = (key ^ codes[at + k]) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= codes[k : k + windows]
+        key *= np.uint64(0x9E3779B97F4A7C15)
         key ^= key >> np.uint64(31)
-    hashes, first, number = np.unique(key, return_index=True, return_inverse=True)
-    grams = [whole[p : p + order] for p in at[first].tolist()]
-    return grams, hashes, number, np.concatenate([[0], np.cumsum(lengths - order + 1)[:-1]]).astype(np.int64)
+    met, hashes = pd.factorize(key[at])
+    # Numbers are given in the order met, so an n-gram's first position is where the largest number so far grows.
+    first = np.flatnonzero(np.diff(np.maximum.accumulate(met), prepend=-1))
+    by_hash = np.argsort(hashes)
+    rank = np.empty_like(by_hash)
+    rank[by_hash] = np.arange(len(by_hash))
+    grams = [whole[p : p + order] for p in at[first[by_hash]].tolist()]
+    return grams, hashes[by_hash], rank[met], np.concatenate([[0], np.cumsum(lengths - order + 1)[:-1]]).astype(np.int64)
 
 
 def _packs(docs: DataFrame) -> DataFrame:
