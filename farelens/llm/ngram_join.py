@@ -37,6 +37,8 @@ FULL = 4
 PIVOTS = 4
 #: Documents up to which their keys, 24 bytes each, are sent to the texts; above, the texts are shuffled.
 MAX_BROADCAST = 500_000
+#: Bytes of texts or sets in a batch, about, and words whose hashes are kept: both stand in the memory of every Python worker.
+BATCH_BYTES, MAX_WORDS = 2 << 20, 100_000
 #: Parts of the hash range whose sizes the suffix filter compares.
 PARTS = 16
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
@@ -46,7 +48,7 @@ class _WordHashes(dict):
     """Hash of a word, kept for words already seen."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) >= MAX_WORDS:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -309,7 +311,7 @@ def _links(posted: DataFrame, info: DataFrame, texts: DataFrame, width: int, thr
         pairs = sized(frozen(pairs, "pairs"))
         tested = pairs if tested is None else tested.unionByName(pairs)
         candidates = frozen(_suffix_filtered(pairs, info, threshold), "candidates")
-        found = frozen(_verified(sized(candidates), texts, width, threshold), "links")
+        found = frozen(_verified(sized(candidates), texts, width, threshold), "links", batch=BATCH_BYTES)
         for table in (candidates, *((current, outside) if turn else ())):
             discard(table)
         found = sized(found)
@@ -330,14 +332,14 @@ def ngram_rows(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFram
     row each. Only doc_id and text are read. An empty table gives an empty result.
     """
     keyed = docs.select(id_or_last(F.col("doc_id")).alias("b"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("sig"), "text")
-    made = frozen(_sets_and_sketch(keyed, width), "sets")
+    made = frozen(_sets_and_sketch(keyed, width), "sets", batch=BATCH_BYTES)
     rows = made.filter("slice < 0").drop("slice", "counters")
     sketch = docs.sparkSession.sparkContext.broadcast(_summed_sketch(made.filter("slice >= 0")))
     # One class for each set; its smallest (b, sig) stands for it.
     firsts = (F.min(F.struct("b", "sig")).alias("rep"), F.first("n").alias("n"), F.first("parts").alias("parts"))
     classes = rows.filter("n > 0").groupBy("node").agg(*firsts)
     classes = frozen(classes.select("node", "rep.b", "rep.sig", "n", "parts"), "classes")
-    posted = frozen(_shared(_postings(keyed, sketch, width, threshold)), "postings")
+    posted = frozen(_shared(_postings(keyed, sketch, width, threshold)), "postings", batch=BATCH_BYTES)
     sketch.destroy()
     candidates = frozen(posted.select("node").distinct().join(classes.select("node", "b", "sig"), "node"), "candidates")
     n = candidates.count()

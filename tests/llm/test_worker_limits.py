@@ -1,12 +1,15 @@
-"""How the n-grams of a pack are numbered."""
+"""What a Python worker holds, and how the n-grams of a pack are numbered."""
 
 from __future__ import annotations
 
 import random
 
 import numpy as np
+import pandas as pd
+import pytest
 
-from farelens.llm import quality
+from farelens.llm import ngram_join, quality
+from farelens.llm.common import frozen
 
 
 def test_positions_are_numbered_without_sorting_them(monkeypatch):
@@ -24,3 +27,41 @@ def test_positions_are_numbered_without_sorting_them(monkeypatch):
         starts.append(starts[-1] + len(text) + 1)
     assert first.tolist() == starts
     assert quality._grams([], 3)[0] == []
+
+
+def test_batches_for_python_are_bounded_in_bytes(spark):
+    def count(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"rows": [len(pdf)]})
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    texts = spark.range(400).selectExpr("repeat('x', 10000) AS text").coalesce(1)
+    held = [r["rows"] for r in frozen(texts.mapInPandas(count, "rows long"), "rows", batch=500_000).collect()]
+    assert sum(held) == 400 and max(held) < 100
+    assert spark.conf.get(name, None) == before
+
+
+def test_texts_reach_the_join_in_small_batches(spark, monkeypatch):
+    asked = {}
+
+    def seen(df, name, *args, **more):
+        asked.setdefault(name, set()).add(more.get("batch"))
+        return frozen(df, name, *args, **more)
+
+    monkeypatch.setattr(ngram_join, "frozen", seen)
+    rows = [(k, "one two three four five six seven eight nine ten" + " more" * (k % 2)) for k in range(6)]
+    found = ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id LONG, text STRING"), 2, 80).collect()
+    assert {r["component_id"] for r in found} == {0}
+    assert {name: asked[name] for name in ("sets", "postings", "links")} == dict.fromkeys(("sets", "postings", "links"), {ngram_join.BATCH_BYTES})
+
+
+@pytest.mark.parametrize("width", [1, 3])
+def test_kept_words_are_bounded(monkeypatch, width):
+    monkeypatch.setattr(ngram_join, "MAX_WORDS", 7)
+    hashes, plain = ngram_join._WordHashes(), ngram_join._WordHashes()
+    texts = [" ".join(f"w{(k * j) % 40}" for j in range(30)) for k in range(9)]
+    made = [ngram_join.shingle_set(text, width, hashes) for text in texts]
+    assert len(hashes) <= 7
+    monkeypatch.undo()
+    assert all(np.array_equal(a, ngram_join.shingle_set(text, width, plain)) for a, text in zip(made, texts, strict=True))
