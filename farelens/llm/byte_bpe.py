@@ -8,11 +8,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from farelens.llm.common import small_batches
+
 #: Texts above this many code points are cut at safe boundaries before they are encoded.
 PIECE_POINTS = 100_000
 # Before white space that follows something else a token always ends, and what stands before does not look past it.
@@ -49,17 +52,20 @@ def packed_ids(text: str, enc: tiktoken.Encoding) -> bytes:
     return b"".join(np.asarray(enc.encode_ordinary(piece), "<u4").tobytes() for piece in safe_pieces(text))
 
 
-def _encoded(docs: DataFrame, path: str, pattern: str, decoded: bool) -> DataFrame:
-    def run(batches):
-        enc = encoding(path, pattern)
-        for pdf in batches:
-            out = {"doc_id": pdf["doc_id"], "ids": [packed_ids(text or "", enc) for text in pdf["text"]]}
-            if decoded:
-                out["decoded"] = [_raw_bytes(ids, enc) for ids in out["ids"]]
-            yield pd.DataFrame(out)
+def encoded_batches(batches: Iterator[pa.RecordBatch], enc: tiktoken.Encoding, decoded: bool) -> Iterator[pa.RecordBatch]:
+    """doc_id, ids and, if asked for, decoded of batches with doc_id and text, in batches of few bytes."""
+    for batch in small_batches(batches):
+        ids = [packed_ids(text or "", enc) for text in batch.column("text").to_pylist()]
+        out = {"doc_id": batch.column("doc_id"), "ids": pa.array(ids, pa.binary())}
+        if decoded:
+            out["decoded"] = pa.array([_raw_bytes(packed, enc) for packed in ids], pa.binary())
+        yield pa.RecordBatch.from_pydict(out)
 
+
+def _encoded(docs: DataFrame, path: str, pattern: str, decoded: bool) -> DataFrame:
     schema = "doc_id long, ids binary" + ", decoded binary" * decoded
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, schema)
+    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    return rows.mapInArrow(lambda batches: encoded_batches(batches, encoding(path, pattern), decoded), schema)
 
 
 def _raw_bytes(packed: bytes, enc: tiktoken.Encoding) -> bytes:

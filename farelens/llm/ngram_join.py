@@ -26,7 +26,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from farelens.llm.common import discard, frozen, id_or_last, id_or_null, partitions
+from farelens.llm.common import BATCH_BYTES, discard, frozen, id_or_last, id_or_null, partitions
 from farelens.llm.components import components, sized
 
 #: Counters of the sketch, one byte each (counts stop at 255: more frequent ones order by hash), and of one slice of it.
@@ -37,8 +37,8 @@ FULL = 4
 PIVOTS = 4
 #: Documents up to which their keys, 24 bytes each, are sent to the texts; above, the texts are shuffled.
 MAX_BROADCAST = 500_000
-#: Bytes of texts or sets in a batch, about, and words whose hashes are kept: both stand in the memory of every Python worker.
-BATCH_BYTES, MAX_WORDS = 2 << 20, 100_000
+#: Words whose hashes are kept in the memory of every Python worker.
+MAX_WORDS = 100_000
 #: Parts of the hash range whose sizes the suffix filter compares.
 PARTS = 16
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)

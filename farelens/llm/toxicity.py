@@ -9,9 +9,10 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -19,10 +20,12 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from farelens.llm.common import frozen, id_or_last, id_or_null
+from farelens.llm.common import BATCH_BYTES, frozen, id_or_last, id_or_null, small_batches
 
 #: Bound of the labelled sample, and of the lexicon.
 TRAIN_ROWS, LEXICON_ENTRIES = 20_000, 5_000
+#: Words whose log odds are kept in the memory of every Python worker.
+MAX_WORDS = 100_000
 #: A lexicon entry is in this many toxic texts at least; log odds from which on it counts as mild and as strong.
 LEAST_TOXIC, MILD, STRONG = 3, 2.5, 4.5
 THRESHOLD = 0.3
@@ -61,7 +64,7 @@ class _Weights(dict):
         self.lexicon = lexicon
 
     def __missing__(self, word: str) -> float:
-        if len(self) > 500_000:
+        if len(self) >= MAX_WORDS:
             self.clear()
         value = self[word] = max((self.lexicon.get(e, 0.0) for e in entries(word)), default=0.0)
         return value
@@ -119,19 +122,32 @@ def _dealt(sample: DataFrame) -> DataFrame:
     return sample.join(F.broadcast(ids), "_id").select("text", "toxic", "part")
 
 
+def _entry_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Entries of few texts at a time, with the number of toxic (p) and other texts (q) that hold them."""
+    for batch in small_batches(batches):
+        with_, without = Counter(), Counter()
+        for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+            found = {e for word in set(map(str.lower, _WORD.findall(text))) for e in entries(word)}
+            (with_ if toxic else without).update(found)
+        every = list(with_.keys() | without.keys())
+        p, q = (pa.array([counts[e] for e in every], pa.int64()) for counts in (with_, without))
+        yield pa.RecordBatch.from_pydict({"entry": pa.array(every, pa.string()), "p": p, "q": q})
+
+
+def _feature_batches(batches: Iterator[pa.RecordBatch], lexicon: dict[str, float], keep: list[str]) -> Iterator[pa.RecordBatch]:
+    """Columns ``keep`` and ``f``, the features, of few texts at a time."""
+    weights = _Weights(lexicon)
+    for batch in small_batches(batches):
+        found = [features(text or "", weights) for text in batch.column("text").to_pylist()]
+        columns = {c: batch.column(c) for c in keep}
+        yield pa.RecordBatch.from_pydict(columns | {"f": pa.array(found, pa.list_(pa.float64()))})
+
+
 def _lexicon(sample: DataFrame, size: int) -> dict[str, float]:
     """Words and stems of toxic texts with their log odds; at most ``size``, the highest."""
 
-    def count(batches):
-        for pdf in batches:
-            with_, without = Counter(), Counter()
-            for text, toxic in zip(pdf["text"], pdf["toxic"], strict=True):
-                found = {e for word in set(map(str.lower, _WORD.findall(text))) for e in entries(word)}
-                (with_ if toxic else without).update(found)
-            every = list(with_.keys() | without.keys())
-            yield pd.DataFrame({"entry": every, "p": [with_[e] for e in every], "q": [without[e] for e in every]})
-
-    counts = sample.mapInPandas(count, "entry string, p long, q long").groupBy("entry").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+    counted = sample.select("text", "toxic").mapInArrow(_entry_batches, "entry string, p long, q long")
+    counts = counted.groupBy("entry").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
     toxic, clean = (sample.filter(F.col("toxic") == k).count() for k in (1, 0))
     odds = F.log((F.col("p") + 0.5) / (toxic + 1.0)) - F.log((F.col("q") + 0.5) / (clean + 1.0))
     best = counts.filter(F.col("p") >= LEAST_TOXIC).withColumn("odds", odds).filter(F.col("odds") >= MILD)
@@ -141,15 +157,9 @@ def _lexicon(sample: DataFrame, size: int) -> dict[str, float]:
 def _with_features(df: DataFrame, lexicon: dict[str, float], keep: list[str]) -> DataFrame:
     """Columns ``keep`` and one array of features for each row; the text stays behind."""
     shared = df.sparkSession.sparkContext.broadcast(lexicon)
-
-    def run(batches):
-        weights = _Weights(shared.value)
-        for pdf in batches:
-            yield pdf[keep].assign(f=[features(text or "", weights) for text in pdf["text"]])
-
     kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in keep)
-    rows = df.select(*keep, "text").mapInPandas(run, f"{kinds}, f array<double>")
-    return rows.select(*keep, *[F.col("f")[k].alias(name) for k, name in enumerate(FEATURES)])
+    made = df.select(*keep, "text").mapInArrow(lambda batches: _feature_batches(batches, shared.value, keep), f"{kinds}, f array<double>")
+    return made.select(*keep, *[F.col("f")[k].alias(name) for k, name in enumerate(FEATURES)])
 
 
 class ToxicityModel:
@@ -175,7 +185,7 @@ class ToxicityModel:
             dealt = frozen(_dealt(sample), "dealt")
             words, learned, calibrate = dealt.filter("part = 0"), dealt.filter("part > 0"), 2
         self.lexicon = _lexicon(words, LEXICON_ENTRIES)
-        rows = frozen(_with_features(learned, self.lexicon, ["toxic", "part"]).coalesce(4), "features")
+        rows = frozen(_with_features(learned, self.lexicon, ["toxic", "part"]).coalesce(4), "features", batch=BATCH_BYTES)
         self.assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="vector")
         vectors = self.assembler.transform(rows)
         booster = GBTClassifier(
