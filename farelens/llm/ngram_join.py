@@ -5,9 +5,10 @@ The order here is rare first: shingles by their count in a sketch of the whole c
 The sketch has a fixed size and only steers the order, so every size of input gives the same links.
 
 Documents with the same set are one class. Candidates come in rounds. In a round every prefix shingle names PIVOTS classes for each
-band of set sizes, drawn by hash, and the classes that are not yet known to be connected to one are compared with it; the links found
-are contracted to components. A large component is drawn in proportion to its size, so what belongs to it finds a link soon,
-also where only some of its members link with each other. Prefix shingles whose classes are all connected need no further pair. What is left, pairs of a shingle
+band of set sizes, and the classes that are not yet known to be connected to one are compared with it; the links found
+are contracted to components. The first round takes those with the fewest rarer shingles before it: what the members of a group have of
+their own is rare, so these lie in its middle and link with most of what can link. Later rounds draw by hash. A large component is drawn in
+proportion to its size, so what belongs to it finds a link soon, also where only some of its members link with each other. Prefix shingles whose classes are all connected need no further pair. What is left, pairs of a shingle
 that lie in different components, is compared in full, as soon as these pairs are no more than FULL times the postings, or a round did not
 halve them. So a large group of near copies costs comparisons in proportion to its size, and no link that could connect two
 components is left out.
@@ -257,7 +258,8 @@ def _star_pairs(posted: DataFrame, threshold: int, turn: int) -> DataFrame:
     banded = posted.select("*", band)
     drawn = F.xxhash64("node", F.lit(turn))
     # The first class of each draw: a plain minimum, summed up before the shuffle however many classes a shingle has.
-    first = F.min(F.struct(drawn.alias("h"), "node", "n", "pos", "comp")).alias("p")
+    ahead = F.lit(0) if turn else F.col("pos")
+    first = F.min(F.struct(ahead.alias("ahead"), drawn.alias("h"), "node", "n", "pos", "comp")).alias("p")
     pivots = banded.groupBy("g", "band", F.pmod(drawn, F.lit(PIVOTS)).alias("draw")).agg(first).select(
         "g", "band", F.col("p.node").alias("pnode"), F.col("p.n").alias("pn"), F.col("p.pos").alias("ppos"), F.col("p.comp").alias("pcomp")
     )
