@@ -4,11 +4,12 @@ Two sets with a Jaccard similarity of t or more share a shingle among the first
 The order here is rare first: shingles by their count in a sketch of the whole corpus (a counter for each hash class), then by hash.
 The sketch has a fixed size and only steers the order, so every size of input gives the same links.
 
-Documents with the same set are one class. Candidates come in rounds. In a round every prefix shingle names PIVOTS classes for each
-band of set sizes, and the classes that are not yet known to be connected to one are compared with it; the links found
+Documents with the same set are one class. A prefix shingle of up to FEW classes has all its pairs compared at once and is done: they are
+at most PIVOTS / 2 for each posting. For the others candidates come in rounds. In a round every prefix shingle names PIVOTS classes for
+each band of set sizes, and the classes that are not yet known to be connected to one are compared with it; the links found
 are contracted to components. The first round takes those with the fewest rarer shingles before it: what the members of a group have of
 their own is rare, so these lie in its middle and link with most of what can link. Later rounds draw by hash. A large component is drawn in
-proportion to its size, so what belongs to it finds a link soon, also where only some of its members link with each other. Prefix shingles whose classes are all connected need no further pair. What is left, pairs of a shingle
+proportion to its size, so what belongs to it finds a link soon, also where only some of its members link with each other. Prefix shingles whose classes are all connected need no further pair, and later rounds do not read them. What is left, pairs of a shingle
 that lie in different components, is compared in full, as soon as these pairs are no more than FULL times the postings, or a round did not
 halve them. So a large group of near copies costs comparisons in proportion to its size, and no link that could connect two
 components is left out.
@@ -36,6 +37,8 @@ SKETCH_BITS, SLICE_BITS = 24, 18
 FULL = 4
 #: Pivots of a prefix shingle and band in a round, at most.
 PIVOTS = 4
+#: Classes of a prefix shingle up to which all its pairs are compared before the rounds.
+FEW = PIVOTS + 1
 #: Documents up to which their keys, 24 bytes each, are sent to the texts; above, the texts are shuffled.
 MAX_BROADCAST = 500_000
 #: Words whose hashes are kept in the memory of every Python worker.
@@ -171,27 +174,60 @@ def _postings(keyed: DataFrame, sketch: Broadcast, width: int, threshold: int) -
     return keyed.select("text").mapInPandas(run, "g long, node long, n int, pos int")
 
 
-def _shared(postings: DataFrame) -> DataFrame:
-    """Postings of shingles that more than one class has in its prefix, each once: others find nothing. One shuffle, row after row."""
+def _few_pairs(g: np.ndarray, node: np.ndarray, n: np.ndarray, pos: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (u, v) of classes that share a shingle and pass the filters of ``_passes``; rows by g and node, at most FEW of a shingle."""
+    us, vs = [], []
+    left = n - pos
+    for d in range(1, FEW):
+        i = np.flatnonzero(g[d:] == g[:-d])
+        j = i + d
+        length = 100 * np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j])
+        needed = np.ceil((n[i] + n[j]) * threshold / (100.0 + threshold) - 1e-9)
+        kept = length & (np.minimum(left[i], left[j]) >= needed)
+        us.append(node[i[kept]])
+        vs.append(node[j[kept]])
+    return np.concatenate(us), np.concatenate(vs)
+
+
+def _shared(postings: DataFrame, threshold: int) -> DataFrame:
+    """Postings of shingles that more than FEW classes have in their prefixes, each once; of the others the pairs of classes.
+
+    A row with n = 0 is the pair (g, node), once for each shingle; one with n = -1 says how many postings (g) were turned into pairs.
+    A shingle that one class has finds nothing. One shuffle, row after row.
+    """
 
     def run(batches):
-        held, out = None, False
+        # The last shingle's rows as long as they are few; beyond, its last row, which has left already (``many``).
+        held, many = None, False
         for pdf in batches:
             if not len(pdf):
                 continue
-            # The last row of the batch before goes first; ``out`` says whether it has left already.
             pdf = pdf if held is None else pd.concat([held, pdf])
             g, node = pdf["g"].to_numpy(), pdf["node"].to_numpy()
             fresh = np.append(True, (g[1:] != g[:-1]) | (node[1:] != node[:-1]))
             pdf, g = pdf[fresh], g[fresh]
             starts = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
             sizes = np.diff(np.append(starts, len(g)))
-            kept = sizes > 1
-            kept[0] |= out
-            keep = np.repeat(kept, sizes)
-            keep[0] &= not out
-            held, out = pdf.iloc[-1:], bool(kept[-1])
+            large = sizes > FEW
+            large[0] |= many
+            keep = np.repeat(large, sizes)
+            few = ~keep
+            keep[0] &= not many
+            many = bool(large[-1])
+            few[starts[-1] :] = False
+            held = pdf.iloc[-1:] if many else pdf.iloc[starts[-1] :]
             yield pdf[keep]
+            yield from settled(pdf[few])
+        if held is not None and not many:
+            yield from settled(held)
+
+    def settled(pdf):
+        g, node, n, pos = (pdf[c].to_numpy().astype(np.int64) for c in ("g", "node", "n", "pos"))
+        same = g[1:] == g[:-1]
+        u, v = _few_pairs(g, node, n, pos, threshold)
+        yield pd.DataFrame({"g": u, "node": v, "n": 0, "pos": 0})
+        met = (np.append(False, same) | np.append(same, False)).sum() if len(g) else 0
+        yield pd.DataFrame({"g": [met], "node": 0, "n": -1, "pos": 0})
 
     dealt = postings.repartition(partitions(postings.sparkSession), "g").sortWithinPartitions("g", "node")
     return dealt.mapInPandas(run, "g long, node long, n int, pos int")
@@ -279,24 +315,33 @@ def _outside(posted: DataFrame) -> DataFrame:
     return split.select("g", F.col("top.comp").alias("main"), "members", (F.col("members") - F.col("top.k")).alias("outside"))
 
 
-def _rest_pairs(posted: DataFrame, outside: DataFrame, threshold: int) -> DataFrame:
-    """All pairs of a prefix shingle that lie in different components, each once."""
-    rows = posted.join(outside.select("g", "main"), "g")
+def _rest_pairs(rows: DataFrame, threshold: int) -> DataFrame:
+    """All pairs of a prefix shingle that lie in different components, each once; ``main`` is its largest component."""
     others = rows.filter("comp <> main").drop("main")
     partners = rows.select("g", "main", *[F.col(c).alias(f"p{c}") for c in ("node", "n", "pos", "comp")])
     met = others.join(partners, "g").filter("comp <> pcomp and (pcomp = main or node < pnode)")
     return _pairs(met, threshold)
 
 
-def _links(posted: DataFrame, info: DataFrame, texts: DataFrame, width: int, threshold: int) -> DataFrame | None:
+def _posted(met: DataFrame) -> DataFrame:
+    return met.filter("n > 0")
+
+
+def _few(met: DataFrame) -> DataFrame:
+    return met.filter("n = 0").select(F.col("g").alias("u"), F.col("node").alias("v"))
+
+
+def _links(met: DataFrame, info: DataFrame, texts: DataFrame, width: int, threshold: int) -> DataFrame | None:
     """(node, component) of linked classes; None where there are none."""
     tested, links, labels, work_before = None, None, None, math.inf
-    n = posted.count()
+    posted, few = _posted(met), _few(met)
+    n = met.agg(F.sum(F.when(F.col("n") > 0, 1).when(F.col("n") < 0, F.col("g")))).first()[0] or 0
     for turn in itertools.count():
+        named = posted.select("g", "node", "n", "pos")
         if labels is None:
-            current = posted.withColumn("comp", F.col("node"))
+            current = named.withColumn("comp", F.col("node"))
         else:
-            current = posted.join(labels, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+            current = named.join(labels, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
         last = False
         if turn:
             current = frozen(current, "labelled")
@@ -307,15 +352,18 @@ def _links(posted: DataFrame, info: DataFrame, texts: DataFrame, width: int, thr
             # Where a round connected little, what is left is mostly unlike: another pivot would not spare its comparison.
             last = work <= FULL * n or 2 * work > work_before
             work_before = work
-        pairs = _rest_pairs(current, outside, threshold) if last else _star_pairs(current, threshold, turn)
-        if tested is not None:
-            pairs = pairs.join(tested, ["u", "v"], "left_anti")
+            # A shingle whose classes are connected stays so: from here on its postings are not read.
+            posted = frozen(current.join(outside.select("g", "main"), "g"), "split")
+            for table in (current, outside):
+                discard(table)
+            current = posted
+        pairs = _rest_pairs(current, threshold) if last else _star_pairs(current, threshold, turn)
+        pairs = pairs.join(tested, ["u", "v"], "left_anti") if turn else pairs.unionByName(few).distinct()
         pairs = sized(frozen(pairs, "pairs"))
         tested = pairs if tested is None else tested.unionByName(pairs)
         candidates = frozen(_suffix_filtered(pairs, info, threshold), "candidates")
         found = frozen(_verified(sized(candidates), texts, width, threshold), "links", batch=BATCH_BYTES)
-        for table in (candidates, *((current, outside) if turn else ())):
-            discard(table)
+        discard(candidates)
         found = sized(found)
         if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
@@ -341,16 +389,17 @@ def ngram_rows(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFram
     firsts = (F.min(F.struct("b", "sig")).alias("rep"), F.first("n").alias("n"), F.first("parts").alias("parts"))
     classes = rows.filter("n > 0").groupBy("node").agg(*firsts)
     classes = frozen(classes.select("node", "rep.b", "rep.sig", "n", "parts"), "classes")
-    posted = frozen(_shared(_postings(keyed, sketch, width, threshold)), "postings", batch=BATCH_BYTES)
+    met = frozen(_shared(_postings(keyed, sketch, width, threshold), threshold), "postings", batch=BATCH_BYTES)
     sketch.destroy()
-    candidates = frozen(posted.select("node").distinct().join(classes.select("node", "b", "sig"), "node"), "candidates")
+    nodes = _posted(met).select("node").union(_few(met).select("u")).union(_few(met).select("v")).distinct()
+    candidates = frozen(nodes.join(classes.select("node", "b", "sig"), "node"), "candidates")
     n = candidates.count()
     # Their texts, one for each class: rows that repeat (b, sig) are equal.
     found = keyed.join(F.broadcast(candidates) if n <= MAX_BROADCAST else candidates, ["b", "sig"]).select("node", "text")
     held = frozen(found, "candidate-texts")
     if held.count() > n:
         held = frozen(held.dropDuplicates(["node"]), "candidate-texts")
-    labels = _links(posted, classes.select("node", "n", "parts"), held, width, threshold)
+    labels = _links(met, classes.select("node", "n", "parts"), held, width, threshold)
     # A component may hold any share of the rows: names go to its classes first, then from classes to rows.
     linked = classes.withColumn("component", F.lit(None).cast("long")) if labels is None else classes.join(labels, "node", "left")
     own = F.struct("b", "sig")
