@@ -1,7 +1,12 @@
-"""Connected components by contraction: every node joins its smallest neighbour, groups become nodes, until no edge is left."""
+"""Connected components by contraction: every node joins its smallest neighbour, groups become nodes, until no edge is left.
+
+Before each step a batch of edges becomes one star for each of its own components, so a table of few edges takes one step: every query
+that is run costs the driver a plan and its figures, however small the table.
+"""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,8 +22,8 @@ def _above(parents: DataFrame) -> DataFrame:
     return parents.join(step, "parent", "left").select("node", F.coalesce("above", "parent").alias("parent"))
 
 
-def _pointed(parents: DataFrame) -> DataFrame:
-    """Roots of a forest (node, parent) whose parents are smaller than their nodes: parents of parents, until nothing moves."""
+def _pointed(parents: DataFrame, n: int) -> DataFrame:
+    """Roots of a forest (node, parent) of ``n`` rows at most, parents smaller than nodes: parents of parents, until nothing moves."""
     while True:
         near = _above(parents)
         step = near.select(F.col("node").alias("parent"), F.col("parent").alias("above"))
@@ -28,21 +33,46 @@ def _pointed(parents: DataFrame) -> DataFrame:
                     "node", F.coalesce("above", "parent").alias("parent"), (F.col("above") < F.col("parent")).alias("moved")
                 ),
                 "parents",
-            )
+            ),
+            n,
         )
         parents = jumped.select("node", "parent")
         if jumped.filter("moved").isEmpty():
             return parents
 
 
-def _distinct(edges: DataFrame) -> DataFrame:
-    ordered = edges.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    return sized(frozen(ordered.distinct(), "edges"))
+def _stars(edges: DataFrame) -> DataFrame:
+    """The components of a batch of edges as stars: (u, v), u the smallest node of v's component in the batch."""
+
+    def run(batches):
+        for pdf in batches:
+            parent: dict[int, int] = {}
+
+            def root(node):
+                while (above := parent.setdefault(node, node)) != node:
+                    parent[node] = node = parent[above]
+                return node
+
+            for a, b in zip(pdf["u"].tolist(), pdf["v"].tolist(), strict=True):
+                a, b = root(a), root(b)
+                parent[max(a, b)] = min(a, b)
+            rows = [(top, node) for node in parent if (top := root(node)) != node]
+            yield pd.DataFrame(rows, columns=["u", "v"], dtype="int64")
+
+    ends = [F.col(c).cast("long").alias(c) for c in ("u", "v")]
+    return edges.filter("u <> v").select(*ends).mapInPandas(run, "u long, v long")
+
+
+def _distinct(edges: DataFrame) -> tuple[DataFrame, int]:
+    """Edges with the same components, each once and its smaller node first, and their number."""
+    found = frozen(_stars(edges).distinct(), "edges")
+    n = found.count()
+    return sized(found, n), n
 
 
-def sized(df: DataFrame) -> DataFrame:
-    """A written table in as many partitions as its rows need; one that is small then takes no shuffle."""
-    return df.coalesce(max(1, -(-df.count() // ROWS)))
+def sized(df: DataFrame, n: int | None = None) -> DataFrame:
+    """A written table in as many partitions as its rows (``n``, if known) need; one that is small then takes no shuffle."""
+    return df.coalesce(max(1, -(-(df.count() if n is None else n) // ROWS)))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -51,23 +81,24 @@ def components(edges: DataFrame) -> DataFrame:
     A node with any number of edges is one row after partial aggregation. Each round at least halves the groups that still touch.
     No edges give no rows.
     """
-    edges = _distinct(edges)
-    labels = None
-    while not edges.isEmpty():
+    edges, n = _distinct(edges)
+    labels, nodes_most = None, 2 * n
+    while n:
         # Smaller neighbours only: the pointers of a round form a forest.
         parents = edges.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("parent"))
-        roots = _pointed(sized(frozen(parents, "parents")))
+        roots = _pointed(sized(frozen(parents, "parents"), n), n)
         if labels is None:
             nodes = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct()
             labels = nodes.withColumn("component", F.col("node"))
         to = roots.select(F.col("node").alias("component"), F.col("parent").alias("root"))
         labels = sized(
-            frozen(labels.join(to, "component", "left").select("node", F.coalesce("root", "component").alias("component")), "labels")
+            frozen(labels.join(to, "component", "left").select("node", F.coalesce("root", "component").alias("component")), "labels"),
+            nodes_most,
         )
         left, right = to.toDF("u", "ru"), to.toDF("v", "rv")
         moved = edges.join(left, "u", "left").join(right, "v", "left")
         moved = moved.select(F.coalesce("ru", "u").alias("u"), F.coalesce("rv", "v").alias("v"))
-        edges = _distinct(moved)
+        edges, n = _distinct(moved)
     if labels is None:
         return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return labels

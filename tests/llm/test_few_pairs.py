@@ -8,7 +8,7 @@ import random
 import pandas as pd
 import pytest
 
-from farelens.llm import ngram_join
+from farelens.llm import components, ngram_join
 from tests.llm import brute
 
 
@@ -72,3 +72,18 @@ def test_shared_shingles_across_batches(spark, batch):
     assert sorted(map(tuple, got[got.n > 0].values.tolist())) == sorted(postings)
     assert sorted(map(tuple, got[got.n == 0][["g", "node"]].values.tolist())) == sorted(pairs)
     assert got[got.n == -1].g.sum() == settled
+
+
+def test_a_small_table_of_links_takes_few_queries(spark, monkeypatch):
+    made, plain = [], components.frozen
+
+    def counted(df, name, *args, **more):
+        made.append(name)
+        return plain(df, name, *args, **more)
+
+    monkeypatch.setattr(components, "frozen", counted)
+    # A path, the worst case for steps to the smallest neighbour, and a group beside it; one link comes twice, one node meets itself.
+    links = [(k, k + 1) for k in range(0, 600, 2)] + [(k + 1, k) for k in range(1, 600, 2)] + [(-5, 900), (900, 901), (900, 901), (7, 7)]
+    got = dict(map(tuple, components.components(spark.createDataFrame(links, "u LONG, v LONG").coalesce(1)).collect()))
+    assert got == dict.fromkeys(range(601), 0) | dict.fromkeys((-5, 900, 901), -5)
+    assert len(made) <= 5
