@@ -10,6 +10,8 @@ import numpy as np
 NEIGHBOURS, BUILD_BEAM = 12, 64
 #: Vectors that are inserted or searched together, and beam entries whose neighbours are looked at in one step.
 BLOCK, AHEAD = 256, 4
+# An empty place of a beam: behind all others, nothing to look at; and the half of a number that holds the node.
+_NONE, _LOW = np.int64((1 << 63) - 1), np.int64((1 << 32) - 1)
 
 
 class Graph:
@@ -18,6 +20,7 @@ class Graph:
     def __init__(self, unit: np.ndarray, seed: int = 1):
         self.unit = unit
         n = len(unit)
+        self._marks: np.ndarray | None = None
         draw = np.random.default_rng(seed).random(n)
         level = np.floor(-np.log(1.0 - draw) / math.log(NEIGHBOURS)).astype(int)
         # Nodes of high layers go in first, so that every layer is there before those below fill up.
@@ -57,13 +60,16 @@ class Graph:
         """Of candidates from near to far, those nearer to the node than to any one chosen before; then the nearest others."""
         rows, width = ids.shape
         vectors = self.unit[np.maximum(ids, 0)]
-        between = np.einsum("rid,rjd->rij", vectors, vectors)
+        between = vectors @ vectors.transpose(0, 2, 1)
         chosen, count = np.zeros((rows, width), bool), np.zeros(rows, int)
+        # For every candidate, how near the nearest one chosen so far is.
+        closest = np.full((rows, width), -2, np.float32)
         for k in range(width):
-            closest = np.where(chosen, between[:, k, :], -2).max(1)
-            take = (ids[:, k] >= 0) & (closest < sims[:, k]) & (count < limit)
+            take = (ids[:, k] >= 0) & (closest[:, k] < sims[:, k]) & (count < limit)
             chosen[:, k] = take
             count += take
+            own = np.flatnonzero(take)
+            closest[own] = np.maximum(closest[own], between[own, k])
         score = np.where(ids < 0, -9.0, np.where(chosen, 3.0, 0.0) + sims)
         rank = np.argsort(-score, axis=1)[:, :limit]
         out = np.take_along_axis(np.where(ids < 0, -1, ids), rank, 1)
@@ -72,58 +78,102 @@ class Graph:
         return out.astype(np.int32)
 
     def _link_back(self, layer: int, sources: np.ndarray, chosen: np.ndarray) -> None:
+        """Sources become neighbours of the nodes chosen for them; a full table keeps those that spread out."""
         table = self.layers[layer]
         to, from_ = chosen.ravel(), np.repeat(sources, chosen.shape[1])
-        from_, to = from_[to >= 0], to[to >= 0]
+        # Two nodes of a block that chose each other are neighbours already.
+        new = (to >= 0) & (table[np.maximum(to, 0)] != from_[:, None]).all(1)
+        from_, to = from_[new], to[new]
         order = np.argsort(to, kind="stable")
         to, from_ = to[order], from_[order]
         nodes, first, counts = np.unique(to, return_index=True, return_counts=True)
-        for lo in range(0, len(nodes), BLOCK):
-            own, most = nodes[lo : lo + BLOCK], int(counts[lo : lo + BLOCK].max())
-            most = min(most, 4 * table.shape[1])
-            extra = np.full((len(own), most), -1, np.int32)
-            for k, (f, c) in enumerate(zip(first[lo : lo + BLOCK], counts[lo : lo + BLOCK], strict=True)):
-                extra[k, : min(c, most)] = from_[f : f + min(c, most)]
+        place = np.arange(len(to)) - np.repeat(first, counts)
+        used = (table[nodes] >= 0).sum(1)
+        # Tables are filled from the left, so what fits is written behind.
+        fits = np.repeat(used + counts <= table.shape[1], counts)
+        table[to[fits], (np.repeat(used, counts) + place)[fits]] = from_[fits]
+        full = np.flatnonzero(used + counts > table.shape[1])
+        for lo in range(0, len(full), BLOCK):
+            part = full[lo : lo + BLOCK]
+            own, most = nodes[part], min(int(counts[part].max()), 4 * table.shape[1])
+            at = first[part][:, None] + np.arange(most)
+            extra = np.where(np.arange(most) < counts[part][:, None], from_[np.minimum(at, len(from_) - 1)], -1).astype(np.int32)
             ids = np.hstack([table[own], extra])
-            ids = np.where(_repeated(ids), -1, ids)
-            sims = np.einsum("rd,rkd->rk", self.unit[own], self.unit[np.maximum(ids, 0)])
+            sims = (self.unit[np.maximum(ids, 0)] @ self.unit[own][:, :, None])[:, :, 0]
             sims = np.where(ids < 0, -2, sims)
             rank = np.argsort(-sims, axis=1)
             table[own] = self._spread_out(np.take_along_axis(ids, rank, 1), np.take_along_axis(sims, rank, 1), table.shape[1])
 
+    def _seen(self, rows: int) -> np.ndarray:
+        """One mark for each query of a block and each node, all clear."""
+        if self._marks is None or len(self._marks) < rows:
+            self._marks = np.zeros((rows, len(self.unit)), np.uint8)
+        return self._marks
+
     def _beam(self, queries: np.ndarray, entry: np.ndarray, layer: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ``width`` nearest nodes found from the entries, near first: ids (-1: none) and similarities."""
-        table, rows = self.layers[layer], len(queries)
-        ids = np.full((rows, width), -1, np.int32)
-        sims = np.full((rows, width), -2, np.float32)
-        ids[:, : entry.shape[1]] = entry
-        sims[:, : entry.shape[1]] = np.einsum("rd,rkd->rk", queries, self.unit[entry])
-        seen = np.zeros((rows, width), bool)
-        live = np.arange(rows)
+        """The ``width`` nearest nodes found from the entries, near first: ids (-1: none) and similarities.
+
+        A beam is a row of sorted numbers: distance in the upper half, then the node, and a last bit that is set once the node's
+        neighbours have been looked at.
+        """
+        table, rows, n = self.layers[layer], len(queries), len(self.unit)
+        marks = self._seen(rows).reshape(-1)
+        beam = np.full((rows, width), _NONE, np.int64)
+        beam[:, : entry.shape[1]] = _coded((self.unit[entry] @ queries[:, :, None])[:, :, 0], entry)
+        marked = [(np.arange(rows)[:, None] * n + entry).ravel()]
+        marks[marked[0]] = 1
+        done = np.empty_like(beam)
+        live, own, asking = np.arange(rows), beam, queries
+        # Row and mark of each place in the lists of a step.
+        places = min(AHEAD, width) * table.shape[1]
+        row_of, mark_of = np.repeat(np.arange(rows), places), np.tile(np.arange(1, places + 1, dtype=np.uint8), rows)
         while len(live):
-            own, own_sims, own_seen = ids[live], sims[live], seen[live]
-            waiting = np.where(own_seen | (own < 0), width, np.arange(width)[None, :])
+            # Beams are sorted, so the first places that wait are the nearest.
+            waiting = np.where(own & 1, width, np.arange(width, dtype=np.int32))
             ahead = np.sort(waiting, axis=1)[:, :AHEAD]
-            go = ahead[:, 0] < width
-            if not go.all():
-                live, own, own_sims, own_seen, ahead = live[go], own[go], own_sims[go], own_seen[go], ahead[go]
+            ended = ahead[:, 0] == width
+            if ended.any():
+                done[live[ended]] = own[ended]
+                go = ~ended
+                live, own, asking, ahead = live[go], own[go], asking[go], ahead[go]
                 if not len(live):
                     break
-            row = np.arange(len(live))[:, None]
             place = np.minimum(ahead, width - 1)
-            there = ahead < width
-            own_seen[np.broadcast_to(row, there.shape)[there], ahead[there]] = True
-            near = table[np.where(there, own[row, place], 0)]
-            near = np.where(there[:, :, None], near, -1).reshape(len(live), -1)
-            near = np.where(_repeated(near) | (near[:, :, None] == own[:, None, :]).any(2), -1, near)
-            found = np.einsum("rd,rkd->rk", queries[live], self.unit[np.maximum(near, 0)])
-            found = np.where(near < 0, -2, found)
-            all_ids, all_sims = np.hstack([own, near]), np.hstack([own_sims, found])
-            all_seen = np.hstack([own_seen, np.zeros_like(near, bool)])
-            rank = np.argsort(-all_sims, axis=1, kind="stable")[:, :width]
-            ids[live], sims[live] = np.take_along_axis(all_ids, rank, 1), np.take_along_axis(all_sims, rank, 1)
-            seen[live] = np.take_along_axis(all_seen, rank, 1)
-        return ids, sims
+            nodes = np.take_along_axis(own, place, 1)
+            np.put_along_axis(own, place, nodes | 1, 1)
+            near = table.take(np.where(ahead < width, (nodes & _LOW) >> 1, 0), axis=0)
+            near[ahead == width] = -1
+            near = near.reshape(len(live), places)
+            spot = np.flatnonzero(near >= 0)
+            flat = (near + (live * n)[:, None]).take(spot)
+            fresh = marks.take(flat) == 0
+            flat, spot = flat[fresh], spot[fresh]
+            # A node that several of the four lists name stays where its mark was written last.
+            mark = mark_of.take(spot)
+            marks[flat] = mark
+            once = marks.take(flat) == mark
+            flat, spot = flat[once], spot[once]
+            marked.append(flat)
+            if not len(spot):
+                continue
+            row, ids = row_of.take(spot), near.take(spot)
+            sims = np.einsum("pd,pd->p", np.take(self.unit, ids, axis=0), np.take(asking, row, axis=0))
+            found = _coded(sims, ids)
+            # What is farther than the last of a full beam would fall out again.
+            better = found < own[row, -1]
+            row, found = row[better], found[better]
+            if not len(row):
+                continue
+            counts = np.bincount(row, minlength=len(live))
+            start = np.cumsum(counts) - counts
+            more = np.full((len(live), int(counts.max())), _NONE, np.int64)
+            more[row, np.arange(len(row)) - start[row]] = found
+            own = np.sort(np.hstack([own, more]), axis=1)[:, :width]
+        for flat in marked:
+            marks[flat] = 0
+        none = done == _NONE
+        sims = 1 - (done >> 32).astype(np.int32).view(np.float32)
+        return np.where(none, -1, (done & _LOW) >> 1).astype(np.int32), np.where(none, np.float32(-2), sims)
 
     def search(self, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """Nearest nodes of each query that a beam of this width finds, near first."""
@@ -134,12 +184,7 @@ class Graph:
         return self._beam(queries, entry, 0, beam)
 
 
-def _repeated(ids: np.ndarray) -> np.ndarray:
-    """Where a row holds an id that stands further left already."""
-    order = np.argsort(ids, axis=1, kind="stable")
-    ranked = np.take_along_axis(ids, order, 1)
-    again = np.zeros(ids.shape, bool)
-    again[:, 1:] = (ranked[:, 1:] == ranked[:, :-1]) & (ranked[:, 1:] >= 0)
-    out = np.zeros(ids.shape, bool)
-    np.put_along_axis(out, order, again, 1)
-    return out
+def _coded(sims: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Numbers that sort like distances, then like ids, whose neighbours have not been looked at."""
+    far = np.maximum(np.float32(1) - sims, np.float32(0)).view(np.int32)
+    return (far.astype(np.int64) << 32) | (ids.astype(np.int64) << 1)
