@@ -42,7 +42,9 @@ def _pointed(parents: DataFrame, n: int) -> DataFrame:
 
 
 def _stars(edges: DataFrame) -> DataFrame:
-    """The components of a batch of edges as stars: (u, v), u the smallest node of v's component in the batch."""
+    """The components of a batch of edges as stars: (u, v), u the smallest node of v's component in the batch. Nodes: numbers or bytes."""
+    binary = edges.schema["u"].dataType.simpleString() == "binary"
+    kind, dtype = ("binary", "object") if binary else ("long", "int64")
 
     def run(batches):
         for pdf in batches:
@@ -57,10 +59,10 @@ def _stars(edges: DataFrame) -> DataFrame:
                 a, b = root(a), root(b)
                 parent[max(a, b)] = min(a, b)
             rows = [(top, node) for node in parent if (top := root(node)) != node]
-            yield pd.DataFrame(rows, columns=["u", "v"], dtype="int64")
+            yield pd.DataFrame(rows, columns=["u", "v"], dtype=dtype)
 
-    ends = [F.col(c).cast("long").alias(c) for c in ("u", "v")]
-    return edges.filter("u <> v").select(*ends).mapInPandas(run, "u long, v long")
+    ends = [F.col(c).cast(kind).alias(c) for c in ("u", "v")]
+    return edges.filter("u <> v").select(*ends).mapInPandas(run, f"u {kind}, v {kind}")
 
 
 def _distinct(edges: DataFrame) -> tuple[DataFrame, int]:
