@@ -8,6 +8,7 @@ import re
 import pytest
 
 from checks import fixtures, queries
+from farelens.operators import lookup
 from farelens.plans import pricing_summary
 from farelens.sources import read_flights, write_csv
 
@@ -55,6 +56,48 @@ def test_flight_number_texts_are_made_before_the_join(spark, tables):
     assert rows and any("," in (text or "") for text in rows.values())
 
 
+def _looked_up(spark, tables):
+    """The rows of ``flight_number_lookup``, worked out one by one."""
+    flights = fixtures.flights(spark, tables).select("flight_id", "total_revenue", "route_name", "flight_number").collect()
+    numbers: dict[str, set[str]] = {}
+    for f in flights:
+        if f["route_name"] is not None and f["flight_number"] is not None:
+            numbers.setdefault(f["route_name"], set()).add(f["flight_number"])
+    texts = {route: ",".join(sorted(found)) for route, found in numbers.items()}
+    return sorted(((f["flight_id"], f["total_revenue"], texts.get(f["route_name"])) for f in flights), key=repr)
+
+
+def test_flight_number_texts_are_sent_whole_if_their_bytes_allow(spark, tables, monkeypatch):
+    """Whatever Spark's own threshold says; the rows are the same with a shuffled join."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        for most, hinted in ((lookup.SENT_BYTES, True), (3, False)):
+            monkeypatch.setattr(lookup, "SENT_BYTES", most)
+            found = queries.flight_number_lookup(spark, tables)
+            assert ("rightHint=(strategy=broadcast)" in _plan(found)) is hinted
+            assert sorted(map(tuple, found.collect()), key=repr) == _looked_up(spark, tables)
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_bytes_of_texts_are_counted(spark, monkeypatch):
+    table = spark.createDataFrame([(None, "éé", 1), ("ab", None, 2)], "route_name STRING, flight_numbers STRING, n INT")
+    for most, hinted in ((6, True), (5, False)):
+        monkeypatch.setattr(lookup, "SENT_BYTES", most)
+        assert ("ResolvedHint" in lookup.sent_whole(table)._jdf.queryExecution().analyzed().toString()) is hinted
+    assert lookup.sent_whole(table.limit(0)).count() == 0
+
+
+def test_written_flights_are_in_the_order_asked_for(spark, tables):
+    kept = queries._kept(spark, fixtures.flights(spark, tables), "flight_id", "route_name", order="route_name")
+    for file in kept.inputFiles():
+        routes = [r["route_name"] for r in spark.read.parquet(file).coalesce(1).collect()]
+        assert routes == sorted(routes, key=lambda name: (name is not None, name or ""))
+    assert kept.count() == fixtures.flights(spark, tables).count()
+
+
 def test_lineitem_meets_small_sides_that_are_known_to_be_small(spark, tables):
     """Customers go to the orders and not to the lines; suppliers and nations are joined by themselves, the names last."""
     plan = _plan(fixtures.flights(spark, tables))
